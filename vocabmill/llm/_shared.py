@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import sys
 import tempfile
@@ -94,3 +95,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20
 def texts_as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts as UTF-8; null becomes empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Actions inside send at most so many rows in an Arrow batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
