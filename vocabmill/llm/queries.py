@@ -33,6 +33,23 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and the benchmark item that it covers."""
+    from .decontamination import overlaps
+
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out
+    from .toxicity import learn, score
+
+    docs = _table(spark, sf_dir, "documents")
+    model = learn(docs, _table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    found = score(docs, model)
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -140,6 +157,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs, ~held_out(4, 2)))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -157,7 +182,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def queries() -> dict:
-    made = (op1_line_dedup, op4_token_output, op5_source_mix, op6_substring_dedup, op7_chat_format, op8_simhash, op10_top_k)
+    made = (op1_line_dedup, op2_decontamination, op3_toxicity, op4_token_output, op5_source_mix, op6_substring_dedup, op7_chat_format, op8_simhash, op9_language_id, op10_top_k)
     return {f.__name__: f for f in made}
 
 
