@@ -3,7 +3,8 @@
 Voters look for terms of a lexicon or for a pattern and vote toxic, clean or
 not at all.  Some lexicons are fixed, others are mined from labelled learning rows:
 each is a greedy cover of the toxic ones by letter sequences that clean ones
-don't hold, none of them used by another lexicon.  A generative label model
+don't hold, none of them used by another lexicon.  Half of the mined voters
+look for a term at all, half for one that is frequent in the text.  A generative label model
 estimates each voter's accuracy on the learning rows by expectation
 maximisation, and how voters are correlated given the class, which shares the
 weight of voters that say the same.  Its posterior labels train a logistic
@@ -24,7 +25,9 @@ from ._shared import Scratch, slices, texts_as_bytes
 
 #: About so many labelled rows, chosen by hash, are learned from.
 LEARN_ROWS = 8000
-MINED_VOTERS, TERM_LENGTHS = 8, (4, 5, 6)
+MINED_VOTERS, TERM_LENGTHS = 4, (4, 5, 6)
+#: A term is frequent in a text with at least two occurrences, and this share of its words.
+FREQUENT = 0.007
 MAX_CANDIDATES, MAX_TERMS = 100_000, 5000
 MIN_SHARE, MAX_CLEAN = 0.01, 0.02
 
@@ -46,14 +49,22 @@ def plain(text: str) -> str:
     return re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
 
 
-def terms_of(text: str) -> set[str]:
-    """Letter sequences inside words, and at their start (with a space before)."""
-    found: set[str] = set()
-    for word in set(plain(text).split()):
+def least_count(n_words: int, frequent: bool) -> float:
+    """How often a term must occur to count as held."""
+    return max(2.0, FREQUENT * n_words) if frequent else 1.0
+
+
+def terms_of(text: str, frequent: bool) -> list[str]:
+    """The letter sequences held, inside words or at their start (with a space before)."""
+    words = plain(text).split()
+    found: Counter = Counter()
+    for word, times in Counter(words).items():
         marked = f" {word}"
         for n in TERM_LENGTHS:
-            found.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return found
+            for i in range(len(marked) - n + 1):
+                found[marked[i : i + n]] += times
+    least = least_count(len(words), frequent)
+    return [t for t, n in found.items() if n >= least]
 
 
 @dataclass
@@ -64,6 +75,10 @@ class Voters:
     both_ways: set[str] = field(default_factory=set)  # these vote clean where they find nothing
     automaton: object = None
 
+    @property
+    def frequent(self) -> set[int]:
+        return {j for j, n in enumerate(self.lexicons) if n.startswith("frequent")}
+
     @property
     def names(self) -> list[str]:
         return [*self.lexicons, *PATTERNS]
@@ -81,21 +96,29 @@ class Voters:
                     places.setdefault(term, []).append(j)
             self.automaton = ahocorasick.Automaton()
             for term, js in places.items():
-                self.automaton.add_word(term, js)
+                self.automaton.add_word(term, (term, tuple(js)))
             if places:
                 self.automaton.make_automaton()
         return self.automaton
 
     def hits(self, text: str) -> np.ndarray:
-        """How often each voter's terms or pattern occur; the last number is 1 if there is any word."""
+        """What each voter finds, and the number of words at the end.
+
+        That is how often terms or patterns occur; for voters on frequent
+        terms, the count of the most frequent term if it is held.
+        """
         out = np.zeros(len(self.names) + 1)
         shown = plain(text)
-        out[-1] = len(shown) > 1
+        out[-1] = words = shown.count(" ") - 1
         found = self._search()
         if len(found):
-            for _, js in found.iter(shown):
+            least, frequent = least_count(words, True), self.frequent
+            for (term, js), times in Counter(x for _, x in found.iter(shown)).items():
                 for j in js:
-                    out[j] += 1
+                    if j not in frequent:
+                        out[j] += times
+                    elif times >= least:
+                        out[j] = max(out[j], times)
         lower = text.lower()
         for j, pattern in enumerate(PATTERNS.values(), len(self.lexicons)):
             out[j] = sum(1 for _ in pattern.finditer(lower))
@@ -147,9 +170,9 @@ class LabelModel:
 
 
 def features(hits: np.ndarray) -> np.ndarray:
-    """A constant, and each voter's presence and log count."""
-    found = hits[:, :-1]
-    return np.concatenate([np.ones((len(hits), 1)), found > 0, np.log1p(found)], axis=1)
+    """A constant; each voter's presence, log count and log rate."""
+    found, words = hits[:, :-1], np.maximum(hits[:, -1:], 1)
+    return np.concatenate([np.ones((len(hits), 1)), found > 0, np.log1p(found), np.log1p(1000 * found / words)], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -165,20 +188,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def _count_terms(batches):
-    """(term, n): in how many of a task's texts each term occurs."""
-    counts: Counter = Counter()
-    for batch in batches:
-        for part in slices(batch):
-            for raw in texts_as_bytes(part):
-                counts.update(terms_of(raw.decode("utf-8")))
-    items = list(counts.items())
-    for a in range(0, len(items), 100_000):
-        terms, n = zip(*items[a : a + 100_000])
-        yield pa.record_batch([pa.array(terms), pa.array(n, pa.int64())], ["term", "n"])
+def _count_terms(frequent: bool):
+    def run(batches):
+        """(term, n): how many of a task's texts hold each term."""
+        counts: Counter = Counter()
+        for batch in batches:
+            for part in slices(batch):
+                for raw in texts_as_bytes(part):
+                    counts.update(terms_of(raw.decode("utf-8"), frequent))
+        items = list(counts.items())
+        for a in range(0, len(items), 100_000):
+            terms, n = zip(*items[a : a + 100_000])
+            yield pa.record_batch([pa.array(terms), pa.array(n, pa.int64())], ["term", "n"])
+
+    return run
 
 
-def _present(terms: list[str]):
+def _present(terms: list[str], frequent: bool):
     def run(batches):
         """(toxic, found): the places of the terms that a text holds."""
         import ahocorasick
@@ -189,29 +215,33 @@ def _present(terms: list[str]):
         automaton.make_automaton()
         for batch in batches:
             for part in slices(batch):
-                found = [sorted({i for _, i in automaton.iter(plain(raw.decode("utf-8")))}) for raw in texts_as_bytes(part)]
+                found = []
+                for raw in texts_as_bytes(part):
+                    shown = plain(raw.decode("utf-8"))
+                    least = least_count(shown.count(" ") - 1, frequent)
+                    found.append(sorted(i for i, n in Counter(i for _, i in automaton.iter(shown)).items() if n >= least))
                 yield pa.record_batch([part.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
     return run
 
 
-def mine(sample: DataFrame) -> dict[str, tuple[str, ...]]:
+def mine(sample: DataFrame, frequent: bool) -> dict[str, tuple[str, ...]]:
     """Lexicons from (text, toxic) rows: each covers as many toxic texts as it can with terms of its own."""
     n_toxic, n_clean = (r or 0 for r in sample.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first())
     least = max(3, int(MIN_SHARE * n_toxic))
-    counted = sample.where("toxic > 0").select("text").mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = sample.where("toxic > 0").select("text").mapInArrow(_count_terms(frequent), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     candidates = {r.term: r.n for r in counted.orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
     if not candidates:
         return {}
     names = list(candidates)
-    clean = sample.where("toxic <= 0").select("text", "toxic").mapInArrow(_present(names), "toxic int, found array<int>").select(F.explode("found").alias("i")).groupBy("i").count()
+    clean = sample.where("toxic <= 0").select("text", "toxic").mapInArrow(_present(names, frequent), "toxic int, found array<int>").select(F.explode("found").alias("i")).groupBy("i").count()
     in_clean = {names[r.i]: r["count"] for r in clean.collect()}
     allowed = lambda t: MAX_CLEAN * candidates[t] / max(1, n_toxic) * max(1, n_clean)
     good = [t for t in names if in_clean.get(t, 0) <= allowed(t)][:MAX_TERMS]
     if not good:
         return {}
     holders: dict[str, set[int]] = {t: set() for t in good}
-    rows = sample.where("toxic > 0").select("text", "toxic").mapInArrow(_present(good), "toxic int, found array<int>").collect()
+    rows = sample.where("toxic > 0").select("text", "toxic").mapInArrow(_present(good, frequent), "toxic int, found array<int>").collect()
     for n, r in enumerate(rows):
         for i in r.found:
             holders[good[i]].add(n)
@@ -227,7 +257,7 @@ def mine(sample: DataFrame) -> dict[str, tuple[str, ...]]:
             terms.append(best)
             left -= holders[best]
         if terms:
-            lexicons[f"mined_{v}"] = tuple(terms)
+            lexicons[f"{'frequent' if frequent else 'mined'}_{v}"] = tuple(terms)
     return lexicons
 
 
@@ -264,13 +294,13 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, learn_rows: int
     chosen = known.where(F.xxhash64(F.lit("toxicity"), "doc_id").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)) + 1).limit(2 * learn_rows)
     scratch = Scratch(spark, "toxicity")
     sample = scratch.table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").limit(4 * learn_rows).repartition(24), "sample")
-    mined = mine(sample)
+    mined = mine(sample, False) | mine(sample, True)
     fixed = {k: tuple(f" {t} " for t in v) for k, v in LEXICONS.items()}
     voters = Voters({**mined, **fixed}, set(mined) or set(fixed))
     rows = sample.select("text").mapInArrow(_hits(spark.sparkContext.broadcast(voters)), "hits array<double>").collect()
     m = len(voters.names)
     if not rows:
-        return Model(voters, np.concatenate([[-2.0], np.full(m, 3.0), np.zeros(m)]), None)
+        return Model(voters, np.concatenate([[-2.0], np.full(m, 3.0), np.zeros(2 * m)]), None)
     hits = np.array([r.hits for r in rows])
     prior = sample.agg(F.avg(F.when(F.col("toxic") > 0, 1.0).otherwise(0.0))).first()[0]
     votes = voters.votes(hits)
