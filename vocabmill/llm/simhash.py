@@ -28,6 +28,8 @@ from .components import Labels, components
 SHINGLE, RADIUS, SEED = 4, 4, 42
 SEGMENTS, SIDE = 4, 2
 CHUNK = 8192
+#: One task packs about so many chunks of a cell.
+PACK_CHUNKS = 64
 _CELLS = 64 // SEGMENTS // SIDE + 1
 
 
@@ -153,7 +155,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     own = scratch.table(docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "own")
     nodes = scratch.table(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     placed = nodes.select(_cell(_segment_counts(F.col("fp"))).alias("cell"), "fp")
-    chunks = scratch.table(placed.repartition("cell", F.pmod(F.hash("fp"), F.lit(4))).sortWithinPartitions("cell").mapInArrow(_pack, "cell int, chunk long, fps binary"), "chunks")
+    # at most _CELLS**SEGMENTS = 6561 rows, so they can go to all tasks; large cells are packed by several
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / (PACK_CHUNKS * CHUNK)).cast("int").alias("parts"))
+    spread = placed.join(F.broadcast(parts), "cell").select("cell", "fp", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
+    chunks = scratch.table(spread.repartition("cell", "part").sortWithinPartitions("cell").select("cell", "fp").mapInArrow(_pack, "cell int, chunk long, fps binary"), "chunks")
     with arrow_rows(spark, 128):
         visits = chunks.mapInArrow(_visits(_offsets(radius)), "to int, home int, visitor long, visiting binary")
         pairs = visits.join(chunks, F.col("to") == F.col("cell")).where("home <> cell OR visitor <= chunk")
