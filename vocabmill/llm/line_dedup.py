@@ -86,15 +86,29 @@ class Bloom:
             self.room -= len(part)
 
 
-def _seen_by_task(min_chars: int):
-    def run(batches):
-        """(h, n): each hash of this task once; n is 2 if two rows here hold it."""
-        parts, count = [], 0
+def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return (h >> np.uint64(11)) % np.uint64(shards)
+
+
+PACKED = "shard int, once binary, again binary"
+
+
+def packed_by_shard(parts: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    """One row a shard: its hashes that occur once in parts, and those that occur more often."""
+    h, n = np.unique(np.concatenate(parts), return_counts=True)
+    shard = _shard_of(h, shards).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    h, n, shard = h[order], n[order], shard[order]
+    used, first = np.unique(shard, return_index=True)
+    groups = list(zip(first, [*first[1:], len(h)]))
+    once, again = ([h[a:b][(n[a:b] > 1) == more].tobytes() for a, b in groups] for more in (False, True))
+    return pa.record_batch([pa.array(used), pa.array(once, pa.binary()), pa.array(again, pa.binary())], ["shard", "once", "again"])
 
-        def flush():
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
 
+def _seen_by_task(min_chars: int, shards: int):
+    def run(batches):
+        """The hashes of this task, each row's once."""
+        parts, count = [], 0
         for batch in batches:
             for part in slices(batch):
                 for text in texts_as_bytes(part):
@@ -102,48 +116,63 @@ def _seen_by_task(min_chars: int):
                     parts.append(np.frombuffer(own, np.uint64))
                     count += len(parts[-1])
             if count > 2_000_000:
-                yield flush()
+                yield packed_by_shard(parts, shards)
                 parts, count = [], 0
         if parts:
-            yield flush()
+            yield packed_by_shard(parts, shards)
 
     return run
 
 
 def _filter_shard(batches):
     """One row: this shard's suspects and its twice-seen filter."""
-    once, suspects = Bloom(), []
+    seen, suspects = Bloom(), []
     for batch in batches:
-        h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        h, first, count = np.unique(h.view(np.uint64), return_index=True, return_counts=True)
-        again = once.contains(h) | (count > 1) | (n[first] > 1)
-        suspects.append(h[again])
-        once.add(h[~again])
+        for once, again in zip(batch.column("once").to_pylist(), batch.column("again").to_pylist()):
+            h = np.frombuffer(once, np.uint64)
+            known = seen.contains(h)
+            suspects += [h[known], np.frombuffer(again, np.uint64)]
+            seen.add(np.concatenate([h[~known], suspects[-1]]))
     found = np.unique(np.concatenate(suspects)) if suspects else np.zeros(0, np.uint64)
     twice = Bloom(max(64, len(found)))
     twice.add(found)
     yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([twice.layers[0].tobytes()], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["shard", "n", "twice", "suspects"])
 
 
-def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (h >> np.uint64(11)) % np.uint64(shards)
+def filters_of(packed: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
+    """(shard, n, twice, suspects) from packed hashes."""
+    dealt = packed.repartitionById(shards, "shard").select("once", "again")
+    return scratch.table(dealt.mapInArrow(_filter_shard, "shard int, n long, twice binary, suspects binary"), "filters")
 
 
-def _shard_hashes(shards: int):
-    def run(batches):
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.record_batch([pa.array(_shard_of(h, shards).astype(np.int32)), *batch.columns], ["shard", *batch.schema.names])
+def collected(filtered: DataFrame, shards: int, max_bytes: int):
+    """A broadcast of all twice-seen filters, or None if they are larger than max_bytes."""
+    if (filtered.agg(F.sum(F.length("twice"))).first()[0] or 0) > max_bytes:
+        return None
+    sizes, bits = np.zeros(shards, np.uint64), {}
+    for row in filtered.select("shard", "twice").toLocalIterator():
+        bits[row.shard] = np.frombuffer(row.twice, np.uint8)
+        sizes[row.shard] = len(row.twice) * 8
+    packed = np.concatenate([bits.get(i, np.zeros(0, np.uint8)) for i in range(shards)] + [np.zeros(1, np.uint8)])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64)
+    return filtered.sparkSession.sparkContext.broadcast((sizes, starts, packed, shards))
 
-    return run
+
+def known_to(filters, h: np.ndarray) -> np.ndarray:
+    """Which hashes the collected filters know."""
+    sizes, starts, bits, shards = filters.value
+    keep = np.ones(len(h), bool)
+    s = _shard_of(h, shards).astype(np.int64)
+    for p in _positions(h, np.maximum(sizes[s], 1)):
+        p = p + starts[s]
+        keep &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return keep
 
 
 def _suspect_lines(min_chars: int, filters):
     """(did, h, digest) of the lines a twice-seen filter knows; all lines if there is none."""
 
     def run(batches):
-        if filters is not None:
-            sizes, starts, bits, shards = filters.value
         for batch in batches:
             for part in slices(batch):
                 ids, digests = [], []
@@ -154,12 +183,7 @@ def _suspect_lines(min_chars: int, filters):
                 if not ids:
                     continue
                 h = np.frombuffer(b"".join(d[:8] for d in digests), np.uint64)
-                keep = np.ones(len(h), bool)
-                if filters is not None:
-                    s = _shard_of(h, shards).astype(np.int64)
-                    for p in _positions(h, np.maximum(sizes[s], 1)):
-                        p = p + starts[s]
-                        keep &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                keep = known_to(filters, h) if filters is not None else np.ones(len(h), bool)
                 table = pa.record_batch([pa.array(ids, pa.int64()), pa.array(h.view(np.int64)), pa.array(digests, pa.binary())], ["did", "h", "digest"])
                 yield table.filter(pa.array(keep))
 
@@ -204,18 +228,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     scratch = Scratch(spark, "lines")
     own = docs.select("doc_id", "text").withColumn("did", F.coalesce("doc_id", F.lit(_NULL_ID)))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = own.select("text").mapInArrow(_seen_by_task(min_chars), "h long, n int")
-    filtered = scratch.table(
-        seen.mapInArrow(_shard_hashes(shards), "shard int, h long, n int").repartitionById(shards, "shard").select("h", "n").mapInArrow(_filter_shard, "shard int, n long, twice binary, suspects binary"),
-        "filters",
-    )
-    if (filtered.agg(F.sum(F.length("twice"))).first()[0] or 0) <= max_filter_bytes:
-        sizes, bits = np.zeros(shards, np.uint64), {}
-        for row in filtered.select("shard", "twice").toLocalIterator():
-            bits[row.shard] = np.frombuffer(row.twice, np.uint8)
-            sizes[row.shard] = len(row.twice) * 8
-        packed = np.concatenate([bits.get(i, np.zeros(0, np.uint8)) for i in range(shards)] + [np.zeros(1, np.uint8)])
-        filters = spark.sparkContext.broadcast((sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64), packed, shards))
+    filtered = filters_of(own.select("text").mapInArrow(_seen_by_task(min_chars, shards), PACKED), scratch, shards)
+    filters = collected(filtered, shards, max_filter_bytes)
+    if filters is not None:
         lines = own.select("did", "text").mapInArrow(_suspect_lines(min_chars, filters), "did long, h long, digest binary")
     else:
         hashes = filtered.select("suspects").mapInArrow(_unpack, "h long")

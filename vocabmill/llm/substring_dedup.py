@@ -30,10 +30,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import Scratch, arrow_rows, slices, texts_as_bytes
-from .line_dedup import _NULL_ID, MAX_FILTER_BYTES, _filter_shard, _positions, _shard_hashes, _shard_of, _unpack
+from ._shared import Scratch, slices, texts_as_bytes, worker_state
+from .line_dedup import _NULL_ID, MAX_FILTER_BYTES, PACKED, _unpack, collected, filters_of, known_to, packed_by_shard
 
-WINDOW, GRAM = 20, 10
+WINDOW, GRAM = 20, 6
+#: Texts are worked on in slices of so many bytes.
+SLICE = 2 << 20
 #: An automaton is compiled when so many contexts of whole anchors have come.
 BLOCK_CONTEXTS = 4000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -50,9 +52,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base**0 to base**n; kept by the worker up to a slice's length."""
+    state = worker_state()
+    kept = state.get(("powers", int(base)))
+    if kept is None or len(kept) <= n:
+        kept = np.full(max(n, SLICE) + 1, base, np.uint64)
+        kept[0] = 1
+        kept = np.cumprod(kept, dtype=np.uint64)
+        if n <= 2 * SLICE:
+            state["powers", int(base)] = kept
+    return kept[: n + 1]
 
 
 class Words:
@@ -83,61 +92,62 @@ class Words:
         return _mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
 
+def _sliding_minimum(x: np.ndarray, size: int) -> np.ndarray:
+    """The least of each ``size`` neighbours, by doubling."""
+    n, done = len(x) - size + 1, 1
+    while 2 * done <= size:
+        x = np.minimum(x[:-done], x[done:])
+        done *= 2
+    return np.minimum(x[:n], x[size - done : size - done + n])
+
+
 def _runs(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, text, first window's start, windows) of each run; starts count from the slice's first word."""
+    """(anchor hash, text, first window's start, windows) of each run; starts count from the slice's first word.
+
+    The anchor is the leftmost of the least grams.  It changes where the least
+    value does, or where the anchor drops out and an equal gram follows.
+    """
     h = words.hashes()
     n = len(h) - window + 1
     text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
     none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
     if n <= 0:
         return none
-    powers, inverse = _powers(_B, len(h)), _powers(_B_INVERSE, len(h))
     sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers[:-1], out=sums[1:])
-    grams = _mix((sums[gram:] - sums[:-gram]) * inverse[: len(h) - gram + 1])
-    inside = window - gram + 1
-    low = np.uint64((1 << (inside - 1).bit_length()) - 1)  # the low bits hold the place: the leftmost of the least
-    high = grams & ~low
-    least = high[:n].copy()
-    for k in range(1, inside):
-        np.minimum(least, high[k : k + n] | np.uint64(k), out=least)
-    anchor = np.arange(n) + (least & low).astype(np.int64)
+    np.cumsum(h * _powers(_B, len(h))[:-1], out=sums[1:])
+    grams = _mix((sums[gram:] - sums[:-gram]) * _powers(_B_INVERSE, len(h))[: len(h) - gram + 1])
+    least = _sliding_minimum(grams, window - gram + 1)
     valid = text[:n] == text[window - 1 :]
-    starts = np.flatnonzero(valid)
-    if not len(starts):
-        return none
-    own = anchor[starts]
-    fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)])
+    fresh = valid.copy()
+    fresh[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (grams[: n - 1] == least[:-1])
     first = np.flatnonzero(fresh)
-    return grams[own[first]], text[starts[first]], starts[first], np.diff(np.concatenate([first, [len(starts)]]))
+    if not len(first):
+        return none
+    upto = np.concatenate([[0], np.cumsum(valid)])  # a run ends where the next starts, or where windows cross texts
+    return least[first], text[first], first, upto[np.concatenate([first[1:], [n]])] - upto[first]
 
 
-def _anchors_by_task(window: int, gram: int):
+def _anchors_by_task(window: int, gram: int, shards: int):
     def run(batches):
         parts, count = [], 0
-
-        def flush():
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
-
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE):
                 parts.append(_runs(Words(part), window, gram)[0])
                 count += len(parts[-1])
             if count > 2_000_000:
-                yield flush()
+                yield packed_by_shard(parts, shards)
                 parts, count = [], 0
         if parts:
-            yield flush()
+            yield packed_by_shard(parts, shards)
 
     return run
 
 
 def _row_columns(part: pa.RecordBatch) -> tuple[list[int], list[int]]:
-    return part.column("did").to_pylist(), [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts_as_bytes(part)]
+    return part.column("did").to_pylist(), [xxhash.xxh32_intdigest(t) - (1 << 31) for t in texts_as_bytes(part)]
 
 
-_CONTEXT = "h long, digest binary, did long, th long, start int, context binary"
+_CONTEXT = "h long, d1 long, d2 long, did long, th int, start int, context binary"
 
 
 def _contexts(window: int, gram: int, filters):
@@ -145,18 +155,13 @@ def _contexts(window: int, gram: int, filters):
 
     def run(batches):
         sent: set[bytes] = set()
-        sizes, starts, bits, shards = filters.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE):
                 words = Words(part)
                 h, text, first, count = _runs(words, window, gram)
                 if not len(h):
                     continue
-                keep = np.ones(len(h), bool)
-                s = _shard_of(h, shards).astype(np.int64)
-                for p in _positions(h, np.maximum(sizes[s], 1)):
-                    p = p + starts[s]
-                    keep &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                keep = known_to(filters, h)
                 yield _context_rows(part, words, h[keep], text[keep], first[keep], count[keep], window, sent)
 
     return run
@@ -171,13 +176,16 @@ def _context_rows(part, words, h, text, first, count, window, sent) -> pa.Record
         context = b" ".join([raw[starts[i] : ends[i]] for i in range(a, b)])
         digest = xxhash.xxh3_128_digest(context)
         digests.append(digest)
-        contexts.append(None if digest in sent else context)
-        if len(sent) < 1_000_000:
-            sent.add(digest)
-    rows = text.tolist()
+        if digest in sent:
+            contexts.append(None)
+        else:
+            contexts.append(context)
+            if len(sent) < 500_000:
+                sent.add(digest)
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     begin = (first - words.bounds[text]).astype(np.int32)
-    columns = [pa.array(h.view(np.int64)), pa.array(digests, pa.binary()), pa.array([did[i] for i in rows], pa.int64()), pa.array([th[i] for i in rows], pa.int64()), pa.array(begin), pa.array(contexts, pa.binary())]
-    return pa.record_batch(columns, ["h", "digest", "did", "th", "start", "context"])
+    columns = [h.view(np.int64), both[:, 0], both[:, 1], np.array(did, np.int64)[text], np.array(th, np.int32)[text], begin]
+    return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(contexts, pa.binary())], ["h", "d1", "d2", "did", "th", "start", "context"])
 
 
 def _all_runs(window: int, gram: int):
@@ -185,10 +193,10 @@ def _all_runs(window: int, gram: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE):
                 words = Words(part)
                 h, text, first, count = _runs(words, window, gram)
-                did, th = (np.array(x, np.int64) for x in _row_columns(part))
+                did, th = (np.array(x, t) for x, t in zip(_row_columns(part), (np.int64, np.int32)))
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(did[text]), pa.array(th[text]), pa.array((first - words.bounds[text]).astype(np.int32)), pa.array(count.astype(np.int32))], ["h", "did", "th", "start", "n"])
 
     return run
@@ -200,7 +208,7 @@ def _marked_contexts(window: int):
     def run(batches):
         sent: set[bytes] = set()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE):
                 words, marks = Words(part), part.column("marks").to_pylist()
                 text = np.array([i for i, m in enumerate(marks) for _ in m or ()], np.int64)
                 if len(text):
@@ -210,54 +218,93 @@ def _marked_contexts(window: int):
     return run
 
 
+_LOCATED = "d1 long, d2 long, segments array<struct<i:int,n:int,did:long,th:int,start:int>>"
+
+
 def _locate(window: int):
-    """For each distinct context: its recurring windows and where each occurs first.
+    """For each distinct context: its recurring windows, as segments (i, n, did, th, start).
 
-    Rows come sorted by anchor.  A block of whole anchors at a time is numbered
-    word by word, confirmed and streamed through its automaton.
+    Windows i to i + n - 1 of the context occur first from word ``start`` of
+    the row (did, th) on.  Rows come sorted by anchor.  A block of whole
+    anchors at a time is numbered word by word and streamed through its automaton.
+    Where an anchor has a single context, that recurs as a whole and is one pattern;
+    else the windows that recur are the patterns.
     """
     import ahocorasick
 
-    def solve(rows):
+    def solve(groups):
         number: dict[bytes, int] = {}
-        streams = [tuple(number.setdefault(w, len(number)) for w in r["context"].split(b" ")) for r in rows]
-        seen: Counter = Counter()
-        for s, r in zip(streams, rows):
-            for i in range(len(s) - window + 1):
-                seen[s[i : i + window]] += r["n"]
-        automaton, firsts = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), []
-        for w, n in seen.items():
-            if n > 1:
-                automaton.add_word(w, len(firsts))
+        automaton, firsts, sizes = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), [], []
+        rows, streams = [], []
+
+        def pattern(words):
+            if not automaton.exists(words):
+                automaton.add_word(words, len(firsts))
                 firsts.append(None)
-        found: list[list[tuple[int, int]]] = [[] for _ in rows]
+                sizes.append(len(words))
+
+        for group in groups:
+            own = [tuple(number.setdefault(w, len(number)) for w in r["context"].split(b" ")) for r in group]
+            if len(group) == 1:
+                if group[0]["n"] == 1:
+                    continue
+                pattern(own[0])
+            else:
+                seen: Counter = Counter()
+                for s, r in zip(own, group):
+                    for i in range(len(s) - window + 1):
+                        seen[s[i : i + window]] += r["n"]
+                for w, n in seen.items():
+                    if n > 1:
+                        pattern(w)
+            rows += group
+            streams += own
+        out = []
         if firsts:
             automaton.make_automaton()
-            for s, r, own in zip(streams, rows, found):
-                did, th, start = r["did"], r["th"], r["start"]
+            found = []
+            for s, r in zip(streams, rows):
+                did, th, start, own = r["did"], r["th"], r["start"], []
                 for end, k in automaton.iter(s):
-                    at = (did, th, start + end - window + 1)
-                    own.append((end - window + 1, k))
+                    i = end - sizes[k] + 1
+                    at = (did, th, start + i)
+                    own.append((i, k))
                     if firsts[k] is None or at < firsts[k]:
                         firsts[k] = at
-        out = [[(i, *firsts[k]) for i, k in own] for own in found]
-        kept = [(r["digest"], x) for r, x in zip(rows, out) if x]
-        flat = [y for _, x in kept for y in x]
-        struct = pa.StructArray.from_arrays([pa.array([y[j] for y in flat], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["i", "did", "th", "start"])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for _, x in kept])]), pa.int32()), struct)
-        return pa.record_batch([pa.array([d for d, _ in kept], pa.binary()), lists], ["digest", "firsts"])
+                found.append(own)
+            for r, own in zip(rows, found):
+                segments = []
+                for i, k in own:
+                    did, th, start = firsts[k]
+                    n = sizes[k] - window + 1
+                    last = segments[-1] if segments else None
+                    if last and last[0] + last[1] == i and last[2:4] == [did, th] and last[4] + last[1] == start:
+                        last[1] += n
+                    else:
+                        segments.append([i, n, did, th, start])
+                if segments:
+                    out.append((r["d1"], r["d2"], segments))
+        flat = [y for x in out for y in x[2]]
+        struct = pa.StructArray.from_arrays([pa.array([y[j] for y in flat], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], ["i", "n", "did", "th", "start"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]), pa.int32()), struct)
+        return pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), lists], ["d1", "d2", "segments"])
 
     def run(batches):
-        rows: list[dict] = []
+        groups: list[list[dict]] = []
+        held = 0
         for batch in batches:
-            for _, group in groupby(batch.to_pylist(), key=lambda r: r["h"]):
+            for h, group in groupby(batch.to_pylist(), key=lambda r: r["h"]):
                 group = list(group)
-                if rows and len(rows) >= BLOCK_CONTEXTS and rows[-1]["h"] != group[0]["h"]:
-                    yield solve(rows)
-                    rows = []
-                rows += group
-        if rows:
-            yield solve(rows)
+                if groups and groups[-1][0]["h"] == h:
+                    groups[-1] += group
+                else:
+                    if held >= BLOCK_CONTEXTS:
+                        yield solve(groups)
+                        groups, held = [], 0
+                    groups.append(group)
+                held += len(group)
+        if groups:
+            yield solve(groups)
 
     return run
 
@@ -265,16 +312,16 @@ def _locate(window: int):
 def _cut(window: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=SLICE):
                 totals, removed, kept = [], [], []
-                for text, starts in zip(texts_as_bytes(part), part.column("starts").to_pylist()):
+                for text, spans in zip(texts_as_bytes(part), part.column("spans").to_pylist()):
                     words = text.split()
                     totals.append(len(words))
-                    if starts:
+                    if spans:
                         change = np.zeros(len(words) + 1, np.int64)
-                        at = np.unique(np.array(starts, np.int64))
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + window, -1)
+                        both = np.array([(x["at"], x["at"] + x["n"] + window - 1) for x in spans], np.int64)
+                        np.add.at(change, both[:, 0], 1)
+                        np.add.at(change, both[:, 1], -1)
                         words = [w for w, c in zip(words, (np.cumsum(change)[:-1] > 0).tolist()) if not c]
                     removed.append(totals[-1] - len(words))
                     kept.append(b" ".join(words))
@@ -286,8 +333,8 @@ def _cut(window: int):
 def _add_row(batches):
     """The text's hash, which with did names a row."""
     for batch in batches:
-        for part in slices(batch):
-            yield pa.record_batch([*part.columns, pa.array(_row_columns(part)[1], pa.int64())], [*part.schema.names, "th"])
+        for part in slices(batch, max_bytes=SLICE):
+            yield pa.record_batch([*part.columns, pa.array(_row_columns(part)[1], pa.int32())], [*part.schema.names, "th"])
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -305,29 +352,23 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ma
     scratch = Scratch(spark, "phrases")
     own = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = own.select("text").mapInArrow(_anchors_by_task(window, gram), "h long, n int")
-    dealt = anchors.mapInArrow(_shard_hashes(shards), "shard int, h long, n int").repartitionById(shards, "shard").select("h", "n")
-    filtered = scratch.table(dealt.mapInArrow(_filter_shard, "shard int, n long, twice binary, suspects binary"), "filters")
-    if (filtered.agg(F.sum(F.length("twice"))).first()[0] or 0) <= max_filter_bytes:
-        sizes, bits = np.zeros(shards, np.uint64), {}
-        for row in filtered.select("shard", "twice").toLocalIterator():
-            bits[row.shard] = np.frombuffer(row.twice, np.uint8)
-            sizes[row.shard] = len(row.twice) * 8
-        packed = np.concatenate([bits.get(i, np.zeros(0, np.uint8)) for i in range(shards)] + [np.zeros(1, np.uint8)])
-        filters = spark.sparkContext.broadcast((sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64), packed, shards))
+    filtered = filters_of(own.select("text").mapInArrow(_anchors_by_task(window, gram, shards), PACKED), scratch, shards)
+    filters = collected(filtered, shards, max_filter_bytes)
+    if filters is not None:
         runs = own.select("did", "text").mapInArrow(_contexts(window, gram, filters), _CONTEXT)
     else:
         hashes = filtered.select("suspects").mapInArrow(_unpack, "h long")
-        marks = own.select("did", "text").mapInArrow(_all_runs(window, gram), "h long, did long, th long, start int, n int").join(hashes, "h", "left_semi").groupBy("did", "th").agg(F.collect_list(F.struct("h", "start", "n")).alias("marks"))
-        rows = own.select("did", "text").mapInArrow(_add_row, "did long, text string, th long")
+        marks = own.select("did", "text").mapInArrow(_all_runs(window, gram), "h long, did long, th int, start int, n int").join(hashes, "h", "left_semi").groupBy("did", "th").agg(F.collect_list(F.struct("h", "start", "n")).alias("marks"))
+        rows = own.select("did", "text").mapInArrow(_add_row, "did long, text string, th int")
         runs = rows.join(marks, ["did", "th"]).select("did", "text", "marks").mapInArrow(_marked_contexts(window), _CONTEXT)
     runs = scratch.table(runs, "runs")
     first = F.min(F.struct("did", "th", "start")).alias("at")
-    contexts = runs.groupBy("h", "digest").agg(first, F.count("*").alias("n"), F.max("context").alias("context")).select("h", "digest", "at.did", "at.th", "at.start", "n", "context")
-    located = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_locate(window), "digest binary, firsts array<struct<i:int,did:long,th:long,start:int>>")
-    earlier = F.transform(F.filter("firsts", lambda x: (x.did != F.col("did")) | (x.th != F.col("th")) | (x["start"] != F.col("start") + x.i)), lambda x: F.col("start") + x.i)
-    starts = runs.select("digest", "did", "th", "start").join(located, "digest").select("did", "th", earlier.alias("starts")).where(F.size("starts") > 0)
-    starts = scratch.table(starts.groupBy("did", "th").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
+    contexts = runs.groupBy("h", "d1", "d2").agg(first, F.count("*").alias("n"), F.max("context").alias("context")).select("h", "d1", "d2", "at.did", "at.th", "at.start", "n", "context")
+    located = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_locate(window), _LOCATED)
+    here = F.filter("segments", lambda x: (x.did != F.col("did")) | (x.th != F.col("th")) | (x["start"] != F.col("start") + x.i))
+    spans = F.transform(here, lambda x: F.struct((F.col("start") + x.i).alias("at"), x.n.alias("n")))
+    found = runs.select("d1", "d2", "did", "th", "start").join(located, ["d1", "d2"]).select("did", "th", spans.alias("spans")).where(F.size("spans") > 0)
+    found = scratch.table(found.groupBy("did", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     scratch.drop("runs")
-    rows = own.mapInArrow(_add_row, "doc_id long, did long, text string, th long")
-    return rows.join(starts, ["did", "th"], "left").select("doc_id", "text", "starts").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string")
+    rows = own.mapInArrow(_add_row, "doc_id long, did long, text string, th int")
+    return rows.join(found, ["did", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string")
