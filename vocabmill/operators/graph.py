@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed_values import IS_A
+from ..functions.staging import staged
 
 
 def _named(edges: DataFrame, concepts: DataFrame, at: str, other: str) -> DataFrame:
@@ -47,7 +48,7 @@ def reach(starts: DataFrame, edges: DataFrame, max_depth: int = 10, up: bool = T
     frontier = seen
     for depth in range(1, max_depth + 1):
         fresh = frontier.join(step, F.col("reached") == F.col("at")).select("code", F.col("next").alias("reached")).distinct()
-        fresh = fresh.join(seen, ["code", "reached"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        fresh = staged(fresh.join(seen, ["code", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
             break
         seen, frontier = seen.unionByName(fresh), fresh

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import normalize as nz
+from ..functions.staging import staged
 from ..operators import fuzzy, lookup as lk
 
 RESULT = ("term_id", "system", "found", "code", "display", "confidence", "match_type", "via")
@@ -15,10 +16,17 @@ def _named(hits: DataFrame, concepts: DataFrame, system: str, via: str) -> DataF
     return hits.join(known, "id").select("term_id", F.lit(system).alias("system"), F.lit(True).alias("found"), "code", "display", "confidence", "match_type", F.lit(via).alias("via"), "tier")
 
 
+def _looked_up(tiers, asked: DataFrame, concepts: DataFrame) -> DataFrame:
+    """The best hit of each asked row; each distinct query is looked up once."""
+    distinct = staged(asked.select(F.col("q").alias("term_id"), "q").distinct())
+    hits = staged(lk.best(tiers(distinct, concepts, F.col("q"))))
+    return asked.join(hits.withColumnRenamed("term_id", "q"), "q").select("term_id", "id", "tier", "confidence", "match_type")
+
+
 def _through(queries: DataFrame, tiers, concepts: DataFrame, system: str, via: str, confidence: float) -> DataFrame:
     """Terms looked up as other words: queries (term_id, position, q)."""
     asked = queries.withColumn("__t", F.col("term_id")).withColumn("term_id", F.struct("__t", "position")).select("term_id", "q")
-    hits = lk.best(tiers(asked, concepts, F.col("q")))
+    hits = _looked_up(tiers, asked, concepts)
     first = hits.select(F.col("term_id.__t").alias("term_id"), F.struct(F.col("term_id.position").alias("position"), "id").alias("m")).groupBy("term_id").agg(F.min("m").alias("m"))
     return _named(first.select("term_id", "m.id", F.lit(0).alias("tier"), F.lit(confidence).alias("confidence"), F.lit(via).alias("match_type")), concepts, system, via)
 
@@ -48,7 +56,7 @@ def map_terms(terms: DataFrame, concepts: dict[str, DataFrame], synonyms: DataFr
     type are those of the tier that hit.
     """
     tiers = {"snomed": lk.condition_tiers, "loinc": lk.lab_tiers, "rxnorm": lk.drug_tiers}
-    asked = terms.select("term_id", "term", nz.normalize_term(F.col("term")).alias("q")).where("q <> ''")
+    asked = staged(terms.select("term_id", "term", nz.normalize_term(F.col("term")).alias("q")).where("q <> ''"))
     out = None
     for system, own in concepts.items():
         steps = []
@@ -67,10 +75,10 @@ def map_terms(terms: DataFrame, concepts: dict[str, DataFrame], synonyms: DataFr
             systems = terms.sparkSession.createDataFrame([(system,)], "system string")
             remote = lookup(asked, providers, systems)
             steps.append(remote.select("term_id", "system", F.lit(True).alias("found"), "code", "display", "confidence", F.lit("exact").alias("match_type"), F.lit("provider").alias("via"), F.lit(-4 if system == "rxnorm" else 90).alias("tier")))
-        steps.append(_named(lk.best(tiers[system](asked, own, F.col("q"))), own, system, "lookup"))
-        hits = lk.best([s.withColumn("id", F.lit(0)) for s in steps]).drop("tier", "id").select(*RESULT)
+        steps.append(_named(_looked_up(tiers[system], asked, own), own, system, "lookup"))
+        hits = staged(lk.best([s.withColumn("id", F.lit(0)) for s in steps]).drop("tier", "id").select(*RESULT))
         if include_fuzzy:
-            left = asked.join(hits, "term_id", "left_anti")
+            left = staged(asked.join(hits, "term_id", "left_anti"))
             hits = hits.unionByName(_fuzzy(left, own, system).select(*RESULT))
         missing = terms.select("term_id").withColumn("system", F.lit(system)).join(hits.select("term_id"), "term_id", "left_anti")
         none = missing.select("term_id", "system", F.lit(False).alias("found"), *[F.lit(None).cast(t).alias(c) for c, t in zip(RESULT[3:], ("string", "string", "double", "string", "string"))])
