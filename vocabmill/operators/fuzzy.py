@@ -28,21 +28,31 @@ def _bigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2))))
 
 
-def candidates(queries: DataFrame, keys: DataFrame, least: float) -> DataFrame:
-    """(q, key): distinct pairs whose indel or difflib ratio may reach ``least`` (0 to 1).
+#: Queries of so many letters or fewer also meet keys on single letters.
+SHORT = 3
 
-    2M / (|a| + |b|) >= least bounds the lengths' ratio and needs M characters in
-    common; from least 0.7 on, matched strings of four characters or more share a
-    bigram unless their matches are all isolated, which then costs at least one
-    edit a character and keeps the ratio below 0.7.  Pairs meet on bigrams.
+
+def _letters(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1))))
+
+
+def candidates(queries: DataFrame, keys: DataFrame, least: float = 0.0) -> DataFrame:
+    """(q, key): distinct pairs that share two neighbouring letters, or a letter if the query is short.
+
+    With ``least`` above 0, 2 * min(|q|, |key|) / (|q| + |key|), which bounds an
+    indel or difflib ratio, must reach it.  No pair with such a ratio of 0.8 or
+    more is missed: if no two neighbouring letters are shared, n matching
+    letters need n - 1 others between them, so the ratio is at most
+    2n / (3n - 1), which reaches 0.8 for n up to 2 alone.  A key of one letter
+    meets short queries only.
     """
-    grams = lambda df, c: df.select(F.col(c), F.explode(_bigrams(F.col(c))).alias("gram"))
-    a, b = grams(queries.select("q").where("q <> ''").distinct(), "q"), grams(keys.select("key").where("key <> ''").distinct(), "key")
+    a = queries.select("q").where("q <> ''").distinct().withColumn("gram", F.explode(F.when(F.length("q") <= SHORT, F.array_union(_bigrams(F.col("q")), _letters(F.col("q")))).otherwise(_bigrams(F.col("q")))))
+    b = keys.select("key").where("key <> ''").distinct().withColumn("gram", F.explode(F.array_union(_bigrams(F.col("key")), _letters(F.col("key")))))
     shorter, both = F.least(F.length("q"), F.length("key")), F.length("q") + F.length("key")
     return a.join(b, "gram").where(2 * shorter / both >= least).select("q", "key").distinct()
 
 
-def scored(queries: DataFrame, keys: DataFrame, scorers: dict[str, float], least: float = 0.7) -> DataFrame:
+def scored(queries: DataFrame, keys: DataFrame, scorers: dict[str, float], least: float = 0.0) -> DataFrame:
     """(q, key, method, score): pairs that reach their method's threshold, scores from 0 to 100."""
     pairs = candidates(queries, keys, least)
     columns = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("method"), sim.scorer(n)("q", "key").alias("score"), F.lit(t).alias("least")) for i, (n, t) in enumerate(scorers.items())]

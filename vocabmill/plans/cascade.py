@@ -38,7 +38,7 @@ def _fuzzy(left: DataFrame, concepts: DataFrame, system: str) -> DataFrame:
     exact = fuzzy.by_variation(left, indexed).select("term_id", "code", "display", "score", F.lit("variation").alias("match_type"))
     rest = left.join(exact, "term_id", "left_anti").withColumn("q", query)
     keys = indexed.select(F.col("variation").alias("key"))
-    string = fuzzy.scored(rest, keys, {"difflib_ratio": 0.8}).select("q", "key", (F.col("score") * 100).alias("score"), F.lit("levenshtein").alias("match_type"))
+    string = fuzzy.scored(rest, keys, {"difflib_ratio": 0.8}, least=0.8).select("q", "key", (F.col("score") * 100).alias("score"), F.lit("levenshtein").alias("match_type"))
     tokens = fuzzy.token_jaccard(rest, keys).select("q", "key", (F.col("jaccard") * 100).alias("score"), F.lit("token").alias("match_type"))
     angle = fuzzy.cosine(rest, fuzzy.tfidf(concepts.select(F.lower("term").alias("key")))).select("q", "key", (F.col("cosine") * 100).alias("score"), F.lit("cosine").alias("match_type"))
     top = string.unionByName(tokens).unionByName(angle).groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), F.when(F.col("match_type") == "levenshtein", 0).when(F.col("match_type") == "token", 1).otherwise(2).alias("place"), "key", "match_type")).alias("m"))
