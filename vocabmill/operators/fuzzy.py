@@ -12,16 +12,18 @@ def index(concepts: DataFrame) -> DataFrame:
 
     Inactive concepts are indexed too; synonyms only widen the query's side.
     """
-    spread = concepts.select("id", "code", "display", F.explode(nz.variations(F.lower("term"))).alias("variation"))
-    return spread.groupBy("variation").agg(F.max(F.struct("id", "code", "display")).alias("m")).select("variation", "m.*")
+    last = concepts.groupBy(F.lower("term").alias("t")).agg(F.max(F.struct("id", "code", "display")).alias("m"))
+    spread = last.select("m", F.explode(nz.variations(F.col("t"))).alias("variation"))
+    return spread.groupBy("variation").agg(F.max("m").alias("m")).select("variation", "m.*")
 
 
 def by_variation(terms: DataFrame, indexed: DataFrame, synonyms: Column | None = None) -> DataFrame:
     """FUZ01: (term_id, variation, code, display) with score 100: the term itself first, then by letters."""
-    query = nz.clean(F.col("term"))
-    spread = terms.select("term_id", query.alias("q"), F.explode(nz.variations(query, synonyms)).alias("variation"))
+    asked = terms.select("term_id", nz.clean(F.col("term")).alias("q"), (synonyms if synonyms is not None else F.lit(None).cast("array<string>")).alias("s"))
+    spread = asked.select("q", "s").distinct().select("q", F.explode(nz.variations(F.col("q"), F.col("s"))).alias("variation"))
     hits = spread.join(indexed, "variation")
-    return hits.groupBy("term_id").agg(F.min(F.struct((F.col("variation") != F.col("q")).alias("other"), "variation", "code", "display")).alias("m")).select("term_id", "m.variation", "m.code", "m.display", F.lit(100.0).alias("score"))
+    best = hits.groupBy("q").agg(F.min(F.struct((F.col("variation") != F.col("q")).alias("other"), "variation", "code", "display")).alias("m"))
+    return asked.join(best, "q").select("term_id", "m.variation", "m.code", "m.display", F.lit(100.0).alias("score"))
 
 
 def _bigrams(text: Column) -> Column:

@@ -33,10 +33,10 @@ def _through(queries: DataFrame, tiers, concepts: DataFrame, system: str, via: s
 
 def _fuzzy(left: DataFrame, concepts: DataFrame, system: str) -> DataFrame:
     """FUZ01 on the terms that nothing else found: variations, then difflib and tokens, then cosine."""
-    indexed = fuzzy.index(concepts)
+    indexed = staged(fuzzy.index(concepts))
     query = nz.clean(F.col("term"))
-    exact = fuzzy.by_variation(left, indexed).select("term_id", "code", "display", "score", F.lit("variation").alias("match_type"))
-    rest = left.join(exact, "term_id", "left_anti").withColumn("q", query)
+    exact = staged(fuzzy.by_variation(left, indexed).select("term_id", "code", "display", "score", F.lit("variation").alias("match_type")))
+    rest = staged(left.join(exact, "term_id", "left_anti").withColumn("q", query))
     keys = indexed.select(F.col("variation").alias("key"))
     string = fuzzy.scored(rest, keys, {"difflib_ratio": 0.8}, least=0.8).select("q", "key", (F.col("score") * 100).alias("score"), F.lit("levenshtein").alias("match_type"))
     tokens = fuzzy.token_jaccard(rest, keys).select("q", "key", (F.col("jaccard") * 100).alias("score"), F.lit("token").alias("match_type"))
