@@ -90,6 +90,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + max_bytes, "right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()  # idle workers keep no more than they use
 
 
 def texts_as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -178,20 +178,23 @@ def held_out(modulus: int, remainder: int) -> Column:
 def relabel(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, n: int = N, seed: int = SEED) -> DataFrame:
     """docs with lang as predicted from the text, without the rows that get ``und``."""
     matrix = np.array(list(prototypes.values())).reshape(len(prototypes), dimensions)
-    predict = F.arrow_udf(_predictor(list(prototypes), matrix, dimensions, n, seed), "string")
-    found = docs.withColumn("lang", predict(F.col("text")))
-    return found.where(F.col("lang") != UNKNOWN).select(docs.columns)
-
-
-def _predictor(names: list[str], prototypes: np.ndarray, dimensions: int, n: int, seed: int):
-    def run(texts: pa.Array) -> pa.Array:
-        space, langs = _space(dimensions, n, seed), []
-        for text in texts.to_pylist():
-            if text is None or not names or not has_letter(text):
-                langs.append(UNKNOWN)
-            else:
-                v = space.bundle(text)
-                langs.append(names[int(np.argmax(prototypes @ (v / (np.linalg.norm(v) or 1.0))))])
-        return pa.array(langs, pa.string())
+    return docs.mapInArrow(_relabelled(list(prototypes), matrix, dimensions, n, seed), docs.schema)
+
+
+def _relabelled(names: list[str], prototypes: np.ndarray, dimensions: int, n: int, seed: int):
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("lang")
+            for part in slices(batch):
+                space, langs = _space(dimensions, n, seed), []
+                for raw in texts_as_bytes(part):
+                    text, lang = raw.decode("utf-8"), None
+                    if names and has_letter(text):
+                        v = space.bundle(text)
+                        lang = names[int(np.argmax(prototypes @ (v / (np.linalg.norm(v) or 1.0))))]
+                    langs.append(lang)
+                found = pa.array(langs, pa.string())
+                columns = [found if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.record_batch(columns, schema=part.schema).filter(found.is_valid())
 
     return run
