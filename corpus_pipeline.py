@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vocabmill.llm import decontamination, langid, mixing, simhash, token_output
+from vocabmill.llm import decontamination, langid, mixing, near_copies, token_output
 from vocabmill.llm._shared import Scratch
 from vocabmill.llm.queries import quality_weights, tokenizer_path
 
@@ -24,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash component."""
-    return simhash.first_of_each(docs)
+    """The document with the smallest doc_id of each component of near copies: 5-word shingles, Jaccard 0.8 or more."""
+    return near_copies.first_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +47,13 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup by shingle Jaccard", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("mixing sources to target weights", mix_sources),
     ("token-ID output", write_token_ids),
 ]
 
-#: SQL expresses neither SimHash nor tokenizers.
+#: SQL expresses neither language profiles nor tokenizers.
 ORACLE_SQL = None
 
 

@@ -402,3 +402,54 @@ def test_pipeline(spark, tmp_path):
     assert set(kept[3]) <= set(kept[2]) and len(kept[3]) > len(kept[2])
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == kept[3]
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_copies(spark, monkeypatch, small):
+    """Links are exact Jaccard of 5-word shingles >= 0.8, for small groups and for chunks of large ones."""
+    from vocabmill.llm import near_copies as nc
+
+    monkeypatch.setattr(nc, "SMALL", small)
+    monkeypatch.setattr(nc, "CHUNK", 3)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts, line = [], " ".join(word() for _ in range(9))
+    for i in range(12):
+        base = [word() for _ in range(rng.choice((8, 60, 120)))]
+        for j in range(rng.choice((1, 4, 9))):
+            own = list(base)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own) + (" " + line if rng.random() < 0.5 else ""))
+    texts += [line, line.upper(), "  " + line, "", None, " \n", "one two", "one  TWO", "two one", texts[3]]
+    rng.shuffle(texts)
+
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets, of = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                a, b = sorted((of[i], of[j]))
+                of = [a if x == b else x for x in of]
+    kept = nc.first_of_each(docs_of(spark, list(enumerate(texts)), extra=True))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(of)) and len(set(of)) < len(texts) - 10
+    assert nc.first_of_each(docs_of(spark, [])).count() == 0
+
+
+def test_pipeline_near_dedup(spark):
+    """Of 60 words one differs, 5 of 56 shingles, but the fingerprints can differ by more than op8's 4 bits."""
+    import corpus_pipeline
+    from vocabmill.llm.simhash import fingerprint
+
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    while True:
+        other = list(base)
+        other[30] = f"x{rng.randrange(10**6)}"
+        if (fingerprint(" ".join(base).encode()) ^ fingerprint(" ".join(other).encode())).bit_count() > 4:
+            break
+    docs = docs_of(spark, [(1, " ".join(base)), (2, " ".join(other)), (3, "something else")])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]

@@ -172,13 +172,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs' rows whose doc_id is its component's smallest.
-
-    Rows that repeat a doc_id are one document and stay together, as are rows
-    with a null doc_id; those stay if no document with an id is like them.
-    """
-    found = near_duplicates(docs).select("doc_id", "component_id").where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
