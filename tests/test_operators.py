@@ -175,3 +175,29 @@ def test_stream(spark, tmp_path):
     query = jobs.run(jobs.first_seen(jobs.term_stream(spark, str(tmp_path / "in"), 2)), lambda df: engine.map_terms(df.select("term_id", "term"), include_fuzzy=False), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and jobs.progress(query)["rows"] == 6
+
+
+def test_jaro_winkler_misses_no_pair(spark):
+    """Against all pairs: short and swapped names share no two neighbouring letters."""
+    import itertools
+    import random
+
+    from vocabmill.functions.similarity import jaro_winkler
+    from vocabmill.operators.fuzzy import jaro_winkler_candidates
+
+    rng = random.Random(3)
+    names = {"form", "from", "abcd", "acbd", "abcdefg", "acbdfeg", "a", "ab", "ba", "aa", "\u00e9t\u00e9", "t\u00e9\u00e9"}
+    for _ in range(60):
+        name = [rng.choice("abcde fg") for _ in range(rng.randrange(1, 24))]
+        names.add("".join(name))
+        for _ in range(3):
+            for _ in range(rng.randrange(3)):
+                i = rng.randrange(len(name))
+                name[i : i + 2] = name[i : i + 2][::-1]
+            names.add("".join(name)[: rng.randrange(1, 30)])
+    names = sorted(names)
+    rows = spark.createDataFrame([(x,) for x in names], "q string")
+    found = {(r.q, r.key) for r in jaro_winkler_candidates(rows, rows.withColumnRenamed("q", "key")).collect()}
+    wanted = {(x, y) for x, y in itertools.product(names, names) if round(jaro_winkler(x, y), 6) >= 0.9}
+    assert wanted <= found and ("form", "from") in wanted and ("abcdefg", "acbdfeg") in wanted
+    assert len(found) < len(names) ** 2 / 2

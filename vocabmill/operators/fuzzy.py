@@ -54,6 +54,37 @@ def candidates(queries: DataFrame, keys: DataFrame, least: float = 0.0) -> DataF
     return a.join(b, "gram").where(2 * shorter / both >= least).select("q", "key").distinct()
 
 
+def _numbered_letters(text: Column) -> Column:
+    """The text's letters, each numbered among its equals; high numbers, which few texts have, first."""
+    letters = F.array_sort(F.filter(F.split(text, ""), lambda x: x != ""))
+    return F.sort_array(F.transform(letters, lambda x, i: F.struct((i + 2 - F.array_position(letters, x)).cast("int").alias("n"), x.alias("x"))), asc=False)
+
+
+def jaro_winkler_candidates(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(q, key): distinct pairs of non-empty texts; none with a Jaro-Winkler similarity of 0.9 or more is missed.
+
+    Of lengths a and b with m matching letters, Jaro is at most
+    (m / a + m / b + 1) / 3.  0.9 takes a Jaro of 5/6 if the first four letters
+    are equal, of 6/7 else; so m / a + m / b reaches 3/2 or 11/7 (a little less
+    here, as similarities are rounded), and the texts share so many numbered
+    letters.  Pairs meet on their first four letters, or on their lengths and a
+    numbered letter of both prefixes: two sets that share t of a and b elements
+    share one of the first a - t + 1 and b - t + 1 in a common order.
+    """
+    a = queries.select("q").where("q <> ''").distinct().select("q", F.length("q").alias("a"), _numbered_letters(F.col("q")).alias("x"))
+    b = keys.select("key").where("key <> ''").distinct().select("key", F.length("key").alias("b"), _numbered_letters(F.col("key")).alias("y"))
+    lengths = a.select("a").distinct().crossJoin(b.select("b").distinct())  # as many rows as pairs of lengths
+    shares = lambda least: F.ceil(least * F.col("a") * F.col("b") / (F.col("a") + F.col("b"))).cast("int")
+    near = lengths.withColumn("t", shares(1.57)).where("t <= least(a, b)")
+    one = a.join(near, "a").select("q", "a", "b", "x", F.explode(F.expr("slice(x, 1, a - t + 1)")).alias("letter"))
+    two = b.join(near, "b").select("key", "a", "b", "y", F.explode(F.expr("slice(y, 1, b - t + 1)")).alias("letter"))
+    # a pair is kept where it meets first
+    met = one.join(two, ["a", "b", "letter"]).where((F.size(F.array_intersect("x", "y")) >= shares(1.57)) & (F.element_at(F.array_intersect("x", "y"), 1) == F.col("letter"))).select("q", "key")
+    start = lambda c: F.substring(c, 1, 4)
+    alike = a.where("a >= 4").join(b.where("b >= 4"), start("q") == start("key")).where(F.size(F.array_intersect("x", "y")) >= shares(1.499)).select("q", "key")
+    return met.union(alike).distinct()
+
+
 def scored(queries: DataFrame, keys: DataFrame, scorers: dict[str, float], least: float = 0.0) -> DataFrame:
     """(q, key, method, score): pairs that reach their method's threshold, scores from 0 to 100."""
     pairs = candidates(queries, keys, least)

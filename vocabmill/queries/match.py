@@ -398,7 +398,7 @@ def fuz10_levenshtein(spark, d):
 
 def fuz10_jaro_winkler(spark, d):
     queries, keys = _names(spark, d)
-    return fz.candidates(queries, keys, 0.4).select("q", "key", F.round(sim.scorer("jaro_winkler")("q", "key"), 6).alias("similarity")).where("similarity >= 0.9")
+    return fz.jaro_winkler_candidates(queries, keys).select("q", "key", F.round(sim.scorer("jaro_winkler")("q", "key"), 6).alias("similarity")).where("similarity >= 0.9")
 
 
 _bigrams = lambda c: f"list_transform(range(1, greatest(length({c}), 2)), lambda i: substr({c}, i, 2))"
