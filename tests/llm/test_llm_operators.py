@@ -453,3 +453,14 @@ def test_pipeline_near_dedup(spark):
             break
     docs = docs_of(spark, [(1, " ".join(base)), (2, " ".join(other)), (3, "something else")])
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_decontamination_by_row(spark):
+    from vocabmill.llm.decontamination import without_overlaps
+
+    item = "the quick brown fox jumps over the lazy dog"
+    docs = docs_of(spark, [(None, item), (None, "clean one"), (None, None), (1, f"so {item}"), (1, "clean two"), (2, "clean three")])
+    bench = spark.createDataFrame([(0, item), (1, "seven wizards brew potions in silence")], "item_id long, text string")
+    assert without_overlaps(docs, bench).count() == 4
+    for kept in (without_overlaps(docs, bench, block_bytes=8 << 20), without_overlaps(docs, bench, block_bytes=10)):
+        assert sorted(str(r.text) for r in kept.collect()) == ["None", "clean one", "clean three", "clean two"]

@@ -173,6 +173,26 @@ def covered_items(text: str, seeds: Seeds, min_coverage: float) -> list[tuple]:
     return out
 
 
+def _clean(seeds, min_coverage: float):
+    def run(batches):
+        own = seeds.value
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array([not covered_items(raw.decode("utf-8"), own, min_coverage) for raw in texts_as_bytes(part)], pa.bool_()))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, min_match: int, block_bytes: int):
+    """The benchmark's seeds, broadcast block by block."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-2 * total // block_bytes))
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield benchmark.sparkSession.sparkContext.broadcast(Seeds([tuple(r) for r in block.toLocalIterator()], min_match))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, coverage, tiles, longest) of contaminated documents.
 
@@ -182,20 +202,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
     match.  Rows that repeat are compared each by themselves and give equal
     rows.  A null doc_id stays null.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_bytes))
     found = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        seeds = spark.sparkContext.broadcast(Seeds([tuple(r) for r in block.toLocalIterator()], min_match))
+    for seeds in _blocks(benchmark, min_match, block_bytes):
         part = docs.select("doc_id", "text").mapInArrow(_overlaps(seeds, min_coverage), "doc_id long, item_id long, coverage double, tiles long, longest long")
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that cover an item; rows with a null doc_id stay unless one of them does."""
-    gone = overlaps(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows whose own text covers an item, whatever their doc_id."""
+    for seeds in _blocks(benchmark, min_match, block_bytes):
+        docs = docs.mapInArrow(_clean(seeds, min_coverage), docs.schema)
+    return docs
