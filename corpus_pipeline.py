@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies: 5-word shingles, Jaccard 0.8 or more."""
+    """The row with the smallest doc_id of each component of near copies: 5-word shingles, Jaccard 0.8 or more."""
     return near_copies.first_of_each(docs)
 
 

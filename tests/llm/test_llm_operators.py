@@ -464,3 +464,13 @@ def test_decontamination_by_row(spark):
     assert without_overlaps(docs, bench).count() == 4
     for kept in (without_overlaps(docs, bench, block_bytes=8 << 20), without_overlaps(docs, bench, block_bytes=10)):
         assert sorted(str(r.text) for r in kept.collect()) == ["None", "clean one", "clean three", "clean two"]
+
+
+def test_near_copies_by_row(spark):
+    """One row of each component stays, whatever ids repeat or are null."""
+    from vocabmill.llm.near_copies import first_of_each
+
+    rows = [(None, "alpha beta"), (None, "alpha beta"), (None, "gamma delta"), (1, "gamma delta"), (2, "some text"), (2, "some text"), (2, "other text"), (3, ""), (3, None), (4, "  ")]
+    kept = first_of_each(docs_of(spark, rows, extra=True)).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in kept) == [(0, "alpha beta"), (1, "gamma delta"), (2, "other text"), (2, "some text"), (3, "")]
+    assert set(kept[0].asDict()) == set(docs_of(spark, rows, extra=True).columns)

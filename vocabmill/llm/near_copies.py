@@ -237,15 +237,22 @@ def roots(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs' rows whose doc_id is the smallest of its component of near copies.
+    """One row of each component of near copies.
 
-    Texts without words are copies of one another.  Rows that repeat a doc_id
-    are one document and stay together, as are rows with a null doc_id; those
-    stay if no document with an id is like them.
+    It has the smallest doc_id, nulls last, then the smallest hash of its text,
+    then the least values.  Texts without words are copies of one another.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-copies")
-    own = docs.select("doc_id", node_of(F.col("text")).alias("node")).groupBy("node").agg(F.min("doc_id").alias("least"))
-    labelled = own.join(roots(docs, scratch), "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    found = labelled.groupBy("root").agg(F.min("least").alias("__id")).select("__id").distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    own = docs.select("doc_id", node_of(F.col("text")).alias("node")).groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "n")
+    nodes = own.groupBy("node").agg(F.min(place).alias("least"))
+    labelled = nodes.join(roots(docs, scratch), "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("m"))
+    kept = scratch.table(least.select(F.col("m.doc_id").alias("__id"), F.col("m.node").alias("__node"), F.col("m.n").alias("__n")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (node_of(F.col("text")) == F.col("__node"))
+    found = docs.join(kept.where("__n = 1"), same, "left_semi")
+    repeats = kept.where("__n > 1")
+    if repeats.isEmpty():
+        return found
+    one = docs.join(repeats, same).groupBy("__id", "__node").agg(F.min(F.struct(*docs.columns)).alias("m"))
+    return found.unionByName(one.select("m.*"))
