@@ -474,3 +474,10 @@ def test_near_copies_by_row(spark):
     kept = first_of_each(docs_of(spark, rows, extra=True)).collect()
     assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in kept) == [(0, "alpha beta"), (1, "gamma delta"), (2, "other text"), (2, "some text"), (3, "")]
     assert set(kept[0].asDict()) == set(docs_of(spark, rows, extra=True).columns)
+
+
+def test_language_id_keeps_rare_languages(spark):
+    from vocabmill.llm.langid import learn
+
+    rows = [(i, f"the other thing {i}", "en", "s", 0) for i in range(3000)] + [(7_000_000 + i, "это жизнь", "ru", "s", 0) for i in range(2)] + [(None, "nicht schön", "de", "s", 0)] * 50
+    assert sorted(learn(spark.createDataFrame(rows, DOCS), F.lit(True), learn_rows=10)) == ["de", "en", "ru"]

@@ -23,7 +23,7 @@ from ._shared import slices, texts_as_bytes, worker_state
 
 DIMENSIONS, N, SEED = 512, 3, 7
 SYMBOLS = 128
-#: Prototypes are bundled from about so many learning rows, chosen by hash.
+#: A prototype is bundled from about so many of its language's learning rows, chosen by hash.
 LEARN_ROWS = 20_000
 UNKNOWN = "und"
 _MEMO_GRAMS = 60_000
@@ -126,10 +126,16 @@ def _bundles(dimensions: int, n: int, seed: int):
 
 
 def learn(docs: DataFrame, learnable: Column, learn_rows: int = LEARN_ROWS, dimensions: int = DIMENSIONS, n: int = N, seed: int = SEED) -> dict[str, np.ndarray]:
-    """A unit prototype for each language of docs' learnable rows with a lang and a text."""
-    own = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, learn_rows / max(1, own.count()))
-    chosen = own.where(F.xxhash64(F.lit("learn"), "doc_id").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)) + 1)
+    """A unit prototype for each language of docs' learnable rows with a lang and a text.
+
+    It is bundled from about ``learn_rows`` of the language's rows, or all if
+    there are fewer, and from at least one.
+    """
+    place = F.xxhash64(F.lit("learn"), F.coalesce("doc_id", F.xxhash64("text"))).bitwiseAND(F.lit((1 << 30) - 1))
+    own = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", place.alias("place"))
+    most = F.greatest(F.min("place"), F.least(F.lit(1.0), learn_rows / F.count("*")) * (1 << 30))
+    limits = own.groupBy("lang").agg(most.alias("most"))  # a row for each language
+    chosen = own.join(F.broadcast(limits), "lang").where("place <= most")
     sums = chosen.select("lang", "text").mapInArrow(_bundles(dimensions, n, seed), "lang string, at int, total double")
     found: dict[str, np.ndarray] = {}
     for r in sums.groupBy("lang", "at").agg(F.sum("total").alias("total")).collect():  # dimensions x languages numbers
