@@ -481,3 +481,10 @@ def test_language_id_keeps_rare_languages(spark):
 
     rows = [(i, f"the other thing {i}", "en", "s", 0) for i in range(3000)] + [(7_000_000 + i, "это жизнь", "ru", "s", 0) for i in range(2)] + [(None, "nicht schön", "de", "s", 0)] * 50
     assert sorted(learn(spark.createDataFrame(rows, DOCS), F.lit(True), learn_rows=10)) == ["de", "en", "ru"]
+
+
+def test_relabel_without_languages(spark):
+    from vocabmill.llm.langid import relabel
+
+    rows = spark.createDataFrame([(1, "some text", None, "s", 0), (2, "123 ...", None, "s", 0), (3, None, "en", "s", 0), (4, "жизнь", "xx", "s", 0)], DOCS)
+    assert sorted((r.doc_id, r.lang) for r in relabel(rows, {}).collect()) == [(1, None), (4, "xx")]

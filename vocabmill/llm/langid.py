@@ -182,7 +182,10 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 
 def relabel(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, n: int = N, seed: int = SEED) -> DataFrame:
-    """docs with lang as predicted from the text, without the rows that get ``und``."""
+    """docs with lang as predicted from the text, without the rows that have no letter.
+
+    If nothing was learned, lang stays as it is.
+    """
     matrix = np.array(list(prototypes.values())).reshape(len(prototypes), dimensions)
     return docs.mapInArrow(_relabelled(list(prototypes), matrix, dimensions, n, seed), docs.schema)
 
@@ -192,15 +195,16 @@ def _relabelled(names: list[str], prototypes: np.ndarray, dimensions: int, n: in
         for batch in batches:
             at = batch.schema.get_field_index("lang")
             for part in slices(batch):
-                space, langs = _space(dimensions, n, seed), []
+                space, langs, keep = _space(dimensions, n, seed), [], []
                 for raw in texts_as_bytes(part):
                     text, lang = raw.decode("utf-8"), None
-                    if names and has_letter(text):
+                    keep.append(has_letter(text))
+                    if names and keep[-1]:
                         v = space.bundle(text)
                         lang = names[int(np.argmax(prototypes @ (v / (np.linalg.norm(v) or 1.0))))]
                     langs.append(lang)
                 found = pa.array(langs, pa.string())
-                columns = [found if i == at else c for i, c in enumerate(part.columns)]
-                yield pa.record_batch(columns, schema=part.schema).filter(found.is_valid())
+                columns = [found if names and i == at else c for i, c in enumerate(part.columns)]
+                yield pa.record_batch(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
 
     return run
