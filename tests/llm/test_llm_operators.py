@@ -488,3 +488,13 @@ def test_relabel_without_languages(spark):
 
     rows = spark.createDataFrame([(1, "some text", None, "s", 0), (2, "123 ...", None, "s", 0), (3, None, "en", "s", 0), (4, "жизнь", "xx", "s", 0)], DOCS)
     assert sorted((r.doc_id, r.lang) for r in relabel(rows, {}).collect()) == [(1, None), (4, "xx")]
+
+
+def test_decontamination_short_items(spark):
+    from vocabmill.llm.decontamination import overlaps, tokens
+
+    bench = spark.createDataFrame([(0, "Who wrote Faust?"), (1, "我們今天去學校學習"), (2, "zebra"), (3, "...")], "item_id long, text string")
+    docs = docs_of(spark, [(1, "tell me: who wrote FAUST"), (2, "who wrote the first Faust"), (3, "他說我們今天去學校學習嗎"), (4, "a zebra and a zebra"), (5, "who wrote faust, who wrote faust"), (6, "zebra")])
+    got = sorted((r.doc_id, r.item_id, r.coverage, r.tiles, r.longest) for r in overlaps(docs, bench).collect())
+    assert got == [(1, 0, 1.0, 1, 3), (3, 1, 1.0, 1, 9), (4, 2, 1.0, 1, 1), (5, 0, 1.0, 1, 3), (6, 2, 1.0, 1, 1)]
+    assert tokens("abc學校 d") == ["abc", "學", "校", "d"]

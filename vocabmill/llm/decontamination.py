@@ -1,6 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts become lower-cased tokens (runs of letters and digits).  A document and
+Texts become lower-cased tokens: runs of letters and digits, single ones in
+scripts written without spaces.  An item of fewer than ``min_match`` tokens is
+one seed and matches where all of it occurs.  For others, a document and
 a benchmark item are compared if they share seeds, runs of ``min_match``
 tokens, that together cover enough of the item.  Greedy string tiling then
 marks, again and again, the longest match that overlaps no earlier one, found
@@ -25,11 +27,16 @@ from ._shared import slices, texts_as_bytes
 MIN_MATCH, MIN_COVERAGE = 5, 0.5
 BLOCK_BYTES = 8 << 20
 _TOKEN = re.compile(r"[^\W_]+")
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han.
+_SPACELESS = "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
+_ANY_SPACELESS = re.compile(_SPACELESS)
+_MIXED_TOKEN = re.compile(rf"(?={_SPACELESS})[^\W_]|(?:(?!{_SPACELESS})[^\W_])+")
 _MOD = (1 << 61) - 1
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    text = text.lower()
+    return (_MIXED_TOKEN if _ANY_SPACELESS.search(text) else _TOKEN).findall(text)
 
 
 def _matches(p: list[int], t: list[int], free_p: list[bool], free_t: list[bool], size: int) -> list[tuple[int, int, int]]:
@@ -105,10 +112,18 @@ class Seeds:
         order = np.argsort(h, kind="stable")
         self.h, self.item, self.at = h[order].astype(np.uint64), item[order], at[order]
         self.known = np.unique(self.h)
-
-    def hashes(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(max(0, len(ids) - self.k + 1), np.uint64)
-        for i in range(self.k):
+        #: Length -> (hashes, ids -> item_ids) of items with fewer than min_match tokens.
+        self.short: dict[int, tuple[np.ndarray, dict[tuple, list[int]]]] = {}
+        for item_id, ids in self.items:
+            if 0 < len(ids) < min_match:
+                h, whole = self.short.get(len(ids), (np.zeros(0, np.uint64), {}))
+                whole.setdefault(tuple(ids), []).append(item_id)
+                self.short[len(ids)] = np.union1d(h, self.hashes(np.array(ids, np.uint64), len(ids))), whole
+
+    def hashes(self, ids: np.ndarray, k: int | None = None) -> np.ndarray:
+        k = k or self.k
+        out = np.zeros(max(0, len(ids) - k + 1), np.uint64)
+        for i in range(k):
             out = (out ^ ids[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(31)
         return out
@@ -128,17 +143,28 @@ def _overlaps(seeds, min_coverage: float):
     return run
 
 
+def _whole_items(ids: np.ndarray, seeds: Seeds) -> list[tuple]:
+    """covered_items of the short items, all of whose tokens occur in a row."""
+    out = []
+    for k, (known, whole) in seeds.short.items():
+        windows, first = np.unique(seeds.hashes(ids, k), return_index=True)
+        for i in first[np.isin(windows, known)].tolist():
+            out += [(item_id, 1.0, 1, k) for item_id in whole.get(tuple(ids[i : i + k].tolist()), ())]
+    return out
+
+
 def covered_items(text: str, seeds: Seeds, min_coverage: float) -> list[tuple]:
     """(item_id, coverage, tiles, longest) of each item that the text covers enough of."""
     found = tokens(text)
-    if len(found) < seeds.k or not len(seeds.known):
-        return []
     get = seeds.number.get
     ids = np.array([get(x, 0) for x in found], np.uint64)
+    out = _whole_items(ids, seeds)
+    if len(found) < seeds.k or not len(seeds.known):
+        return out
     absent = np.concatenate([[0], np.cumsum(ids == 0)])
     starts = np.flatnonzero(absent[seeds.k :] == absent[: -seeds.k])
     if not len(starts):
-        return []
+        return out
     windows = np.zeros(len(starts), np.uint64)
     for i in range(seeds.k):
         windows = (windows ^ ids[starts + i]) * np.uint64(0x9E3779B97F4A7C15)
@@ -147,11 +173,10 @@ def covered_items(text: str, seeds: Seeds, min_coverage: float) -> list[tuple]:
     hit = seeds.known[place] == windows
     starts, windows = starts[hit], windows[hit]
     if not len(starts):
-        return []
+        return out
     distinct = np.unique(windows)
     lo, hi = np.searchsorted(seeds.h, distinct, "left"), np.searchsorted(seeds.h, distinct, "right")
     rows = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
-    out = []
     for n in np.unique(seeds.item[rows]):
         item_id, p = seeds.items[n]
         mine = rows[seeds.item[rows] == n]
@@ -197,9 +222,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
     """(doc_id, item_id, coverage, tiles, longest) of contaminated documents.
 
     coverage: the share of the item's tokens that tiles of at least min_match
-    tokens cover; pairs with at least min_coverage are returned.  Items with
-    fewer than min_match tokens, null or empty texts and null item_ids never
-    match.  Rows that repeat are compared each by themselves and give equal
+    tokens cover; pairs with at least min_coverage are returned.  An item
+    of fewer than min_match tokens is covered where it occurs whole.  Items
+    without tokens, null texts and null item_ids never match.  Rows that repeat are compared each by themselves and give equal
     rows.  A null doc_id stays null.  Other columns are ignored.
     """
     found = None
