@@ -201,3 +201,11 @@ def test_jaro_winkler_misses_no_pair(spark):
     wanted = {(x, y) for x, y in itertools.product(names, names) if round(jaro_winkler(x, y), 6) >= 0.9}
     assert wanted <= found and ("form", "from") in wanted and ("abcdefg", "acbdfeg") in wanted
     assert len(found) < len(names) ** 2 / 2
+
+
+def test_xlsx_drops_no_row(spark, monkeypatch, tmp_path):
+    from vocabmill.sources import writers
+
+    monkeypatch.setattr(writers, "SHEET_ROWS", 10, raising=False)
+    with pytest.raises(ValueError, match="rows"):
+        writers.documents(spark.range(11), str(tmp_path / "x.xlsx"), "xlsx")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+#: Rows of an Excel sheet below its header.
+SHEET_ROWS = 1_048_575
+
+
 def rules_json(rules: DataFrame, path: str, include_inactive: bool = False) -> None:
     """SNK01: rules as JSON lines; conditions and metadata are JSON strings."""
     kept = rules if include_inactive else rules.where("is_active")
@@ -37,7 +41,10 @@ def documents(exported: DataFrame, path: str, fmt: str) -> None:
     if fmt not in ("json", "csv", "xlsx"):
         raise ValueError(f"unsupported export format: {fmt}")
     if fmt == "xlsx":
-        exported.limit(1_048_575).toPandas().to_excel(path, index=False)
+        rows = exported.limit(SHEET_ROWS + 1).toPandas()
+        if len(rows) > SHEET_ROWS:
+            raise ValueError(f"more than {SHEET_ROWS} rows do not fit an Excel sheet")
+        rows.to_excel(path, index=False)
     elif fmt == "csv":
         exported.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
