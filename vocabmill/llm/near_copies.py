@@ -26,7 +26,7 @@ from .components import Labels, components
 #: Words of a shingle.  A link is a similarity of 4/5 or more.
 SHINGLE, SEED = 5, 42
 #: Shingles of at least FREQUENT of about SAMPLE rows come last; only work depends on it.
-SAMPLE, FREQUENT, MAX_FREQUENT = 20_000, 5, 200_000
+SAMPLE, FREQUENT, MAX_FREQUENT = 40_000, 3, 200_000
 SMALL = 32
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
 
@@ -66,7 +66,8 @@ def _sampled(batches):
     for batch in batches:
         for part in slices(batch):
             found = [shingles(x) for x in texts_as_bytes(part)]
-            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+            nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), [len(x) for x in found])
+            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], ["key", "node"])
 
 
 def _prefixes(frequent):
@@ -209,7 +210,7 @@ def _verified(batches):
 def _frequent(texts: DataFrame) -> np.ndarray:
     share = min(1.0, SAMPLE / max(1, texts.count()))
     chosen = texts.where(F.xxhash64(F.lit("sample"), "node").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)) + 1)
-    counted = chosen.select("text").mapInArrow(_sampled, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    counted = chosen.mapInArrow(_sampled, "key long, node long").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where((F.col("n") >= FREQUENT) & (F.col("least") != F.col("most")))
     return np.sort(np.array([r.key for r in counted.orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).collect()], np.int64).view(np.uint64))
 
 
