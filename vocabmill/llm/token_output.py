@@ -23,7 +23,6 @@ import json
 import os
 import re
 import struct
-import unicodedata
 import uuid
 import zlib
 
@@ -38,35 +37,26 @@ from ._shared import Scratch, slices, texts_as_bytes, worker_state
 MAGIC = b"VMTOKID1"
 FOOTER, FOOTER_BYTES = "<8sqq32s", 56
 END_ID = 2
-#: The dictionary is trained on about this many documents, chosen by hash.
-SAMPLE_DOCS, DICT_BYTES, LEVEL = 1000, 64 << 10, 3
-MEMO_ENTRIES = 400_000
-
-
-def _classes() -> tuple[str, str]:
-    """Letters and numbers below U+0280, as character classes."""
-
-    def ranges(kind: str) -> str:
-        points = [i for i in range(0x280) if unicodedata.category(chr(i))[0] == kind]
-        return "".join(f"\\u{p:04x}" for p in points)
-
-    return ranges("L"), ranges("N")
-
-
-def _pieces_pattern() -> re.Pattern:
-    """The byte-level pre-tokenizer's pieces, for texts below U+0280."""
-    letters, numbers = _classes()
-    space = "\\t-\\r \\x85\\xa0"
-    return re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
+#: The dictionary is trained on at most so many documents of up to so many characters, chosen by hash.
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, 1 << 15, 64 << 10, 3
+#: A generation of the memo ends when it holds so many chunks or characters.
+MEMO_ENTRIES, MEMO_CHARS = 300_000, 16 << 20
+#: What no regular expression engine's white space goes beyond.
+_SPACE_LIKE = "\\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff"
+_UNSAFE_SPACE = re.compile(f" (?:[{_SPACE_LIKE}]|\\Z)")
+_SAFE_SPACE = re.compile(f" (?![{_SPACE_LIKE}]|\\Z)")
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, remembering pieces.
-
-    BPE works on each piece of the pre-tokenizer by itself, so the ids of a
-    piece are looked up if it came before and else encoded by the library.
-    Texts with code points from U+0280, where Unicode versions may differ, or
-    with a special token's string are encoded by the library as a whole.
+    """Ids of whole texts by the tokenizers library, remembering chunks.
+
+    The byte-level pre-tokenizer always parts a text before a space that no
+    white space follows, and BPE works on each of its pieces by itself.  So a
+    text's ids are those of its chunks, cut at such spaces; the ids of a chunk
+    that came before are looked up, others come from the library.  The memo has
+    two generations: what a new one needs of the older moves over, and the rest
+    is dropped.  Texts with a special token's string, and all texts of
+    tokenizers of another kind, are encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -77,36 +67,40 @@ class Encoder:
         kind = json.loads(self.tok.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.special = [x["content"] for x in kind.get("added_tokens", [])]
-        self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
+        self.by_chunk = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.find = _pieces_pattern().findall
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.chars = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, text: str) -> list[str]:
+        """Keys of the memo: the first chunk behind a space, the others without the space before them."""
+        out = _SAFE_SPACE.split(text) if _UNSAFE_SPACE.search(text) else text.split(" ")
+        out[0] = f" {out[0]}"
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.memo) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
+            self.memo, self.older, self.chars = {}, self.memo, 0
         out: list[bytes] = [b""] * len(texts)
-        pieces, whole = {}, []
+        chunks, memo, new = {}, self.memo, set()
         for i, raw in enumerate(texts):
             text = raw.decode("utf-8")
-            if self.by_piece and (text.isascii() or max(text) < "ʀ") and not any(s in text for s in self.special):
-                pieces[i] = self.find(text)
+            if self.by_chunk and not any(s in text for s in self.special):
+                chunks[i] = own = self._chunks(text)
+                new.update(set(own).difference(memo))
             else:
-                whole.append(i)
-        memo, new = self.memo, {}
-        for found in pieces.values():
-            new.update(dict.fromkeys(p for p in found if p not in memo))
-        if new:
-            new = dict(zip(new, self._ids(list(new))))
-            if len(memo) + len(new) <= MEMO_ENTRIES:
-                memo.update(new)
-                new = {}
-        for i, found in pieces.items():
-            out[i] = b"".join([memo[p] if p in memo else new[p] for p in found]) if new else b"".join(map(memo.__getitem__, found))
-        for i in whole:
-            out[i] = self._ids([texts[i].decode("utf-8")])[0]
+                out[i] = self._ids([text])[0]
+        memo.update((c, self.older[c]) for c in new if c in self.older)
+        fresh = [c for c in new if c not in self.older]
+        memo.update(zip(fresh, self._ids([c[1:] if c[:1] == " " else f" {c}" for c in fresh])))
+        self.chars += sum(map(len, new))
+        for i, own in chunks.items():
+            out[i] = b"".join(map(memo.__getitem__, own))
         return out
 
 
@@ -128,16 +122,22 @@ def _encoded(tokenizer: str, end_id: int):
     return run
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int = SAMPLE_DOCS) -> bytes:
-    """A dictionary from about sample_docs documents, the same in each run."""
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> bytes:
+    """A dictionary from at most sample_docs documents of up to sample_chars characters, the same in each run.
+
+    Only this fit is bounded: all documents are compressed against it, whole.
+    It is empty if there are too few samples or they are too small.
+    """
     import zstandard
 
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    chosen = docs.where(F.xxhash64(F.lit("dictionary"), "doc_id").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)) + 1).select("text")
-    samples = [r.ids[: 1 << 17] for r in chosen.mapInArrow(_encoded(tokenizer, end_id), "ids binary").limit(2 * sample_docs).toLocalIterator()]
+    share = min(1.0, 4 * sample_docs / max(1, docs.count()))
+    place = F.xxhash64(F.lit("dictionary"), "doc_id", "text")
+    eligible = docs.where(F.length("text") <= sample_chars).select("text", place.alias("place"))
+    chosen = eligible.where(F.col("place").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)) + 1).orderBy("place").limit(sample_docs).select("text")
+    samples = [r.ids for r in chosen.mapInArrow(_encoded(tokenizer, end_id), "ids binary").toLocalIterator()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few or too small samples
+    except zstandard.ZstdError:
         return b""
 
 
