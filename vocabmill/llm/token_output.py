@@ -40,7 +40,9 @@ END_ID = 2
 #: The dictionary is trained on at most so many documents of up to so many characters, chosen by hash.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, 1 << 15, 64 << 10, 3
 #: A generation of the memo ends when it holds so many chunks or characters.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 16 << 20
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 16 << 20
+#: So many new chunks are encoded as one text.
+TOGETHER = 100
 #: What no regular expression engine's white space goes beyond.
 _SPACE_LIKE = "\\s\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff"
 _UNSAFE_SPACE = re.compile(f" (?:[{_SPACE_LIKE}]|\\Z)")
@@ -70,6 +72,10 @@ class Encoder:
         self.by_chunk = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not kind.get("normalizer")
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        #: Whether a token begins with a space, as the first of each chunk does and no other.
+        self.first = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.first[i] = token[:1] == "\u0120"
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
@@ -77,6 +83,22 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Those without a space are encoded together, and parted again at the tokens that begin with one."""
+        plain = [c for c in chunks if " " not in c]
+        other = [c for c in chunks if " " in c]
+        out = dict(zip(other, self._ids([c[1:] if c[0] == " " else f" {c}" for c in other])))
+        for a in range(0, len(plain), TOGETHER):
+            group = plain[a : a + TOGETHER]
+            ids = np.frombuffer(self._ids([" " + " ".join(group)])[0], self.dtype)
+            starts = (np.flatnonzero(self.first[ids]) * self.width).tolist()
+            if len(starts) == len(group) and not starts[0]:
+                raw = ids.tobytes()
+                out.update(zip(group, [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)])]))
+            else:
+                out.update(zip(group, self._ids([f" {c}" for c in group])))
+        return out
+
     def _chunks(self, text: str) -> list[str]:
         """Keys of the memo: the first chunk behind a space, the others without the space before them."""
         out = _SAFE_SPACE.split(text) if _UNSAFE_SPACE.search(text) else text.split(" ")
@@ -97,7 +119,7 @@ class Encoder:
                 out[i] = self._ids([text])[0]
         memo.update((c, self.older[c]) for c in new if c in self.older)
         fresh = [c for c in new if c not in self.older]
-        memo.update(zip(fresh, self._ids([c[1:] if c[:1] == " " else f" {c}" for c in fresh])))
+        memo.update(self._ids_of_chunks(fresh))
         self.chars += sum(map(len, new))
         for i, own in chunks.items():
             out[i] = b"".join(map(memo.__getitem__, own))
