@@ -40,7 +40,7 @@ END_ID = 2
 #: The dictionary is trained on at most so many documents of up to so many characters, chosen by hash.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, 1 << 15, 64 << 10, 3
 #: A generation of the memo ends when it holds so many chunks or characters.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 16 << 20
+MEMO_ENTRIES, MEMO_CHARS = 700_000, 32 << 20
 #: So many new chunks are encoded as one text.
 TOGETHER = 100
 #: What no regular expression engine's white space goes beyond.
@@ -49,6 +49,20 @@ _UNSAFE_SPACE = re.compile(f" (?:[{_SPACE_LIKE}]|\\Z)")
 _SAFE_SPACE = re.compile(f" (?![{_SPACE_LIKE}]|\\Z)")
 
 
+class Memo(dict):
+    """Ids by chunk.  An unknown chunk gets an empty array, to be filled before it is used."""
+
+    def __init__(self, older: dict) -> None:
+        self.older, self.fresh = older, {}
+
+    def __missing__(self, chunk: str):
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.fresh[chunk] = bytearray()
+        self[chunk] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembering chunks.
 
@@ -76,9 +90,7 @@ class Encoder:
         self.first = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.first[i] = token[:1] == "\u0120"
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.chars = 0
+        self.memo, self.chars = Memo({}), 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -106,23 +118,26 @@ class Encoder:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
-            self.memo, self.older, self.chars = {}, self.memo, 0
-        out: list[bytes] = [b""] * len(texts)
-        chunks, memo, new = {}, self.memo, set()
+        memo = self.memo
+        if len(memo) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
+            memo.older = {}
+            memo, self.chars = Memo(memo), 0
+        self.memo = Memo({})  # what stays if this fails: no chunk without its ids
+        out, parts, ids_of = [b""] * len(texts), {}, memo.__getitem__
         for i, raw in enumerate(texts):
             text = raw.decode("utf-8")
             if self.by_chunk and not any(s in text for s in self.special):
-                chunks[i] = own = self._chunks(text)
-                new.update(set(own).difference(memo))
+                parts[i] = list(map(ids_of, self._chunks(text)))
             else:
                 out[i] = self._ids([text])[0]
-        memo.update((c, self.older[c]) for c in new if c in self.older)
-        fresh = [c for c in new if c not in self.older]
-        memo.update(self._ids_of_chunks(fresh))
-        self.chars += sum(map(len, new))
-        for i, own in chunks.items():
-            out[i] = b"".join(map(memo.__getitem__, own))
+        fresh, memo.fresh = memo.fresh, {}
+        for chunk, ids in self._ids_of_chunks(list(fresh)).items():
+            fresh[chunk].extend(ids)
+            memo[chunk] = ids
+            self.chars += len(chunk)
+        for i, own in parts.items():
+            out[i] = b"".join(own)
+        self.memo = memo
         return out
 
 
