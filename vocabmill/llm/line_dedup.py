@@ -1,18 +1,15 @@
 """Line dedup with two Bloom filters and exact confirmation of suspects.
 
-1. Each task reduces its lines to 64-bit hashes, one row per hash and task.
-2. The hashes are dealt to shards.  A shard streams them through a once-seen
-   filter; what is seen again is a suspect, and goes to the shard's twice-seen
-   filter.
-3. Documents are read again.  Only lines that the twice-seen filters know move
-   on: as a 128-bit digest with the doc_id, to count distinct documents exactly
-   and to choose the document that keeps the line.
+1. Each task reduces its lines to 128-bit digests, and deals their first
+   halves, once a task, and whole digests with the doc_id to shards.
+2. A shard streams the halves through a once-seen filter; what is seen again
+   goes to a twice-seen filter.  Then its digests pass the twice-seen filter,
+   and only those that it knows move on.  Neither filter leaves its shard.
+3. For each suspect the distinct documents are counted exactly, and the one
+   that keeps the line is chosen.
 4. Each document gets the digests it loses and is rewritten.
 
-The once-seen filters never leave their shard.  The twice-seen filters hold
-repeats only; they are sent to all tasks if together they are at most
-``max_filter_bytes``, else the line hashes join the suspects by shuffle, with
-the same result.
+Lines are held equal if their 128-bit digests are.
 """
 
 from __future__ import annotations
@@ -20,16 +17,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ._shared import Scratch, slices, texts_as_bytes
+from .bloom import Bloom, Twice, packed_by_shard, shard_of  # noqa: F401
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Bits a key and probes: about 0.5 % false suspects, which step 3 rejects.
-BITS_PER_KEY, PROBES = 12, 5
-MAX_FILTER_BYTES = 64 << 20
-_NULL_ID = -(2**63)
+#: A task packs its digests when it holds so many.
+PACK = 1_000_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -48,152 +43,65 @@ def _digests(text: bytes, min_chars: int) -> list[bytes]:
     return [xxhash.xxh3_128_digest(k) if long_enough(k, min_chars) else b"" for k in keys]
 
 
-def _positions(h: np.ndarray, m: np.ndarray | int) -> list[np.ndarray]:
-    m = np.asarray(m, np.uint64)
-    step = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(17) | np.uint64(1)
-    base = h ^ (h >> np.uint64(29))
-    return [(base + np.uint64(i) * step) % m for i in range(PROBES)]
+_PACKED = "shard int, kind int, once binary, again binary, ids binary, none binary"
 
 
-class Bloom:
-    """A scalable Bloom filter: when a layer is full, a larger one is added."""
+def _packed_lines(min_chars: int, shards: int):
+    """Of each shard a row (kind 0) of this task's hashes, and one (kind 1) of digests with the doc_id, each document's once."""
 
-    def __init__(self, keys: int = 1 << 14) -> None:
-        self.layers: list[np.ndarray] = []
-        self._grow(keys)
+    def pack(digests, ids, none):
+        both = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        seen = packed_by_shard([both[:, 0]], shards)
+        n = seen.num_rows
+        yield pa.record_batch([seen.column(0), pa.array([0] * n, pa.int32()), seen.column(1), seen.column(2), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+        shard = shard_of(both[:, 0], shards).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        used, first = np.unique(shard[order], return_index=True)
+        groups = [order[a:b] for a, b in zip(first, [*first[1:], len(order)])]
+        columns = [[x[g].tobytes() for g in groups] for x in (both[:, 0], both[:, 1], np.repeat(*ids), np.repeat(*none))]
+        yield pa.record_batch([pa.array(used), pa.array([1] * len(used), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names)
 
-    def _grow(self, keys: int) -> None:
-        self.layers.append(np.zeros(max(64, keys * BITS_PER_KEY) // 8, np.uint8))
-        self.room = keys
+    names = ["shard", "kind", "once", "again", "ids", "none"]
 
-    def contains(self, h: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(h), bool)
-        for bits in self.layers:
-            hit = np.ones(len(h), bool)
-            for p in _positions(h, len(bits) * 8):
-                hit &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            found |= hit
-        return found
-
-    def add(self, h: np.ndarray) -> None:
-        while len(h):
-            if not self.room:
-                self._grow(len(self.layers[-1]) * 8 // BITS_PER_KEY * 2)
-            part, h = h[: self.room], h[self.room :]
-            bits = self.layers[-1]
-            for p in _positions(part, len(bits) * 8):
-                np.bitwise_or.at(bits, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-            self.room -= len(part)
-
-
-def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (h >> np.uint64(11)) % np.uint64(shards)
-
-
-PACKED = "shard int, once binary, again binary"
-
-
-def packed_by_shard(parts: list[np.ndarray], shards: int) -> pa.RecordBatch:
-    """One row a shard: its hashes that occur once in parts, and those that occur more often."""
-    h, n = np.unique(np.concatenate(parts), return_counts=True)
-    shard = _shard_of(h, shards).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
-    h, n, shard = h[order], n[order], shard[order]
-    used, first = np.unique(shard, return_index=True)
-    groups = list(zip(first, [*first[1:], len(h)]))
-    once, again = ([h[a:b][(n[a:b] > 1) == more].tobytes() for a, b in groups] for more in (False, True))
-    return pa.record_batch([pa.array(used), pa.array(once, pa.binary()), pa.array(again, pa.binary())], ["shard", "once", "again"])
-
-
-def _seen_by_task(min_chars: int, shards: int):
     def run(batches):
-        """The hashes of this task, each row's once."""
-        parts, count = [], 0
-        for batch in batches:
-            for part in slices(batch):
-                for text in texts_as_bytes(part):
-                    own = b"".join({d[:8] for d in _digests(text, min_chars)})
-                    parts.append(np.frombuffer(own, np.uint64))
-                    count += len(parts[-1])
-            if count > 2_000_000:
-                yield packed_by_shard(parts, shards)
-                parts, count = [], 0
-        if parts:
-            yield packed_by_shard(parts, shards)
+        digests, ids, counts, count = [], [], [], 0
 
-    return run
+        def flush():
+            none = np.array([x is None for x in ids], np.uint8)
+            yield from pack(digests, (np.array([x or 0 for x in ids], np.int64), counts), (none, counts))
+            digests.clear(), ids.clear(), counts.clear()
 
-
-def _filter_shard(batches):
-    """One row: this shard's suspects and its twice-seen filter."""
-    seen, suspects = Bloom(), []
-    for batch in batches:
-        for once, again in zip(batch.column("once").to_pylist(), batch.column("again").to_pylist()):
-            h = np.frombuffer(once, np.uint64)
-            known = seen.contains(h)
-            suspects += [h[known], np.frombuffer(again, np.uint64)]
-            seen.add(np.concatenate([h[~known], suspects[-1]]))
-    found = np.unique(np.concatenate(suspects)) if suspects else np.zeros(0, np.uint64)
-    twice = Bloom(max(64, len(found)))
-    twice.add(found)
-    yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([twice.layers[0].tobytes()], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["shard", "n", "twice", "suspects"])
-
-
-def filters_of(packed: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
-    """(shard, n, twice, suspects) from packed hashes."""
-    dealt = packed.repartitionById(shards, "shard").select("once", "again")
-    return scratch.table(dealt.mapInArrow(_filter_shard, "shard int, n long, twice binary, suspects binary"), "filters")
-
-
-def collected(filtered: DataFrame, shards: int, max_bytes: int):
-    """A broadcast of all twice-seen filters, or None if they are larger than max_bytes."""
-    if (filtered.agg(F.sum(F.length("twice"))).first()[0] or 0) > max_bytes:
-        return None
-    sizes, bits = np.zeros(shards, np.uint64), {}
-    for row in filtered.select("shard", "twice").toLocalIterator():
-        bits[row.shard] = np.frombuffer(row.twice, np.uint8)
-        sizes[row.shard] = len(row.twice) * 8
-    packed = np.concatenate([bits.get(i, np.zeros(0, np.uint8)) for i in range(shards)] + [np.zeros(1, np.uint8)])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64)
-    return filtered.sparkSession.sparkContext.broadcast((sizes, starts, packed, shards))
-
-
-def known_to(filters, h: np.ndarray) -> np.ndarray:
-    """Which hashes the collected filters know."""
-    sizes, starts, bits, shards = filters.value
-    keep = np.ones(len(h), bool)
-    s = _shard_of(h, shards).astype(np.int64)
-    for p in _positions(h, np.maximum(sizes[s], 1)):
-        p = p + starts[s]
-        keep &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return keep
-
-
-def _suspect_lines(min_chars: int, filters):
-    """(did, h, digest) of the lines a twice-seen filter knows; all lines if there is none."""
-
-    def run(batches):
         for batch in batches:
             for part in slices(batch):
-                ids, digests = [], []
-                for did, text in zip(part.column("did").to_pylist(), texts_as_bytes(part)):
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts_as_bytes(part)):
                     own = {d for d in _digests(text, min_chars) if d}
-                    ids += [did] * len(own)
-                    digests += own
-                if not ids:
-                    continue
-                h = np.frombuffer(b"".join(d[:8] for d in digests), np.uint64)
-                keep = known_to(filters, h) if filters is not None else np.ones(len(h), bool)
-                table = pa.record_batch([pa.array(ids, pa.int64()), pa.array(h.view(np.int64)), pa.array(digests, pa.binary())], ["did", "h", "digest"])
-                yield table.filter(pa.array(keep))
+                    if own:
+                        digests.extend(own)
+                        ids.append(doc_id)
+                        counts.append(len(own))
+                        count += len(own)
+                if count > PACK:
+                    yield from flush()
+                    count = 0
+        if digests:
+            yield from flush()
 
     return run
 
 
-def _unpack(batches):
+def _suspects(batches):
+    """(did, has, digest) of a shard's rows that its twice-seen filter knows; hashes come before digests."""
+    filters = Twice()
     for batch in batches:
-        for packed in batch.column(0).to_pylist():
-            yield pa.record_batch([pa.array(np.frombuffer(packed, np.int64))], ["h"])
+        for kind, once, again, ids, none in zip(*(c.to_pylist() for c in batch.columns)):
+            if not kind:
+                filters.feed(once, again)
+                continue
+            h = np.frombuffer(once, np.uint64)
+            keep = filters.again.contains(h)
+            both = np.stack([h, np.frombuffer(again, np.uint64)], axis=1)[keep]
+            digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
+            yield pa.record_batch([pa.array(np.frombuffer(ids, np.int64)[keep]), pa.array(np.frombuffer(none, np.uint8)[keep] == 0), digest], ["did", "has", "digest"])
 
 
 def _rewrite(min_chars: int):
@@ -214,7 +122,7 @@ def _rewrite(min_chars: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) of each row of docs, repeated lines gone.
 
     A line's key is the line without ASCII white space at its ends, A-Z
@@ -226,16 +134,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    own = docs.select("doc_id", "text").withColumn("did", F.coalesce("doc_id", F.lit(_NULL_ID)))
+    own = docs.select("doc_id", "text")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    filtered = filters_of(own.select("text").mapInArrow(_seen_by_task(min_chars, shards), PACKED), scratch, shards)
-    filters = collected(filtered, shards, max_filter_bytes)
-    if filters is not None:
-        lines = own.select("did", "text").mapInArrow(_suspect_lines(min_chars, filters), "did long, h long, digest binary")
-    else:
-        hashes = filtered.select("suspects").mapInArrow(_unpack, "h long")
-        lines = own.select("did", "text").mapInArrow(_suspect_lines(min_chars, None), "did long, h long, digest binary").join(hashes, "h", "left_semi")
-    suspects = scratch.table(lines.select("did", "digest"), "suspects")
-    confirmed = suspects.groupBy("digest").agg(F.countDistinct("did").alias("n"), F.max("did").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = suspects.join(confirmed, "digest").where(F.col("did") < F.col("keeper")).groupBy("did").agg(F.collect_set("digest").alias("gone"))
-    return own.join(gone, "did", "left").select("doc_id", "text", "gone").mapInArrow(_rewrite(min_chars), "doc_id long, n_lines long, n_dropped long, text string")
+    packed = own.mapInArrow(_packed_lines(min_chars, shards), _PACKED).repartitionById(shards, "shard").sortWithinPartitions("kind")
+    suspects = scratch.table(packed.drop("shard").mapInArrow(_suspects, "did long, has boolean, digest binary"), "suspects")
+    document = F.struct("has", "did")
+    confirmed = suspects.groupBy("digest").agg(F.countDistinct("has", "did").alias("n"), F.max(document).alias("keeper")).where(F.col("n") >= min_docs)
+    confirmed = scratch.table(confirmed.select("digest", "keeper"), "confirmed")  # a join of two tables, so a hot digest can be split
+    gone = suspects.join(confirmed, "digest").where(document < F.col("keeper")).groupBy("has", "did").agg(F.collect_set("digest").alias("gone"))
+    gone = scratch.table(gone.select(F.when(F.col("has"), F.col("did")).alias("__id"), "gone"), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    return own.join(gone, same, "left").select("doc_id", "text", "gone").mapInArrow(_rewrite(min_chars), "doc_id long, n_lines long, n_dropped long, text string")
