@@ -17,7 +17,8 @@ one anchor serves about (window - gram) / 2 windows in a row: a *run*.
 
 Every document is streamed past the filters, but a context only past the
 automaton of its own anchor: sending all documents through the automata of all
-shards would cost documents x shards.
+shards would cost documents x shards.  An anchor with very many different
+contexts is no shard's: its windows meet by digest, spread over all tasks.
 """
 
 from __future__ import annotations
@@ -31,9 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ._shared import Scratch, slices, texts_as_bytes, worker_state
-from .line_dedup import _NULL_ID, MAX_FILTER_BYTES, PACKED, _unpack, collected, filters_of, known_to, packed_by_shard
+from .bloom import PACKED, collected, filters_of, known_to, met_in_shards, packed_by_shard, shard_of
 
 WINDOW, GRAM = 20, 6
+#: Filters up to this size go to all tasks; runs are dealt to the shards of larger ones.
+MAX_FILTER_BYTES = 64 << 20
+#: Anchors with more different contexts than this in the tasks are worked on by window.
+HOT_CONTEXTS = 20_000
+_NULL_ID = -(2**63)
 #: Texts are worked on in slices of so many bytes.
 SLICE = 2 << 20
 #: An automaton is compiled when so many contexts of whole anchors have come.
@@ -143,14 +149,24 @@ def _anchors_by_task(window: int, gram: int, shards: int):
     return run
 
 
-def _row_columns(part: pa.RecordBatch) -> tuple[list[int], list[int]]:
-    return part.column("did").to_pylist(), [xxhash.xxh32_intdigest(t) - (1 << 31) for t in texts_as_bytes(part)]
+def _row_columns(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(did, t1, t2), which name a row and order rows: the doc_id, and 127 bits of the text's digest.
+
+    A null doc_id has the least long for did and a negative t1, so it comes
+    before that doc_id itself.
+    """
+    ids = part.column("doc_id")
+    none = ids.is_null().to_numpy(zero_copy_only=False)
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in texts_as_bytes(part)]), np.uint64).reshape(-1, 2)
+    t1 = (digests[:, 0] >> np.uint64(1)).view(np.int64)
+    return ids.fill_null(_NULL_ID).to_numpy(zero_copy_only=False), np.where(none, -1 - t1, t1), np.ascontiguousarray(digests[:, 1]).view(np.int64)
 
 
-_CONTEXT = "h long, d1 long, d2 long, did long, th int, start int, context binary"
+ROW = ("did", "t1", "t2")
+_CONTEXT = "h long, d1 long, d2 long, did long, t1 long, t2 long, start int, context binary"
 
 
-def _contexts(window: int, gram: int, filters):
+def _contexts(window: int, gram: int, filters, shards: int):
     """Runs whose anchor may recur; of equal contexts in a task the first alone has the words."""
 
     def run(batches):
@@ -161,14 +177,14 @@ def _contexts(window: int, gram: int, filters):
                 h, text, first, count = _runs(words, window, gram)
                 if not len(h):
                     continue
-                keep = known_to(filters, h)
+                keep = known_to(filters.value, h, shards)
                 yield _context_rows(part, words, h[keep], text[keep], first[keep], count[keep], window, sent)
 
     return run
 
 
 def _context_rows(part, words, h, text, first, count, window, sent) -> pa.RecordBatch:
-    did, th = _row_columns(part)
+    rows = _row_columns(part)
     raw, starts, ends = words.raw.tobytes(), words.starts.tolist(), words.ends.tolist()
     digests, contexts = [], []
     for a, n in zip(first.tolist(), count.tolist()):
@@ -184,20 +200,21 @@ def _context_rows(part, words, h, text, first, count, window, sent) -> pa.Record
                 sent.add(digest)
     both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     begin = (first - words.bounds[text]).astype(np.int32)
-    columns = [h.view(np.int64), both[:, 0], both[:, 1], np.array(did, np.int64)[text], np.array(th, np.int32)[text], begin]
-    return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(contexts, pa.binary())], ["h", "d1", "d2", "did", "th", "start", "context"])
+    columns = [h.view(np.int64), both[:, 0], both[:, 1], *(x[text] for x in rows), begin]
+    return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(contexts, pa.binary())], ["h", "d1", "d2", *ROW, "start", "context"])
 
 
-def _all_runs(window: int, gram: int):
-    """(h, did, th, start, n) of every run."""
+def _all_runs(window: int, gram: int, shards: int):
+    """(shard, h, did, t1, t2, start, n) of every run."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, max_bytes=SLICE):
                 words = Words(part)
                 h, text, first, count = _runs(words, window, gram)
-                did, th = (np.array(x, t) for x, t in zip(_row_columns(part), (np.int64, np.int32)))
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(did[text]), pa.array(th[text]), pa.array((first - words.bounds[text]).astype(np.int32)), pa.array(count.astype(np.int32))], ["h", "did", "th", "start", "n"])
+                rows = [x[text] for x in _row_columns(part)]
+                columns = [shard_of(h, shards).astype(np.int32), h.view(np.int64), *rows, (first - words.bounds[text]).astype(np.int32), count.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], ["shard", "h", *ROW, "start", "n"])
 
     return run
 
@@ -218,14 +235,15 @@ def _marked_contexts(window: int):
     return run
 
 
-_LOCATED = "d1 long, d2 long, segments array<struct<i:int,n:int,did:long,th:int,start:int>>"
+_SEGMENTS = "array<struct<i:int,n:int,did:long,t1:long,t2:long,start:int>>"
+_LOCATED = f"d1 long, d2 long, segments {_SEGMENTS}"
 
 
 def _locate(window: int):
-    """For each distinct context: its recurring windows, as segments (i, n, did, th, start).
+    """For each distinct context: its recurring windows, as segments (i, n, did, t1, t2, start).
 
     Windows i to i + n - 1 of the context occur first from word ``start`` of
-    the row (did, th) on.  Rows come sorted by anchor.  A block of whole
+    the row (did, t1, t2) on.  Rows come sorted by anchor.  A block of whole
     anchors at a time is numbered word by word and streamed through its automaton.
     Where an anchor has a single context, that recurs as a whole and is one pattern;
     else the windows that recur are the patterns.
@@ -264,10 +282,10 @@ def _locate(window: int):
             automaton.make_automaton()
             found = []
             for s, r in zip(streams, rows):
-                did, th, start, own = r["did"], r["th"], r["start"], []
+                row, start, own = (r["did"], r["t1"], r["t2"]), r["start"], []
                 for end, k in automaton.iter(s):
                     i = end - sizes[k] + 1
-                    at = (did, th, start + i)
+                    at = (row, start + i)
                     own.append((i, k))
                     if firsts[k] is None or at < firsts[k]:
                         firsts[k] = at
@@ -275,17 +293,18 @@ def _locate(window: int):
             for r, own in zip(rows, found):
                 segments = []
                 for i, k in own:
-                    did, th, start = firsts[k]
+                    row, start = firsts[k]
                     n = sizes[k] - window + 1
                     last = segments[-1] if segments else None
-                    if last and last[0] + last[1] == i and last[2:4] == [did, th] and last[4] + last[1] == start:
+                    if last and last[0] + last[1] == i and last[2] == row and last[3] + last[1] == start:
                         last[1] += n
                     else:
-                        segments.append([i, n, did, th, start])
+                        segments.append([i, n, row, start])
                 if segments:
                     out.append((r["d1"], r["d2"], segments))
-        flat = [y for x in out for y in x[2]]
-        struct = pa.StructArray.from_arrays([pa.array([y[j] for y in flat], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], ["i", "n", "did", "th", "start"])
+        flat = [(i, n, *row, start) for x in out for i, n, row, start in x[2]]
+        kinds = (("i", pa.int32()), ("n", pa.int32()), *((c, pa.int64()) for c in ROW), ("start", pa.int32()))
+        struct = pa.StructArray.from_arrays([pa.array([y[j] for y in flat], t) for j, (_, t) in enumerate(kinds)], [c for c, _ in kinds])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]), pa.int32()), struct)
         return pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), lists], ["d1", "d2", "segments"])
 
@@ -309,6 +328,32 @@ def _locate(window: int):
     return run
 
 
+def _windows(window: int):
+    """(w1, w2, d1, d2, i, n, did, t1, t2, start) of each window of the contexts; (w1, w2) is its digest."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                words = r["context"].split(b" ")
+                for i in range(len(words) - window + 1):
+                    w = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words[i : i + window])), np.int64).tolist()
+                    out.append((*w, r["d1"], r["d2"], i, r["n"], r["did"], r["t1"], r["t2"], r["start"] + i))
+            names = ["w1", "w2", "d1", "d2", "i", "n", *ROW, "start"]
+            yield pa.record_batch([pa.array([x[j] for x in out], pa.int32() if c in ("i", "start") else pa.int64()) for j, c in enumerate(names)], names)
+
+    return run
+
+
+def _located_by_window(contexts: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """_LOCATED of the contexts of hot anchors, whose windows meet by digest in any number of tasks."""
+    found = scratch.table(contexts.mapInArrow(_windows(window), "w1 long, w2 long, d1 long, d2 long, i int, n long, did long, t1 long, t2 long, start int"), "windows")
+    firsts = found.groupBy("w1", "w2").agg(F.sum("n").alias("times"), F.min(F.struct(*ROW, "start")).alias("first")).where("times > 1")
+    firsts = scratch.table(firsts.select("w1", "w2", "first"), "firsts")
+    segment = F.struct("i", F.lit(1).alias("n"), "first.did", "first.t1", "first.t2", "first.start")
+    return found.select("w1", "w2", "d1", "d2", "i").join(firsts, ["w1", "w2"]).groupBy("d1", "d2").agg(F.collect_list(segment).alias("segments")).select("d1", "d2", F.col("segments").cast(_SEGMENTS))
+
+
 def _cut(window: int):
     def run(batches):
         for batch in batches:
@@ -331,13 +376,13 @@ def _cut(window: int):
 
 
 def _add_row(batches):
-    """The text's hash, which with did names a row."""
+    """The columns that name a row."""
     for batch in batches:
         for part in slices(batch, max_bytes=SLICE):
-            yield pa.record_batch([*part.columns, pa.array(_row_columns(part)[1], pa.int32())], [*part.schema.names, "th"])
+            yield pa.record_batch([*part.columns, *(pa.array(x) for x in _row_columns(part))], [*part.schema.names, *ROW])
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_bytes: int = MAX_FILTER_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(doc_id, n_words, n_removed, text) of each row of docs, repeated passages gone.
 
     Words are runs of bytes other than ASCII white space.  A word is removed if
@@ -345,30 +390,36 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ma
     doc_id, or earlier in the same document.  Windows are judged on the input.
     Null texts have no words; texts shorter than a window lose none.  Null
     doc_ids come before all others.  Rows that repeat a doc_id are ordered by
-    the hash of their text; a window is no repeat of itself in an equal row.
+    a 127-bit digest of their text; a window is no repeat of itself in an equal row.
     Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
-    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     filtered = filters_of(own.select("text").mapInArrow(_anchors_by_task(window, gram, shards), PACKED), scratch, shards)
-    filters = collected(filtered, shards, max_filter_bytes)
+    filters = collected(filtered, max_filter_bytes)
+    named = own.mapInArrow(_add_row, "doc_id long, text string, did long, t1 long, t2 long")
     if filters is not None:
-        runs = own.select("did", "text").mapInArrow(_contexts(window, gram, filters), _CONTEXT)
+        runs = own.mapInArrow(_contexts(window, gram, filters, shards), _CONTEXT)
     else:
-        hashes = filtered.select("suspects").mapInArrow(_unpack, "h long")
-        marks = own.select("did", "text").mapInArrow(_all_runs(window, gram), "h long, did long, th int, start int, n int").join(hashes, "h", "left_semi").groupBy("did", "th").agg(F.collect_list(F.struct("h", "start", "n")).alias("marks"))
-        rows = own.select("did", "text").mapInArrow(_add_row, "did long, text string, th int")
-        runs = rows.join(marks, ["did", "th"]).select("did", "text", "marks").mapInArrow(_marked_contexts(window), _CONTEXT)
+        all_runs = own.mapInArrow(_all_runs(window, gram, shards), "shard int, h long, did long, t1 long, t2 long, start int, n int")
+        marks = met_in_shards(all_runs, filtered, shards).groupBy(*ROW).agg(F.collect_list(F.struct("h", "start", "n")).alias("marks"))
+        runs = named.join(marks, [*ROW]).select("doc_id", "text", "marks").mapInArrow(_marked_contexts(window), _CONTEXT)
     runs = scratch.table(runs, "runs")
-    first = F.min(F.struct("did", "th", "start")).alias("at")
-    contexts = runs.groupBy("h", "d1", "d2").agg(first, F.count("*").alias("n"), F.max("context").alias("context")).select("h", "d1", "d2", "at.did", "at.th", "at.start", "n", "context")
+    first = F.min(F.struct(*ROW, "start")).alias("at")
+    contexts = runs.groupBy("h", "d1", "d2").agg(first, F.count("*").alias("n"), F.max("context").alias("context")).select("h", "d1", "d2", "at.*", "n", "context")
+    hot = scratch.table(runs.where("context IS NOT NULL").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts).select("h"), "hot")
+    if not hot.isEmpty():
+        contexts = scratch.table(contexts, "contexts")
+        by_window = _located_by_window(contexts.join(hot, "h", "left_semi"), window, scratch)
+        contexts = contexts.join(hot, "h", "left_anti")
     located = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_locate(window), _LOCATED)
-    here = F.filter("segments", lambda x: (x.did != F.col("did")) | (x.th != F.col("th")) | (x["start"] != F.col("start") + x.i))
+    if not hot.isEmpty():
+        located = located.unionByName(by_window)
+    here = F.filter("segments", lambda x: (x.did != F.col("did")) | (x.t1 != F.col("t1")) | (x.t2 != F.col("t2")) | (x["start"] != F.col("start") + x.i))
     spans = F.transform(here, lambda x: F.struct((F.col("start") + x.i).alias("at"), x.n.alias("n")))
-    found = runs.select("d1", "d2", "did", "th", "start").join(located, ["d1", "d2"]).select("did", "th", spans.alias("spans")).where(F.size("spans") > 0)
-    found = scratch.table(found.groupBy("did", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    found = runs.select("d1", "d2", *ROW, "start").join(located, ["d1", "d2"]).select(*ROW, spans.alias("spans")).where(F.size("spans") > 0)
+    found = scratch.table(found.groupBy(*ROW).agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     scratch.drop("runs")
-    rows = own.mapInArrow(_add_row, "doc_id long, did long, text string, th int")
-    return rows.join(found, ["did", "th"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string")
+    return named.join(found, [*ROW], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string")
