@@ -1,32 +1,41 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document draws an exponential key divided by its quality weight.  Sorted
-by key within the source, documents are taken until the source's budget of
-words is full.  Budgets above the source's size first take whole epochs of it.
-
-Nothing is sorted or summed per source in one task: keys fall into ``buckets``
-quantiles of the exponential distribution, sizes are summed by (source,
-bucket), and only documents of the one bucket in which a budget ends are
-ordered.  The number of buckets follows the number of documents.
+Each document draws an exponential key divided by its quality weight.  In the
+order of keys within the source, documents are taken until the source's budget
+of words is full.  Budgets above the source's size first take whole epochs.
+
+The order is never sorted as a whole.  It has levels: the key's quantile
+bucket, a bucket within that bucket, the key itself, and the row's place in a
+written table, which parts equal rows.  Sizes are summed by source and bucket
+of a level, prefix sums tell in which bucket a budget ends, and only that
+bucket goes on to the next level.  What is found is one row a source, the last
+that may be taken; every row then decides by itself.  Texts take no part in
+this: the decision is made on rows of a few numbers, and ``copies`` meets the
+texts once, at the end.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ._shared import Scratch
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MAX_EPOCHS = 1.5, 2.0
-ROWS_PER_BUCKET = 2000
+BUCKETS = 4096
+DRAWS = 1 << 48
+_PLACE = ("b1", "b2", "tie", "part", "rid")
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(identity: Column) -> Column:
-    """A number in (0, 1) from the MD5 of a value, the same in each run."""
-    return (F.conv(F.substring(F.md5(F.coalesce(identity.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+def draw(doc_id: Column, text: Column) -> Column:
+    """A 48-bit number from the MD5 of a row's doc_id and text, so rows that share an id draw apart."""
+    own = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(own), 1, 12), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -50,48 +59,89 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return own.withColumn("target", F.least("cap", F.coalesce(first * F.col("w"), F.col("cap")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """docs' columns, with size, source_size, target and taken (words, repeats counted).
+def _same_source(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    return a.join(b.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), how).drop("__s")
+
+
+def _narrowed(rows: DataFrame, by: str) -> DataFrame:
+    """Of each source's rows (source, size, before, rest, ...), those of the one value of ``by`` in which the budget ends.
+
+    before: the words in front of that value.  Sources whose rows all fit have none.
+    """
+    sums = rows.groupBy("source", by).agg(F.sum("size").alias("s"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    order = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("before") + F.coalesce(F.sum("s").over(order), F.lit(0))
+    over = sums.withColumn("upto", upto).where(F.col("upto") + F.col("s") > F.col("rest"))
+    ends = over.groupBy("source").agg(F.min(F.struct(F.col(by).alias("at"), "upto")).alias("e")).select("source", F.col("e.at").alias("__at"), F.col("e.upto").alias("__upto"))
+    return _same_source(rows, ends).where(F.col(by) == F.col("__at")).withColumn("before", F.col("__upto")).drop("__at", "__upto")
+
+
+def _decided(docs: DataFrame, quality: DataFrame | None, weights: tuple[float, ...], share: float, max_epochs: float, scratch: Scratch) -> DataFrame:
+    """(doc_id, source, size, draw, source_size, target, epochs, more) of each row of docs; more: whether the rest of the budget holds it."""
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text")).alias("draw"))
+    if quality is None:
+        weighed = slim.withColumn("weight", F.lit(1.0))
+    else:
+        known = scratch.table(quality.select(F.col("doc_id").alias("__id"), "weight"), "weights")
+        salted = slim.withColumn("__salt", F.when(F.col("doc_id").isNull(), F.col("draw") % 4096).otherwise(0))  # null ids match nothing, so deal them out
+        weighed = salted.join(known.withColumn("__none", F.lit(0).cast("long")), (F.col("doc_id") == F.col("__id")) & (F.col("__salt") == F.col("__none")), "left")
+    key = -F.log((F.col("draw") + 0.5) / float(DRAWS)) / F.coalesce("weight", F.lit(1.0))
+    rows = scratch.table(weighed.select("doc_id", "source", "size", "draw", key.alias("key"), F.monotonically_increasing_id().alias("rid")), "rows")
+    at = (1 - F.exp(-F.col("key"))) * BUCKETS
+    rows = rows.withColumn("b1", F.least(F.floor(at), F.lit(BUCKETS - 1)).cast("long"))
+    place = {
+        "b2": F.floor((at - F.col("b1")) * BUCKETS).cast("long"),
+        "tie": F.struct("key", F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"), "draw"),
+        "part": F.shiftright("rid", 33),
+    }
+    rows = rows.withColumns(place)
+    by_bucket = scratch.table(rows.groupBy("source", "b1").agg(F.sum("size").alias("size")), "buckets")
+    plan = targets(by_bucket.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
+    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    plan = scratch.table(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "plan")
+    budget = plan.select("source", F.lit(0).cast("long").alias("before"), "rest")
+    ends = _narrowed(_same_source(by_bucket, budget), "b1").select("source", F.col("b1").alias("__b1"), "before", "rest")
+    left = _same_source(rows, ends).where(F.col("b1") == F.col("__b1")).select("source", "size", *_PLACE, "before", "rest")
+    left = scratch.table(left, "ends1")
+    for n, by in enumerate(_PLACE[1:], 2):
+        left = scratch.table(_narrowed(left, by), f"ends{n}")
+    last = left.select("source", F.struct(*_PLACE).alias("end"), (F.col("before") + F.col("size") / 2 <= F.col("rest")).alias("fits"))
+    bounds = scratch.table(_same_source(plan, last, "left"), "bounds")  # one row a source
+    own = F.struct(*_PLACE)
+    more = F.col("end").isNull() | (own < F.col("end")) | ((own == F.col("end")) & F.col("fits"))
+    return _same_source(rows, bounds).select("doc_id", "source", "size", "draw", "source_size", "target", "epochs", more.alias("more"))
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of each row of docs; taken: words, repeats counted.
 
     quality: (doc_id, weight), weight > 0 and one row a doc_id; others weigh 1.
     A document has floor(target / source_size) whole epochs; those first by key
     fill the rest of the budget.  The document in which it ends is taken if at
     least half of it fits.  Null texts have size 0 and are taken as nothing.
-    Rows that repeat a doc_id draw the same key and stand side by side, larger
-    first.  Null is a source of its own.  Columns of docs named like an added
-    one are replaced.
+    Rows that repeat a doc_id draw apart unless their texts are equal too; of
+    such equal rows any may be taken, in the right number.  Null is a source of
+    its own.  Other columns are ignored, whatever their names.
     """
-    made = ("size", "source_size", "target", "taken")
-    own = docs.drop(*(c for c in docs.columns if c.lower() in made)).withColumn("size", word_count(F.col("text")))
-    if quality is not None:
-        own = own.join(quality.select(F.col("doc_id").alias("__id"), F.col("weight").alias("__w")), F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    else:
-        own = own.withColumn("__w", F.lit(None).cast("double"))
-    buckets = max(16, docs.count() // rows_per_bucket)
-    key = -F.log(uniform(F.col("doc_id"))) / F.coalesce("__w", F.lit(1.0))
-    own = own.withColumn("__key", key).withColumn("__bucket", F.floor((1 - F.exp(-F.col("__key"))) * buckets).cast("long")).drop("__w")
-    by_bucket = own.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"))
-    sizes = by_bucket.groupBy("source").agg(F.sum("__sum").alias("source_size"))
-    plan = targets(sizes, weights, share, max_epochs)
-    in_order = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (
-        by_bucket.withColumn("__before", F.coalesce(F.sum("__sum").over(in_order), F.lit(0)))
-        .join(plan.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
-        .withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-        .withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
-        .select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), "__before", "source_size", "target", "__epochs", "__rest", (F.col("__before") + F.col("__sum") <= F.col("__rest")).alias("__whole"), (F.col("__before") >= F.col("__rest")).alias("__none"))
-    )
-    joined = own.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    extra = F.when(F.col("__whole"), F.col("size")).otherwise(F.lit(0))
-    settled = joined.where(F.col("__whole") | F.col("__none")).withColumn("__extra", extra)
-    upto = Window.partitionBy("source", "__bucket").orderBy("__key", "doc_id", F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    within = F.col("__before") + F.coalesce(F.sum("size").over(upto), F.lit(0)) + F.col("size") / 2 <= F.col("__rest")
-    ending = joined.where(~F.col("__whole") & ~F.col("__none")).withColumn("__extra", F.when(within, F.col("size")).otherwise(F.lit(0)))
-    both = settled.unionByName(ending)
-    return both.withColumn("taken", (F.col("__epochs") * F.col("size") + F.col("__extra")).cast("long")).drop("__key", "__bucket", "__s", "__b", "__before", "__epochs", "__rest", "__whole", "__none", "__extra")
-
-
-def repeated(mixed: DataFrame) -> DataFrame:
-    """Each document as many times as the mix takes it; documents without words stay once."""
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
-    return mixed.where(times > 0).withColumn("__n", F.explode(F.sequence(F.lit(1), times))).drop("__n", "size", "source_size", "target", "taken")
+    found = _decided(docs, quality, weights, share, max_epochs, Scratch(docs.sparkSession, "mixing"))
+    taken = F.col("size") * (F.col("epochs") + F.col("more").cast("long"))
+    return found.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def copies(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """The rows of docs, all columns as they are, each as often as ``mix`` takes it.
+
+    Documents without words stay once.  If the mix takes only some of several
+    rows with the same doc_id and text, each gets its last copy with that
+    share as probability, seeded.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    found = _decided(docs, quality, weights, share, max_epochs, scratch)
+    times = F.when(F.col("size") > 0, F.col("epochs") + F.col("more").cast("long")).otherwise(1)
+    wanted = found.groupBy("doc_id", "draw").agg(F.avg(times).alias("times"), F.max(times).alias("most")).where("most > 0")
+    wanted = scratch.table(wanted.select(F.col("doc_id").alias("__id"), F.col("draw").alias("__draw"), "times"), "times")
+    rows = docs.select(F.struct(*docs.columns).alias("d"), draw(F.col("doc_id"), F.col("text")).alias("draw"), F.rand(7).alias("chance"))
+    met = rows.join(wanted, (F.col("draw") == F.col("__draw")) & F.col("d.doc_id").eqNullSafe(F.col("__id")))
+    whole = F.floor("times")
+    n = (whole + (F.col("chance") < F.col("times") - whole).cast("long")).cast("int")
+    return met.where(n > 0).select("d", F.explode(F.sequence(F.lit(1), n))).select("d.*")

@@ -73,14 +73,13 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, quality_weights(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(_table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
   FROM documents),
 q AS (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE 0.5 END::DOUBLE AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 k AS (SELECT d.doc_id, d.source, d.size, -ln(d.u) / coalesce(q.weight, 1.0) AS key FROM d LEFT JOIN q ON d.doc_id = q.doc_id),
@@ -92,7 +91,7 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
                 / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM l WHERE cap / w >= level ORDER BY cap / w, source NULLS LAST LIMIT 1) * w, cap)) AS target FROM l),
 o AS (SELECT k.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs,
-             coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+             coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
        (epochs * size + CASE WHEN before + size / 2.0 <= target - epochs * source_size THEN size ELSE 0 END)::BIGINT AS taken
