@@ -36,18 +36,30 @@ def line_dedup_brute(texts):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_line_dedup(spark, limit):
+def test_line_dedup(spark):
     from vocabmill.llm.line_dedup import dedup_lines
 
     long, other = "This is a Repeated line of text", "é" * 20
     texts = [(1, f"{long}\nown one\n {long.upper()}\t"), (2, f"a\n{long}"), (3, long), (4, f"{other}\n{other}"), (5, other), (6, other), (7, None), (8, ""), (9, "x" * 50_000), (10, "short\nshort"), (11, "short"), (12, "short")]
-    got = dedup_lines(docs_of(spark, texts, extra=True), max_filter_bytes=limit)
+    got = dedup_lines(docs_of(spark, texts, extra=True))
     assert got.columns == ["doc_id", "n_lines", "n_dropped", "text"]
     assert sorted(map(tuple, got.collect())) == line_dedup_brute(texts)
     assert dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_ids_that_repeat(spark, monkeypatch):
+    """Rows of one doc_id are one document, null ids another, below the least long."""
+    from vocabmill.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "PACK", 1)
+    line = "a line that repeats in many rows"
+    rows = [(None, line), (None, line), (None, f"x\n{line}"), (-(2**63), line), (3, line), (3, f"{line}\ny"), (3, line.upper())]
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs_of(spark, rows).repartition(3)).collect())
+    assert got == Counter({(None, 1, 1, ""): 2, (None, 2, 1, "x"): 1, (-(2**63), 1, 1, ""): 1, (3, 1, 0, line): 1, (3, 2, 0, f"{line}\ny"): 1, (3, 1, 0, line.upper()): 1})
+    two = docs_of(spark, [(None, line), (None, line), (1, line), (1, line)])
+    assert {r.n_dropped for r in line_dedup.dedup_lines(two).collect()} == {0}
+
+
 def test_line_dedup_random(spark):
     from vocabmill.llm.line_dedup import dedup_lines
 
@@ -58,7 +70,7 @@ def test_line_dedup_random(spark):
 
 
 def test_bloom_has_no_false_negatives():
-    from vocabmill.llm.line_dedup import Bloom
+    from vocabmill.llm.bloom import Bloom
 
     h = np.random.default_rng(1).integers(0, 2**63, 50_000).astype(np.uint64)
     bloom = Bloom(1000)
@@ -83,8 +95,8 @@ def substring_brute(texts, window):
     return out
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_substring_dedup(spark, limit):
+@pytest.mark.parametrize("limit, hot", [(64 << 20, 20_000), (0, 20_000), (64 << 20, 1), (0, 0)])
+def test_substring_dedup(spark, limit, hot):
     from vocabmill.llm.substring_dedup import dedup_substrings
 
     rng = random.Random(5)
@@ -92,11 +104,31 @@ def test_substring_dedup(spark, limit):
     passage = " ".join(f"p{i}" for i in range(45))
     texts = [(1, f"{' '.join(word() for _ in range(30))} {passage} end"), (2, f"x {passage}\n{passage} y"), (3, passage[:-4]), (4, None), (5, ""), (6, "too short"), (7, " ".join(["same"] * 60)), (8, "é " + passage)]
     texts += [(10 + i, " ".join(rng.choice("ab") for _ in range(70))) for i in range(6)]
-    got = dedup_substrings(docs_of(spark, texts, extra=True), max_filter_bytes=limit)
+    got = dedup_substrings(docs_of(spark, texts, extra=True), max_filter_bytes=limit, hot_contexts=hot)
     assert sorted(map(tuple, got.collect())) == substring_brute(texts, 20)
     assert dedup_substrings(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_substring_dedup_ids_that_repeat(spark, limit):
+    """Rows of one doc_id, or of none, are told apart by their texts, whose 32-bit hashes collide here."""
+    from vocabmill.llm.substring_dedup import dedup_substrings
+
+    seen, pair, i = {}, None, 0
+    while pair is None:
+        text = " ".join(f"t{i}x{k}" for k in range(25))
+        h = xxhash.xxh32_intdigest(text.encode())
+        pair, i = (seen[h], text) if h in seen else None, i + 1
+        seen[h] = text
+    passage = " ".join(f"p{k}" for k in range(30))
+    for doc_id in (None, 7, -(2**63)):
+        rows = [(doc_id, pair[0]), (doc_id, f"{pair[1]}"), (doc_id, f"{passage} tail"), (doc_id, f"{passage} tail"), (2**62, f"head {passage}")]
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in dedup_substrings(docs_of(spark, rows), max_filter_bytes=limit).collect())
+        assert got == Counter({(doc_id, 25, 0, pair[0]): 1, (doc_id, 25, 0, pair[1]): 1, (doc_id, 31, 0, f"{passage} tail"): 2, (2**62, 31, 30, "head"): 1})
+    both = dedup_substrings(docs_of(spark, [(-(2**63), f"{passage} b"), (None, f"a {passage}"), (None, f"{passage} c")])).collect()
+    assert sorted((r.doc_id is None, r.n_removed) for r in both) == [(False, 30), (True, 0), (True, 30)]
+
+
 def test_decontamination(spark):
     from vocabmill.llm.decontamination import overlaps, tile, tokens, without_overlaps
 
@@ -234,32 +266,86 @@ def waterfill(sizes, share=1.5, cap=2.0):
     return target
 
 
-def test_mixing(spark):
-    from vocabmill.llm.mixing import mix, repeated
+@pytest.mark.parametrize("buckets", [4096, 3])
+def test_mixing(spark, monkeypatch, buckets):
+    from vocabmill.llm import mixing
+    from vocabmill.llm.mixing import copies, mix
 
+    monkeypatch.setattr(mixing, "BUCKETS", buckets)
     rng = random.Random(4)
-    texts = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 40)))) for i in range(400)] + [(1000, None), (1001, ""), (1, "twice here"), (1, "twice here")]
+    texts = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 40)))) for i in range(400)] + [(1000, None), (1001, ""), (1, "twice here"), (1, "twice here"), (1006, "long " * 20_000)]
     source = lambda i: [None, "a", "b", "b", "b", "c", "é"][i % 7]
     docs = docs_of(spark, texts, extra=True, source=source)
+    for name in ("source_size", "target", "rid", "tie", "d", "__s", "draw"):
+        docs = docs.withColumn(name, F.lit(8))
     quality = spark.createDataFrame([(i, 2.0) for i in range(0, 400, 3)], "doc_id long, weight double")
-    got = mix(docs, quality, rows_per_bucket=10).collect()
+    got = mix(docs, quality).collect()
     assert len(got) == len(texts)
     sizes = Counter()
     for i, t in texts:
         sizes[source(i)] += len((t or "").split())
     want = waterfill(sizes)
-    largest = max(len((t or "").split()) for _, t in texts)
+    largest = Counter()
+    for i, t in texts:
+        largest[source(i)] = max(largest[source(i)], len((t or "").split()))
     taken = Counter()
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and r.taken <= 2 * r.size and (not r.size or r.taken % r.size == 0)
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= largest for s in sizes)
-    again = mix(docs.repartition(7), quality, rows_per_bucket=10)
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
+    again = mix(docs.repartition(7), quality)
     key = lambda rows: sorted((r.doc_id, r.size, r.taken) for r in rows)
     assert key(again.collect()) == key(got)
-    plain = mix(docs_of(spark, texts, source=source), quality)
-    assert set(repeated(plain).columns) == {"doc_id", "text", "lang", "source", "n_chars"}
-    assert mix(docs_of(spark, [])).count() == 0
+    out = copies(docs, quality)
+    assert out.columns == docs.columns
+    rows = Counter((r.doc_id, r.text) for r in out.collect())
+    times = Counter()
+    for r in got:
+        times[r.doc_id, r.size] += r.taken // r.size if r.size else 1
+    assert {k: n for k, n in times.items() if n and k[0] != 1} == {(i, len((t or "").split())): n for (i, t), n in rows.items() if i != 1}
+    assert mix(docs_of(spark, [])).count() == copies(docs_of(spark, [])).count() == 0
+
+
+def test_mixing_order_by_brute_force(spark):
+    """In each source the documents first by key are taken until the budget is full."""
+    import hashlib
+    import math
+
+    from vocabmill.llm.mixing import mix
+
+    rng = random.Random(12)
+    texts = [(i, " ".join("w" for _ in range(rng.randint(1, 30)))) for i in range(150)] + [(None, f"none {i}") for i in range(40)]
+    source = lambda i: "ab"[(i or 0) % 2]
+    weight = {i: 0.5 for i in range(0, 150, 4)}
+
+    def key(i, t):
+        own = hashlib.md5(f"{'' if i is None else i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+        return -math.log((int(own[:12], 16) + 0.5) / 2**48) / weight.get(i, 1.0)
+
+    sizes = Counter()
+    for i, t in texts:
+        sizes[source(i)] += len(t.split())
+    want, expected = waterfill(sizes), Counter()
+    for s in sizes:
+        epochs, before = int(want[s] // sizes[s]), 0
+        for i, t in sorted((x for x in texts if source(x[0]) == s), key=lambda x: key(*x)):
+            n = len(t.split())
+            expected[i, n, n * (epochs + (before + n / 2 <= want[s] - epochs * sizes[s]))] += 1
+            before += n
+    quality = spark.createDataFrame(list(weight.items()), "doc_id long, weight double")
+    assert Counter((r.doc_id, r.size, r.taken) for r in mix(docs_of(spark, texts, source=source), quality).collect()) == expected
+
+
+def test_mixing_parts_equal_rows(spark):
+    """A hot group of equal rows is taken in part."""
+    from vocabmill.llm.mixing import copies, mix
+
+    docs = docs_of(spark, [(None, "a b c d")] * 500 + [(None, "x y")] * 20, source=lambda i: "s").repartition(9)
+    for target_share in (0.3, 1.1):
+        got = mix(docs, share=target_share).collect()
+        assert abs(sum(r.taken for r in got) - target_share * 2040) <= 4
+    n = sum(len(r.text.split()) for r in copies(docs, share=0.3).collect())
+    assert 0.15 * 2040 < n < 0.45 * 2040
 
 
 def test_chat_format(spark):
