@@ -28,9 +28,9 @@ def _positions(h: np.ndarray, m: np.ndarray | int) -> list[np.ndarray]:
 
 
 class Bloom:
-    """A scalable Bloom filter: when a layer is full, a larger one is added."""
+    """A scalable Bloom filter: when a layer is full, one four times as large is added."""
 
-    def __init__(self, keys: int = 1 << 14) -> None:
+    def __init__(self, keys: int = 1 << 16) -> None:
         self.layers: list[np.ndarray] = []
         self._grow(keys)
 
@@ -57,7 +57,7 @@ class Bloom:
     def add(self, h: np.ndarray) -> None:
         while len(h):
             if not self.room:
-                self._grow(len(self.layers[-1]) * 8 // BITS_PER_KEY * 2)
+                self._grow(len(self.layers[-1]) * 8 // BITS_PER_KEY * 4)
             part, h = h[: self.room], h[self.room :]
             bits = self.layers[-1]
             for p in _positions(part, len(bits) * 8):
@@ -115,23 +115,37 @@ def filters_of(packed: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
     return scratch.table(dealt.mapInArrow(_filter_shard, "shard int, twice array<binary>"), "filters")
 
 
-def collected(filtered: DataFrame, max_bytes: int):
-    """A broadcast of all twice-seen filters by shard, or None if they are larger than max_bytes."""
+class Filters:
+    """The filters of all shards, to look up hashes of any shard at once.
+
+    Layers grow alike in all shards, so the nth layers of all are one array.
+    """
+
+    def __init__(self, layers_of: dict[int, list[bytes]], shards: int) -> None:
+        self.shards, self.levels = shards, []
+        for n in range(max(map(len, layers_of.values()), default=0)):
+            own = {s: x[n] for s, x in layers_of.items() if len(x) > n}
+            start, size = np.full(shards, -1, np.int64), len(next(iter(own.values())))
+            start[list(own)] = np.arange(len(own)) * size
+            self.levels.append((start, size, np.frombuffer(b"".join(own.values()), np.uint8)))
+
+    def know(self, h: np.ndarray) -> np.ndarray:
+        found, shard = np.zeros(len(h), bool), shard_of(h, self.shards).astype(np.int64)
+        for start, size, bits in self.levels:
+            at = start[shard]
+            hit = at >= 0
+            for p in _positions(h, size * 8):
+                hit &= (bits[(p >> np.uint64(3)).astype(np.int64) + at] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            found |= hit
+        return found
+
+
+def collected(filtered: DataFrame, shards: int, max_bytes: int):
+    """A broadcast of all twice-seen filters, or None if they are larger than max_bytes."""
     total = F.aggregate("twice", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
     if (filtered.agg(F.sum(total)).first()[0] or 0) > max_bytes:
         return None
-    return filtered.sparkSession.sparkContext.broadcast({r.shard: r.twice for r in filtered.toLocalIterator()})
-
-
-def known_to(filters: dict[int, list[bytes]], h: np.ndarray, shards: int) -> np.ndarray:
-    """Which hashes the filters of their shards know."""
-    keep, shard = np.zeros(len(h), bool), shard_of(h, shards).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    used, first = np.unique(shard[order], return_index=True)
-    for s, a, b in zip(used.tolist(), first, [*first[1:], len(h)]):
-        own = Bloom.of(filters.get(s, ()))
-        keep[order[a:b]] = own.contains(h[order[a:b]])
-    return keep
+    return filtered.sparkSession.sparkContext.broadcast(Filters({r.shard: r.twice for r in filtered.toLocalIterator()}, shards))
 
 
 def _probe(batches):

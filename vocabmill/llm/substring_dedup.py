@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ._shared import Scratch, slices, texts_as_bytes, worker_state
-from .bloom import PACKED, collected, filters_of, known_to, met_in_shards, packed_by_shard, shard_of
+from .bloom import PACKED, collected, filters_of, met_in_shards, packed_by_shard, shard_of
 
 WINDOW, GRAM = 20, 6
 #: Filters up to this size go to all tasks; runs are dealt to the shards of larger ones.
 MAX_FILTER_BYTES = 64 << 20
-#: Anchors with more different contexts than this in the tasks are worked on by window.
-HOT_CONTEXTS = 20_000
+#: Anchors with about this many different contexts or more are worked on by window; they are found among one in CONTEXT_SHARE.
+HOT_CONTEXTS, CONTEXT_SHARE = 4000, 64
 _NULL_ID = -(2**63)
 #: Texts are worked on in slices of so many bytes.
 SLICE = 2 << 20
@@ -149,24 +149,53 @@ def _anchors_by_task(window: int, gram: int, shards: int):
     return run
 
 
-def _row_columns(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(did, t1, t2), which name a row and order rows: the doc_id, and 127 bits of the text's digest.
+class RowNames:
+    """Names rows, and orders them: did is the doc_id, (t1, t2) 127 bits of the text's digest.
 
     A null doc_id has the least long for did and a negative t1, so it comes
-    before that doc_id itself.
+    before that doc_id itself.  Rows whose doc_id surely is no other row's go
+    without a digest: repeated knows all doc_ids that repeat.
     """
-    ids = part.column("doc_id")
-    none = ids.is_null().to_numpy(zero_copy_only=False)
-    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in texts_as_bytes(part)]), np.uint64).reshape(-1, 2)
-    t1 = (digests[:, 0] >> np.uint64(1)).view(np.int64)
-    return ids.fill_null(_NULL_ID).to_numpy(zero_copy_only=False), np.where(none, -1 - t1, t1), np.ascontiguousarray(digests[:, 1]).view(np.int64)
+
+    def __init__(self, repeated=None) -> None:
+        self.repeated = repeated
+
+    def __call__(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = part.column("doc_id")
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        did = ids.fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+        shared = none | self.repeated.value.know(_mix(did.view(np.uint64))) if self.repeated is not None else np.ones(len(did), bool)
+        digests = np.zeros((len(did), 2), np.uint64)
+        at = np.flatnonzero(shared)
+        if len(at):
+            texts = part.column("text").take(pa.array(at)).cast(pa.binary()).to_pylist()
+            digests[at] = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t or b"") for t in texts]), np.uint64).reshape(-1, 2)
+        t1 = (digests[:, 0] >> np.uint64(1)).view(np.int64)
+        return did, np.where(none, -1 - t1, t1), np.ascontiguousarray(digests[:, 1]).view(np.int64)
+
+
+def _ids_by_task(shards: int):
+    """The hashes of this task's doc_ids, packed by shard."""
+
+    def run(batches):
+        parts, count = [], 0
+        for batch in batches:
+            parts.append(_mix(batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)))
+            count += len(parts[-1])
+            if count > 2_000_000:
+                yield packed_by_shard(parts, shards)
+                parts, count = [], 0
+        if parts:
+            yield packed_by_shard(parts, shards)
+
+    return run
 
 
 ROW = ("did", "t1", "t2")
 _CONTEXT = "h long, d1 long, d2 long, did long, t1 long, t2 long, start int, context binary"
 
 
-def _contexts(window: int, gram: int, filters, shards: int):
+def _contexts(window: int, gram: int, filters, names: RowNames):
     """Runs whose anchor may recur; of equal contexts in a task the first alone has the words."""
 
     def run(batches):
@@ -177,14 +206,13 @@ def _contexts(window: int, gram: int, filters, shards: int):
                 h, text, first, count = _runs(words, window, gram)
                 if not len(h):
                     continue
-                keep = known_to(filters.value, h, shards)
-                yield _context_rows(part, words, h[keep], text[keep], first[keep], count[keep], window, sent)
+                keep = filters.value.know(h)
+                yield _context_rows(names(part), words, h[keep], text[keep], first[keep], count[keep], window, sent)
 
     return run
 
 
-def _context_rows(part, words, h, text, first, count, window, sent) -> pa.RecordBatch:
-    rows = _row_columns(part)
+def _context_rows(rows, words, h, text, first, count, window, sent) -> pa.RecordBatch:
     raw, starts, ends = words.raw.tobytes(), words.starts.tolist(), words.ends.tolist()
     digests, contexts = [], []
     for a, n in zip(first.tolist(), count.tolist()):
@@ -204,7 +232,7 @@ def _context_rows(part, words, h, text, first, count, window, sent) -> pa.Record
     return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(contexts, pa.binary())], ["h", "d1", "d2", *ROW, "start", "context"])
 
 
-def _all_runs(window: int, gram: int, shards: int):
+def _all_runs(window: int, gram: int, names: RowNames, shards: int):
     """(shard, h, did, t1, t2, start, n) of every run."""
 
     def run(batches):
@@ -212,14 +240,14 @@ def _all_runs(window: int, gram: int, shards: int):
             for part in slices(batch, max_bytes=SLICE):
                 words = Words(part)
                 h, text, first, count = _runs(words, window, gram)
-                rows = [x[text] for x in _row_columns(part)]
+                rows = [x[text] for x in names(part)]
                 columns = [shard_of(h, shards).astype(np.int32), h.view(np.int64), *rows, (first - words.bounds[text]).astype(np.int32), count.astype(np.int32)]
                 yield pa.record_batch([pa.array(c) for c in columns], ["shard", "h", *ROW, "start", "n"])
 
     return run
 
 
-def _marked_contexts(window: int):
+def _marked_contexts(window: int, names: RowNames):
     """The contexts of the runs (h, start, n) listed with each text."""
 
     def run(batches):
@@ -230,7 +258,7 @@ def _marked_contexts(window: int):
                 text = np.array([i for i, m in enumerate(marks) for _ in m or ()], np.int64)
                 if len(text):
                     h, start, n = (np.array([x[k] for m in marks for x in m or ()], np.int64) for k in ("h", "start", "n"))
-                    yield _context_rows(part, words, h.view(np.uint64), text, start + words.bounds[text], n, window, sent)
+                    yield _context_rows(names(part), words, h.view(np.uint64), text, start + words.bounds[text], n, window, sent)
 
     return run
 
@@ -375,11 +403,13 @@ def _cut(window: int):
     return run
 
 
-def _add_row(batches):
-    """The columns that name a row."""
-    for batch in batches:
-        for part in slices(batch, max_bytes=SLICE):
-            yield pa.record_batch([*part.columns, *(pa.array(x) for x in _row_columns(part))], [*part.schema.names, *ROW])
+def _add_row(names: RowNames):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, max_bytes=SLICE):
+                yield pa.record_batch([*part.columns, *(pa.array(x) for x in names(part))], [*part.schema.names, *ROW])
+
+    return run
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_bytes: int = MAX_FILTER_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -398,18 +428,22 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ma
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     filtered = filters_of(own.select("text").mapInArrow(_anchors_by_task(window, gram, shards), PACKED), scratch, shards)
-    filters = collected(filtered, max_filter_bytes)
-    named = own.mapInArrow(_add_row, "doc_id long, text string, did long, t1 long, t2 long")
+    filters = collected(filtered, shards, max_filter_bytes)
+    repeated = filters_of(own.select("doc_id").mapInArrow(_ids_by_task(shards), PACKED), Scratch(spark, "phrase-ids"), shards)
+    names = RowNames(collected(repeated, shards, max_filter_bytes))
+    named = own.mapInArrow(_add_row(names), "doc_id long, text string, did long, t1 long, t2 long")
     if filters is not None:
-        runs = own.mapInArrow(_contexts(window, gram, filters, shards), _CONTEXT)
+        runs = own.mapInArrow(_contexts(window, gram, filters, names), _CONTEXT)
     else:
-        all_runs = own.mapInArrow(_all_runs(window, gram, shards), "shard int, h long, did long, t1 long, t2 long, start int, n int")
+        all_runs = own.mapInArrow(_all_runs(window, gram, names, shards), "shard int, h long, did long, t1 long, t2 long, start int, n int")
         marks = met_in_shards(all_runs, filtered, shards).groupBy(*ROW).agg(F.collect_list(F.struct("h", "start", "n")).alias("marks"))
-        runs = named.join(marks, [*ROW]).select("doc_id", "text", "marks").mapInArrow(_marked_contexts(window), _CONTEXT)
+        runs = named.join(marks, [*ROW]).select("doc_id", "text", "marks").mapInArrow(_marked_contexts(window, names), _CONTEXT)
     runs = scratch.table(runs, "runs")
     first = F.min(F.struct(*ROW, "start")).alias("at")
     contexts = runs.groupBy("h", "d1", "d2").agg(first, F.count("*").alias("n"), F.max("context").alias("context")).select("h", "d1", "d2", "at.*", "n", "context")
-    hot = scratch.table(runs.where("context IS NOT NULL").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts).select("h"), "hot")
+    share = min(CONTEXT_SHARE, hot_contexts + 1)
+    some = runs.where(F.col("context").isNotNull() & (F.pmod("d1", F.lit(share)) == 0))
+    hot = scratch.table(some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts // share).select("h"), "hot")
     if not hot.isEmpty():
         contexts = scratch.table(contexts, "contexts")
         by_window = _located_by_window(contexts.join(hot, "h", "left_semi"), window, scratch)
