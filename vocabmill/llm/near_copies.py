@@ -1,16 +1,25 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
-
-Equal texts are one node.  A node's shingles are put in one order for all
-texts: those that a sample finds frequent last, else by hash.  Of two sets with
-a similarity of 4/5 or more, the first n - ceil(4n/5) + 1 of each in that order
-(its prefix) share a shingle, whatever the order is, so pairs that meet on
-their prefixes' shingles miss none (Chaudhuri et al., "A Primitive Operator for
-Similarity Joins in Data Cleaning", 2006).
+"""Near copies: SimHash proposes, exact Jaccard similarity of word shingles decides.
+
+Equal texts are one node.  The SimHash operator, on 5-word shingles, gives
+components of fingerprints that differ in at most ``RADIUS`` bits; each node is
+compared with the least node of its component, and linked to it if whole sets
+of shingles reach a similarity of 4/5.  That finds most copies with few edits,
+large groups among them, by one comparison a node.
+
+Fingerprints of texts as similar as 4/5 may differ in 13 bits and more, a
+radius at which the grid prunes nothing.  So a prefix filter proposes the rest.
+A node's shingles are put in one order for all texts: those that a sample finds
+frequent last, else by hash.  Of two sets with a similarity of 4/5 or more, the
+first n - ceil(4n/5) + 1 of each in that order (its prefix) share a shingle,
+whatever the order is, so pairs that meet on their prefixes' shingles miss none
+(Chaudhuri et al., "A Primitive Operator for Similarity Joins in Data
+Cleaning", 2006).
 
 A shingle in up to ``SMALL`` prefixes yields its pairs; a pair goes on if it
-shares so many prefix shingles as the similarity needs.  The members of a more
-common one go on in chunks by size.  Either way whole sets are compared before
-two nodes are linked, and a group yields a spanning forest, not its links.
+isn't linked yet and shares so many prefix shingles as the similarity needs.
+The members of a more common one go on in chunks by size.  Either way whole
+sets are compared before two nodes are linked, and a group yields a spanning
+forest, not its links.
 """
 
 from __future__ import annotations
@@ -22,9 +31,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ._shared import Scratch, arrow_rows, slices, texts_as_bytes
 from .components import Labels, components
+from .simhash import near_duplicates
 
 #: Words of a shingle.  A link is a similarity of 4/5 or more.
 SHINGLE, SEED = 5, 42
+#: Bits in which fingerprints may differ for SimHash to propose a pair.
+RADIUS = 4
 #: Shingles of at least FREQUENT of about SAMPLE rows come last; only work depends on it.
 SAMPLE, FREQUENT, MAX_FREQUENT = 40_000, 3, 200_000
 SMALL = 32
@@ -214,6 +226,15 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.key for r in counted.orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).collect()], np.int64).view(np.uint64))
 
 
+def _links(sets: DataFrame, texts: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """(u, v): spanning forests of the links among each row's members (array of nodes)."""
+    members = scratch.table(sets.select(F.xxhash64("members").alias("gid"), F.explode("members").alias("node")), f"{label}-members")
+    needed = texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    with arrow_rows(texts.sparkSession, 128):
+        found = members.join(needed.mapInArrow(_sets, "node long, own binary"), "node").select("gid", "node", "own")
+        return scratch.table(found.repartition("gid").sortWithinPartitions("gid").mapInArrow(_verified, "u long, v long"), f"{label}-links")
+
+
 def roots(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of each text of docs that is linked with another: root is its component's least node.
 
@@ -222,19 +243,22 @@ def roots(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(node_of(F.col("text")).alias("node"), "text").where("node <> 0")
+    similar = near_duplicates(texts.select(F.col("node").alias("doc_id"), "text"), SHINGLE, RADIUS)
+    stars = similar.where("doc_id <> component_id").select(F.array("component_id", "doc_id").alias("members")).distinct()
+    near = _links(stars, texts, scratch, "similar")
+    linked_yet = scratch.table(components(near, Scratch(spark, "near-copies-similar")), "similar-roots")
     frequent = spark.sparkContext.broadcast(_frequent(texts))
     keys = texts.mapInArrow(_prefixes(frequent), "key long, node long, size int")
     groups = scratch.table(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "u long, v long, nu int, nv int, members array<long>"), "groups")
     # of the prefixes' shingles a pair shares n; behind them it can share what is left of either set
     behind = F.greatest(*(F.floor(F.col(c) * 4 / 5 + 0.9).cast("long") - 1 for c in ("nu", "nv")))
     pairs = groups.where("members IS NULL").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("n")).where(9 * (F.col("n") + behind) >= 4 * (F.col("nu") + F.col("nv")))
+    for end in ("u", "v"):
+        pairs = pairs.join(linked_yet.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    pairs = pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
     sets = pairs.select(F.array("u", "v").alias("members")).union(groups.where("members IS NOT NULL").select("members").distinct())
-    members = scratch.table(sets.select(F.xxhash64("members").alias("gid"), F.explode("members").alias("node")), "members")
-    needed = texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    with arrow_rows(spark, 128):
-        found = members.join(needed.mapInArrow(_sets, "node long, own binary"), "node").select("gid", "node", "own")
-        links = scratch.table(found.repartition("gid").sortWithinPartitions("gid").mapInArrow(_verified, "u long, v long"), "links")
-    return components(links, scratch)
+    rest = _links(sets, texts, scratch, "prefix")
+    return components(near.union(rest), scratch)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
