@@ -435,6 +435,53 @@ def test_label_model_finds_the_good_voters():
     assert model.rates[1, 0, 1] > 0.8 and model.rates[0, 0, 1] < 0.2 and abs(model.rates[1, 5, 1] - 0.5) < 0.1
 
 
+def test_label_model_against_brute_force():
+    """The posterior of a fitted tree is Bayes' rule over its own tables."""
+    from vocabmill.llm.toxicity import LabelModel
+
+    rng = np.random.default_rng(3)
+    votes = rng.integers(-1, 2, (500, 6))
+    votes[:, 3] = np.where(rng.random(500) < 0.9, votes[:, 2], votes[:, 3])
+    model = LabelModel(0.3).fit(votes)
+    got = model.posterior(votes[:60])
+    for row, p in zip(np.where(votes[:60] < 0, 2, votes[:60]), got):
+        both = [1 - model.prior, model.prior]
+        for y in (0, 1):
+            for j, i in enumerate(model.parent):
+                both[y] *= model.tables[j][y, row[i] if i >= 0 else 0, row[j]]
+        assert abs(both[1] / sum(both) - p) < 1e-9
+    assert 2 in (model.parent[3], ) or model.parent[2] == 3
+    assert np.allclose(model.rates.sum(axis=2), 1) and all(np.allclose(t.sum(axis=2), 1) for t in model.tables)
+
+
+def test_label_model_with_correlated_voters():
+    """Five near copies of one poor voter don't outvote four good ones."""
+    from vocabmill.llm.toxicity import LabelModel
+
+    rng = np.random.default_rng(1)
+    n = 6000
+    y = rng.random(n) < 0.3
+    flip = lambda base, p: np.where(rng.random(n) < p, ~base, base)
+    poor = flip(y, 0.35)
+    votes = np.stack([*(flip(poor, 0.03) for _ in range(5)), *(flip(y, 0.12) for _ in range(4))], axis=1).astype(int)
+    model = LabelModel(0.3).fit(votes)
+    assert ((model.posterior(votes) >= 0.5) == y).mean() > 0.93
+    clones = sum(1 for j in range(5) if 0 <= model.parent[j] < 5)
+    assert clones >= 4 and model.rates[1, 6, 1] > 0.8 and model.rates[1, 0, 1] < 0.75
+
+
+def test_toxicity_samples_both_classes_the_same_in_each_run(spark):
+    from vocabmill.llm.toxicity import _sampled
+
+    docs = docs_of(spark, [(i, f"text {i}") for i in range(3000)] + [(5, "text 5"), (5, "other"), (None, "x")])
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(3000)] + [(5, 1)], "doc_id long, toxic int")
+    runs = [_sampled(x, labels, F.lit(True), 200) for x in (docs, docs.repartition(5))]
+    got = [sorted(map(tuple, df.collect()), key=repr) for df, _ in runs]
+    assert got[0] == got[1] and len({r[0] for r in got[0]}) == len(got[0])
+    toxic = [r[0] for r in got[0] if r[2]]
+    assert sorted(toxic) == sorted({*range(0, 3000, 100), 5}) and 60 < len(got[0]) - len(toxic) < 140 and abs(runs[0][1] - 31 / 3000) < 1e-9
+
+
 def test_top_k(spark):
     from vocabmill.llm.topk import KDTree, top_k
 
@@ -443,7 +490,7 @@ def test_top_k(spark):
     v[100:140] = v[7]
     rows = [(i, [float(x) for x in v[i]]) for i in range(700)] + [(700, None), (701, [1.0, None]), (702, [float("nan")] * 16), (703, [float("inf")] * 16), (704, []), (705, [0.5]), (None, [0.1] * 16), (50, [0.25] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("v", F.lit(1))
-    got = top_k(df, F.col("vec_id") % 50 == 0, shard_rows=100, block_queries=5).collect()
+    got = top_k(df, F.col("vec_id") % 50 == 0, shard_bytes=100 * 128, block_bytes=5 * 128).collect()
     ints = []
     for i, e in rows:
         if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
@@ -463,6 +510,34 @@ def test_top_k(spark):
         assert (q @ tree.vectors[a:b].T <= bound[:, None] + 1e-9).all()
 
 
+def test_top_k_prunes_shards_and_splits_hot_cells(spark):
+    """A third of all vectors are equal; far clusters are cells of their own, which most blocks never visit."""
+    from vocabmill.llm import topk
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 4, (12, 8))
+    v = np.concatenate([centres[rng.integers(0, 12, 1600)] + rng.normal(0, 0.05, (1600, 8)), np.tile(centres[3], (800, 1))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(v)], "vec_id long, embedding array<float>")
+    asked, original = [], topk._meet
+
+    def counted(shards, asking):
+        asked.append((shards.count(), asking.count()))
+        return original(shards, asking)
+
+    topk._meet = counted
+    try:
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_bytes=100 * 64, block_bytes=10 * 64).collect()
+    finally:
+        topk._meet = original
+    whole = np.floor(256 * v.astype(np.float64))
+    want = {(q, n, i, -s) for q in range(0, len(v), 50) for n, (s, i) in enumerate(sorted((-int(x), i) for i, x in enumerate(whole @ whole[q]) if i != q)[:5], 1)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    (shards, blocks), (_, visits) = asked
+    assert shards >= 24 and visits < blocks * shards / 2
+    cells = topk.Cells(np.ones((500, 3)), 8)
+    assert cells.count == 1 and set(cells.of(np.zeros((4, 3)))) == {0}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from vocabmill.llm.queries import tokenizer_path  # noqa: F401
