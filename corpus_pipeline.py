@@ -24,7 +24,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each component of near copies: 5-word shingles, Jaccard 0.8 or more."""
+    """The row with the smallest doc_id of each component of near copies: 5-word shingles, Jaccard 0.8 or more.
+
+    SimHash proposes pairs, a prefix filter those that SimHash misses, and
+    whole sets of shingles decide.
+    """
     return near_copies.first_of_each(docs)
 
 
@@ -47,7 +51,7 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 STAGES = [
     ("language ID", identify_language),
-    ("near-dedup by shingle Jaccard", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("mixing sources to target weights", mix_sources),
     ("token-ID output", write_token_ids),
