@@ -65,6 +65,15 @@ class Bloom:
             self.room -= len(part)
 
 
+    def folded(self) -> list[bytes]:
+        """The layers, the last halved as often as its keys allow: a key's place in a half is its place modulo the half."""
+        last = self.layers[-1]
+        used, keys = len(last) * 8 // BITS_PER_KEY - self.room, len(last) * 8 // BITS_PER_KEY
+        while 2 * used <= keys and len(last) > 64 and len(last) % 2 == 0:
+            last, keys = last[: len(last) // 2] | last[len(last) // 2 :], keys // 2
+        return [x.tobytes() for x in (*self.layers[:-1], last)] if used or len(self.layers) > 1 else []
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (h >> np.uint64(11)) % np.uint64(shards)
 
@@ -105,8 +114,7 @@ def _filter_shard(batches):
     for batch in batches:
         for once, again in zip(batch.column("once").to_pylist(), batch.column("again").to_pylist()):
             filters.feed(once, again)
-    layers = [x.tobytes() for x in filters.again.layers]
-    yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([layers], pa.list_(pa.binary()))], ["shard", "twice"])
+    yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([filters.again.folded()], pa.list_(pa.binary()))], ["shard", "twice"])
 
 
 def filters_of(packed: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
@@ -118,15 +126,16 @@ def filters_of(packed: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
 class Filters:
     """The filters of all shards, to look up hashes of any shard at once.
 
-    Layers grow alike in all shards, so the nth layers of all are one array.
+    The nth layers of all are one array.
     """
 
     def __init__(self, layers_of: dict[int, list[bytes]], shards: int) -> None:
         self.shards, self.levels = shards, []
         for n in range(max(map(len, layers_of.values()), default=0)):
             own = {s: x[n] for s, x in layers_of.items() if len(x) > n}
-            start, size = np.full(shards, -1, np.int64), len(next(iter(own.values())))
-            start[list(own)] = np.arange(len(own)) * size
+            start, size = np.full(shards, -1, np.int64), np.ones(shards, np.uint64)
+            lengths = np.array([len(x) for x in own.values()])
+            start[list(own)], size[list(own)] = np.cumsum(lengths) - lengths, lengths * 8
             self.levels.append((start, size, np.frombuffer(b"".join(own.values()), np.uint8)))
 
     def know(self, h: np.ndarray) -> np.ndarray:
@@ -134,7 +143,7 @@ class Filters:
         for start, size, bits in self.levels:
             at = start[shard]
             hit = at >= 0
-            for p in _positions(h, size * 8):
+            for p in _positions(h, size[shard]):
                 hit &= (bits[(p >> np.uint64(3)).astype(np.int64) + at] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
             found |= hit
         return found
