@@ -16,6 +16,7 @@ text; a larger benchmark takes more passes over the documents.
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._shared import slices, texts_as_bytes
 
 MIN_MATCH, MIN_COVERAGE = 5, 0.5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 _TOKEN = re.compile(r"[^\W_]+")
 #: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han.
 _SPACELESS = "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
@@ -75,7 +76,7 @@ def _matches(p: list[int], t: list[int], free_p: list[bool], free_t: list[bool],
 
 
 def tile(p: list[int], t: list[int], min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """(start in p, start in t, length) of each tile, the longest first.
+    """(start in p, start in t, length) of each tile, the longest first, of equal ones the first in p, then in t.
 
     Tokens are positive integers; a 0 matches nothing.
     """
@@ -86,15 +87,18 @@ def tile(p: list[int], t: list[int], min_match: int = MIN_MATCH) -> list[tuple[i
         if found and found[0][0] > 2 * size:
             size = found[0][0]
             continue
-        marked = True
-        while found and marked:
-            marked = False
-            for k, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-                if all(free_p[i : i + k]) and all(free_t[j : j + k]):
-                    free_p[i : i + k] = free_t[j : j + k] = [False] * k
-                    tiles.append((i, j, k))
-                    marked = True
-            found = _matches(p, t, free_p, free_t, size)  # what is left of matches that overlapped a tile
+        queue = [(-k, i, j) for k, i, j in found]
+        heapq.heapify(queue)
+        while queue:
+            k, i, j = heapq.heappop(queue)
+            taken = [-1, *(x for x in range(-k) if not (free_p[i + x] and free_t[j + x])), -k]
+            if len(taken) == 2:
+                free_p[i : i - k] = free_t[j : j - k] = [False] * -k
+                tiles.append((i, j, -k))
+                continue
+            for a, b in zip(taken, taken[1:]):  # what tiles left of the match is matched in its own turn
+                if b - a - 1 >= size:
+                    heapq.heappush(queue, (a + 1 - b, i + a + 1, j + a + 1))
         if size == min_match:
             return tiles
         size = max(min_match, size // 2)
