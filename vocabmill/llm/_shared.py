@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: list[str] = []
@@ -35,16 +36,28 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _local_folder[0]
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _delete_at_exit(spark: SparkSession, base: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        _delete(spark, base)
+
+
 class Scratch:
     """Tables of one run of an operator, written to the shared folder.
 
     Writing a table cuts the lineage: a lost executor costs the tasks of the
-    stage that runs, not the stages before it.
+    stage that runs, not the stages before it.  Results read the tables when
+    they are asked for, so tables stay until the driver's process ends.
     """
 
     def __init__(self, spark: SparkSession, operator: str) -> None:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/vocabmill-{operator}-{uuid.uuid4().hex}"
+        atexit.register(_delete_at_exit, spark, self.base)
 
     def path(self, label: str) -> str:
         return f"{self.base}/{label}"
@@ -54,26 +67,33 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def drop(self, label: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(label))
-        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, self.path(label))
 
 
 def worker_state() -> dict:
-    """A dict that lives as long as the Python worker, across its tasks.
+    """A dict that lives in the Python worker across a stage's tasks.
 
     Functions are pickled by value, so their module's globals start anew in
-    each task; tokenizers and memo tables are kept here instead.
+    each task; tokenizers and memo tables are kept here instead.  ``slices``
+    empties it when another stage begins, so what one operator remembers takes
+    no memory from the next.
     """
     name = "_vocabmill_worker_state"
     module = sys.modules.get(name)
     if module is None:
         module = sys.modules[name] = types.ModuleType(name)
-        module.state = {}
+        module.state, module.stage = {}, None
     return module.state
 
 
+def _forget_other_stages() -> None:
+    context, state = TaskContext.get(), worker_state()
+    module = sys.modules["_vocabmill_worker_state"]
+    if context is not None and module.stage != context.stageId():
+        state.clear()
+        module.stage = context.stageId()
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20):
     """Zero-copy slices of a batch with about max_bytes of text each.
 
@@ -83,6 +103,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20
     n = batch.num_rows
     if not n:
         return
+    _forget_other_stages()
     array = batch.column(column)
     offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + n + 1]
     start = 0

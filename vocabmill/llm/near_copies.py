@@ -82,6 +82,22 @@ def _sampled(batches):
             yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], ["key", "node"])
 
 
+def _counted(batches):
+    """(key, n) of the keys that FREQUENT or more different nodes hold; all rows of a key are in this task.
+
+    The rows are a sample's, so a task's share of them is bounded.
+    """
+    held = [batch.to_struct_array() for batch in batches if batch.num_rows]
+    if held:
+        keys, nodes = (np.concatenate([h.field(i).to_numpy(zero_copy_only=False) for h in held]) for i in (0, 1))
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+        keys, n = np.unique(keys[fresh], return_counts=True)
+        yield pa.record_batch([pa.array(keys[n >= FREQUENT]), pa.array(n[n >= FREQUENT])], ["key", "n"])
+
+
 def _prefixes(frequent):
     def run(batches):
         """(key, node, size) of each prefix's shingles."""
@@ -222,7 +238,7 @@ def _verified(batches):
 def _frequent(texts: DataFrame) -> np.ndarray:
     share = min(1.0, SAMPLE / max(1, texts.count()))
     chosen = texts.where(F.xxhash64(F.lit("sample"), "node").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)) + 1)
-    counted = chosen.mapInArrow(_sampled, "key long, node long").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where((F.col("n") >= FREQUENT) & (F.col("least") != F.col("most")))
+    counted = chosen.mapInArrow(_sampled, "key long, node long").repartition("key").mapInArrow(_counted, "key long, n long")
     return np.sort(np.array([r.key for r in counted.orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).collect()], np.int64).view(np.uint64))
 
 

@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import Scratch, slices, texts_as_bytes, worker_state
+from ._shared import shared_folder, slices, texts_as_bytes, worker_state
 
 MAGIC = b"VMTOKID1"
 FOOTER, FOOTER_BYTES = "<8sqq32s", 56
@@ -310,4 +310,5 @@ def read_tokens(spark: SparkSession, folder: str, digest_only: bool = False) ->
 
 
 def tokens_folder(spark: SparkSession) -> str:
-    return Scratch(spark, "tokens").base
+    """A new folder for token files, which stay."""
+    return f"{shared_folder(spark)}/vocabmill-tokens-{uuid.uuid4().hex}"
