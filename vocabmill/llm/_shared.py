@@ -62,8 +62,9 @@ class Scratch:
     def path(self, label: str) -> str:
         return f"{self.base}/{label}"
 
-    def table(self, df: DataFrame, label: str) -> DataFrame:
-        df.write.parquet(self.path(label))
+    def table(self, df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+        """df, written and read again; to that many files at most, for tables known to be small."""
+        (df.coalesce(files) if files else df).write.parquet(self.path(label))
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def drop(self, label: str) -> None:

@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars.
 
 Kiveris et al., "Connected Components in MapReduce and Beyond", 2014.  Each
-round is two joins on the edges; minima are combined before they are shuffled,
-and each round's edges are a table of the shared folder.
+round is two joins on the edges; minima are combined before they are shuffled.
+Minima and edges are tables of the shared folder, so both sides of a join are
+shuffled for it alone, and the rows of a hub can be split.
 """
 
 from __future__ import annotations
@@ -12,18 +13,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._shared import Scratch
 
+#: Edges of one file of a round's tables.
+EDGES_A_FILE = 500_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, scratch: Scratch, files: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")), "large", files)
     return both.join(least, F.col("u") == F.col("c")).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    own = least.select("u", F.col("m").alias("v"))
+def _small_star(edges: DataFrame, scratch: Scratch, files: int) -> DataFrame:
+    least = scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")), "small", files)
     rest = edges.join(least.withColumnRenamed("u", "c"), F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return own.union(rest).distinct()
+    return least.select("u", F.col("m").alias("v")).union(rest).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -38,8 +41,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before, i = state, i + 1
-        now = scratch.table(_small_star(_large_star(now)), f"edges{i}")
-        scratch.drop(f"edges{i - 1}")
+        files = 1 + state[0] // EDGES_A_FILE
+        stars = scratch.table(_large_star(now, scratch, files), "stars", files)
+        now = scratch.table(_small_star(stars, scratch, files), f"edges{i}", files)
+        for label in ("large", "small", "stars", f"edges{i - 1}"):
+            scratch.drop(label)
 
 
 class Labels:
