@@ -39,6 +39,7 @@ WINDOW, GRAM = 20, 6
 MAX_FILTER_BYTES = 64 << 20
 #: Anchors with about this many different contexts or more are worked on by window; they are found among one in CONTEXT_SHARE.
 HOT_CONTEXTS, CONTEXT_SHARE = 4000, 64
+IDS_A_SHARD = 1_000_000
 _NULL_ID = -(2**63)
 #: Texts are worked on in slices of so many bytes.
 SLICE = 2 << 20
@@ -429,8 +430,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ma
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     filtered = filters_of(own.select("text").mapInArrow(_anchors_by_task(window, gram, shards), PACKED), scratch, shards)
     filters = collected(filtered, shards, max_filter_bytes)
-    repeated = filters_of(own.select("doc_id").mapInArrow(_ids_by_task(shards), PACKED), Scratch(spark, "phrase-ids"), shards)
-    names = RowNames(collected(repeated, shards, max_filter_bytes))
+    few = 1 + docs.count() // IDS_A_SHARD
+    repeated = filters_of(own.select("doc_id").mapInArrow(_ids_by_task(few), PACKED), Scratch(spark, "phrase-ids"), few)
+    names = RowNames(collected(repeated, few, max_filter_bytes))
     named = own.mapInArrow(_add_row(names), "doc_id long, text string, did long, t1 long, t2 long")
     if filters is not None:
         runs = own.mapInArrow(_contexts(window, gram, filters, names), _CONTEXT)
@@ -443,7 +445,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ma
     contexts = runs.groupBy("h", "d1", "d2").agg(first, F.count("*").alias("n"), F.max("context").alias("context")).select("h", "d1", "d2", "at.*", "n", "context")
     share = min(CONTEXT_SHARE, hot_contexts + 1)
     some = runs.where(F.col("context").isNotNull() & (F.pmod("d1", F.lit(share)) == 0))
-    hot = scratch.table(some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts // share).select("h"), "hot")
+    hot = scratch.table(some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts // share).select("h").repartition(1), "hot")  # few
     if not hot.isEmpty():
         contexts = scratch.table(contexts, "contexts")
         by_window = _located_by_window(contexts.join(hot, "h", "left_semi"), window, scratch)
