@@ -289,11 +289,12 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     nodes = own.groupBy("node").agg(F.min(place).alias("least"))
     labelled = nodes.join(roots(docs, scratch), "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("m"))
-    kept = scratch.table(least.select(F.col("m.doc_id").alias("__id"), F.col("m.node").alias("__node"), F.col("m.n").alias("__n")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (node_of(F.col("text")) == F.col("__node"))
-    found = docs.join(kept.where("__n = 1"), same, "left_semi")
-    repeats = kept.where("__n > 1")
+    kept = scratch.table(least.select(F.col("m.doc_id").alias("id"), F.col("m.node").alias("of"), F.col("m.n").alias("copies")), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("d"), F.col("doc_id").alias("own"), node_of(F.col("text")).alias("node"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("node") == F.col("of"))
+    found = rows.join(kept.where("copies = 1"), same, "left_semi").select("d.*")
+    repeats = kept.where("copies > 1")
     if repeats.isEmpty():
         return found
-    one = docs.join(repeats, same).groupBy("__id", "__node").agg(F.min(F.struct(*docs.columns)).alias("m"))
+    one = rows.join(repeats, same).groupBy("id", "of").agg(F.min("d").alias("m"))
     return found.unionByName(one.select("m.*"))
