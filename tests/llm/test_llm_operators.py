@@ -576,6 +576,75 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in out) == kept[3]
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, clashing columns, repeated rows, a very long text; then no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    body = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    item, long = " ".join(f"bench{i}" for i in range(20)), body(40_000)
+    same = body(50)
+    rows = [(None, body(60), None), (None, body(60), "s"), (7, body(60), "s"), (7, body(60), "s"), (8, same, "s"), (8, same, "s"), (None, same, "t"), (9, long, "t"), (10, f"{long} more", "t"), (11, f"{body(30)} {item}", "t"), (None, f"{body(30)} {item}", None), (12, None, "s"), (None, "", None), (13, "...", "s")]
+    docs = spark.createDataFrame([(i, t, "en", src, 0) for i, t, src in rows], DOCS)
+    clashing = ("size", "source_size", "target", "taken", "draw", "times", "d", "node", "own", "key", "lang_pred", "score", "fp", "__id", "__draw", "__s", "n", "chance")
+    for name in clashing:
+        docs = docs.withColumn(name, F.lit(5))
+    docs.write.parquet(f"{tmp_path}/full/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for where, labelled in (("full", [(7, 1, 0), (None, 0, 1), (9, None, None)]), ("none", [])):
+        bench = [(0, item), (None, "x"), (1, None)] if labelled else []
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/{where}/benchmark.parquet")
+        spark.createDataFrame(labelled, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{where}/labels.parquet")
+    now, kept = spark.read.parquet(f"{tmp_path}/full/documents.parquet"), []
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        now = stage(spark, now, f"{tmp_path}/full")
+        assert now.columns == docs.columns and set(now.select(*clashing).distinct().first()) == {5}, name
+        now.write.parquet(f"{tmp_path}/stage{n}")
+        now = spark.read.parquet(f"{tmp_path}/stage{n}")
+        kept.append(sorted(((r.doc_id or 0), len(r.text or "")) for r in now.collect()))
+    sizes = lambda drop: sorted(((i or 0), len(t)) for k, (i, t, _) in enumerate(rows) if k not in drop)
+    assert kept[0] == sizes({11, 12, 13})
+    assert kept[1] == sizes({11, 12, 13, 5, 6, 8})  # copies go: of the equal texts one row stays, of the long ones the first
+    assert kept[2] == sizes({11, 12, 13, 5, 6, 8, 9, 10})
+    assert set(kept[3]) <= set(kept[2]) and max(Counter(kept[3]).values()) <= 2
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert len(out) == len(kept[3]) and all(r.n_tokens > 1 for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_language_id_against_brute_force(spark):
+    """Predictions are the largest cosine of directly bundled n-gram vectors."""
+    from vocabmill.llm import langid
+
+    rng = random.Random(2)
+    texts = [(i, " ".join(rng.choice(["alpha", "beta,", "Gamma9", "ünïcode", "жизнь", "x-y"]) for _ in range(rng.randint(1, 30))), "ab"[i % 2]) for i in range(40)]
+    letters = np.random.default_rng(langid.SEED).integers(0, 2, (langid.SYMBOLS, langid.DIMENSIONS), np.int8) * 2 - 1
+
+    def bundle(text):
+        shown = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        shown = " " + " ".join(shown.split()) + " "
+        codes = [int(langid.symbols(np.array([ord(c)]))[0]) for c in shown]
+        out = np.zeros(langid.DIMENSIONS)
+        for i in range(len(codes) - langid.N + 1):
+            v = np.ones(langid.DIMENSIONS, np.int64)
+            for k in range(langid.N):
+                v *= np.roll(letters[codes[i + k]], langid.N - 1 - k)
+            out += v
+        return out
+
+    docs = spark.createDataFrame([(i, t, g, "s", 0) for i, t, g in texts], DOCS)
+    own = {i: bundle(t) for i, t, _ in texts}
+    sums = {g: sum(own[i] / np.linalg.norm(own[i]) for i, _, lang in texts if lang == g) for g in "ab"}
+    units = {g: v / np.linalg.norm(v) for g, v in sums.items()}
+    got = {r.doc_id: r for r in langid.identify(docs, langid.learn(docs, F.lit(True))).collect()}
+    for i, v in own.items():
+        cosines = {g: float(u @ v / np.linalg.norm(v)) for g, u in units.items()}
+        assert abs(got[i].score - max(0.0, max(cosines.values()))) < 1e-4
+        assert got[i].lang_pred == max(cosines, key=cosines.get) or abs(cosines["a"] - cosines["b"]) < 1e-6
+    same = {"b": units["a"], "a": units["a"]}
+    assert {r.lang_pred for r in langid.identify(docs, dict(sorted(same.items()))).collect()} == {"a"}  # ties go to the first by code point
+
+
 @pytest.mark.parametrize("small", [32, 2])
 def test_near_copies(spark, monkeypatch, small):
     """Links are exact Jaccard of 5-word shingles >= 0.8, for small groups and for chunks of large ones."""
