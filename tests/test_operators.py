@@ -140,11 +140,101 @@ def test_sources(spark, tmp_path):
 
 def test_rules_round_trip(spark, tmp_path):
     rules = clinical.rules(spark).withColumn("metadata", F.lit(None).cast("string")).withColumn("updated_at", F.col("created_at")).withColumn("created_by", F.lit("me"))
-    writers.rules_json(rules, str(tmp_path / "r"), include_inactive=True)
-    text = "[" + ",".join(r.value for r in spark.read.text(str(tmp_path / "r")).collect()) + "]"
-    (tmp_path / "r.json").write_text(text)
-    valid, invalid = readers.rules_json(spark, str(tmp_path / "r.json"))
+    writers.rules_json(rules.repartition(3), str(tmp_path / "r"), include_inactive=True)
+    valid, invalid = readers.rules_json(spark, str(tmp_path / "r"))
     assert valid.count() == 8 and {r.rule_id for r in invalid.collect()} == {"r9", "r10"}
+    (tmp_path / "one.json").write_text(json.dumps([{"rule_id": "a", "rule_type": "exact", "priority": 1, "source_term": "x", "target_code": "1", "target_system": "s", "target_display": "d", "conditions": {"note": "n"}}, {"rule_id": "b"}], indent=1))
+    valid, invalid = readers.rules_json(spark, str(tmp_path / "one.json"))
+    assert [(r.rule_id, r.conditions) for r in valid.collect()] == [("a", {"note": "n"})] and [r.rule_id for r in invalid.collect()] == ["b"]
+
+
+def test_fuzzy_scorers_miss_no_pair(spark):
+    """Against all pairs, with keys and tokens of one letter among them."""
+    import itertools
+    import random
+
+    from vocabmill.functions import similarity as sim
+
+    rng = random.Random(11)
+    texts = {"a", "b", "c d", "d c", "a b", "b q a", "long query of words", "query long words of"}
+    for _ in range(70):
+        words = ["".join(rng.choice("abcd") for _ in range(rng.choice((1, 1, 2, 4, 6)))) for _ in range(rng.randint(1, 4))]
+        texts |= {" ".join(words), " ".join(rng.sample(words, len(words))), " ".join(words)[: rng.randint(1, 12)].strip()}
+    texts = sorted(texts - {""})
+    rows = spark.createDataFrame([(x,) for x in texts], "q string")
+    keys = rows.withColumnRenamed("q", "key")
+    scorers = fz.library_scorers()
+    got = {(r.q, r.key, r.method): r.score for r in fz.scored(rows, keys, scorers).collect()}
+    want = {(x, y, n): score for x, y in itertools.product(texts, texts) for n, least in scorers.items() if (score := getattr(sim, n)(x, y)) >= least}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    best = {r.q: (r.score, r.method, r.key) for r in fz.best_of(fz.scored(rows, keys, scorers)).collect()}
+    order = list(scorers)
+    assert best == {q: (s, order[p], k) for q, (s, p, k) in ((q, min((-v, order.index(n), k) for (x, k, n), v in want.items() if x == q)) for q in texts) for s in [-s]}
+    near = {(r.q, r.key) for r in fz.scored(rows, keys, {"difflib_ratio": 0.8}, least=0.8).collect()}
+    assert near == {(x, y) for x, y in itertools.product(texts, texts) if sim.difflib_ratio(x, y) >= 0.8}
+
+
+def test_search_against_brute_force(spark):
+    """FUZ07: concepts that contain a variation of the term, rated by difflib."""
+    import random
+
+    from vocabmill.functions import normalize as nz, similarity as sim
+
+    rng = random.Random(6)
+    words = ["heart", "failure", "chest", "pain", "acute", "renal", "disease", "test"]
+    names = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)})
+    concepts = spark.createDataFrame([(i, f"c{i}", n) for i, n in enumerate(names)], "id long, code string, term string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["Heart failure", "chest", "acute renal", "zz", "pain test", "", "he"])], "term_id long, term string")
+    varied = {r.term_id: (r.q, r.vs) for r in asked.select("term_id", nz.clean(F.col("term")).alias("q")).select("term_id", "q", nz.variations(F.col("q")).alias("vs")).collect()}
+    want = set()
+    for term_id, (q, vs) in varied.items():
+        hits = {}
+        for v in vs:
+            if len(v) >= 3:
+                for i in [i for i, n in enumerate(names) if v in n][:20]:
+                    score = round(sim.difflib_ratio(q, names[i]), 6)
+                    if score >= 0.8:
+                        hits[f"c{i}"] = score
+        want |= {(term_id, code, score, n) for n, (score, code) in enumerate(sorted(((s, c) for c, s in hits.items()), key=lambda x: (-x[0], x[1]))[:10], 1)}
+    assert {(r.term_id, r.code, r.score, r["rank"]) for r in fz.search(asked, concepts).collect()} == want and len(want) > 3
+
+
+def test_phonetic_keys():
+    from vocabmill.functions.similarity import phonetic_key
+
+    alike = (("Philip", "Filip"), ("Knight", "Nit"), ("Wright", "Rit"), ("Schmid", "Skmid"), ("Jack", "Jak"))
+    for x, y in alike:
+        assert phonetic_key(x) == phonetic_key(y), (x, y)
+    assert phonetic_key("asthma") != phonetic_key("anemia") and phonetic_key("two words").count(" ") == 1 and phonetic_key("") == ""
+
+
+def test_negation_by_cases(spark):
+    from vocabmill.operators import context as cx
+
+    cases = {("patient denies chest pain", "chest pain"): "denies", ("no fever but chest pain", "chest pain"): None, ("no a b c d e f chest pain", "chest pain"): None, ("negative for chest pain", "Chest Pain"): "negative for", ("no. chest pain", "chest pain"): None, ("chest pain, no fever", "chest pain"): None, ("", "x"): None}
+    rows = spark.createDataFrame(list(cases), "context string, term string")
+    assert {(r.context, r.term): r.cue for r in rows.select("*", cx.negation_cue(F.col("context"), F.col("term")).alias("cue")).collect()} == cases
+
+
+def test_facade_job(spark, tmp_path):
+    engine = Engine(spark, {"snomed": conditions(spark)})
+    out = str(tmp_path / "job")
+    assert engine.job_status(out).first().status == "pending"
+    (tmp_path / "t.txt").write_text("asthma\nqqqq\n")
+    engine.run_job(str(tmp_path / "t.txt"), "txt", out, include_fuzzy=False)
+    row = engine.job_status(out).first()
+    assert (row.status, row.total, row.successful, row.failed) == ("completed", 2, 1, 1)
+    assert sorted((r.term, r.code is not None) for r in engine.job_results(out).collect()) == [("asthma", True), ("qqqq", False)]
+    assert "difflib" in {r.algorithm for r in engine.fuzzy_algorithms().collect()}
+    assert {r.name for r in engine.test_files(str(tmp_path / "*.txt")).collect()} == {"t.txt"}
+
+
+def test_providers(spark):
+    asked = spark.createDataFrame([(1, "Asthma")], "term_id long, term string")
+    systems = spark.createDataFrame([("snomed",)], "system string")
+    assert remote.lookup(asked, [], systems).count() == 0
+    engine = Engine(spark, {"snomed": conditions(spark)}, providers=[spark.createDataFrame([("snomed", "zzz", "9", "Z")], "system string, term string, code string, display string")])
+    assert engine.map_term("zzz", include_fuzzy=False)[0]["code"] == "9"
 
 
 def test_job(spark, tmp_path):

@@ -27,11 +27,8 @@ def plain(v):
     return round(float(v), 6) if isinstance(v, float) else v
 
 
-SLOW = {"lkp24_26_all_systems"}
-
-
 @pytest.mark.skipif(not os.path.isdir(D), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(set(own.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(own.oracle_sql()))
 def test_same_rows(spark, duck, name):
     df = own.queries()[name](spark, D)
     columns = sorted(df.columns)

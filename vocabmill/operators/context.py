@@ -112,6 +112,12 @@ def domain_relevance(found: Column, system: Column, dom: Column) -> Column:
     return F.when(~found, 0.0).when(_preferred(dom, system).isNotNull(), 0.9).otherwise(rest)
 
 
+def alternatives(mappings: Column, dom: Column, least: float = 0.5, most: int = 3) -> Column:
+    """CTX12: of other mappings (structs system, code, display, confidence) those from ``least`` on, most relevant to the domain first, then most confident."""
+    rated = F.transform(F.filter(mappings, lambda m: m.confidence >= least), lambda m: F.struct((-domain_relevance(F.lit(True), m.system, dom)).alias("r"), (-m.confidence).alias("c"), m.system.alias("system"), m.code.alias("code"), m.display.alias("display"), m.confidence.alias("confidence")))
+    return F.transform(F.slice(F.array_sort(rated), 1, most), lambda m: F.struct(m.system.alias("system"), m.code.alias("code"), m.display.alias("display"), m.confidence.alias("confidence")))
+
+
 def supported_score(score: Column, display: Column, context: Column, system: Column) -> dict[str, Column]:
     """FUZ06: +10, at most to 100, for each keyword of the display that the context supports."""
     bonus, term = F.lit(0), F.lit(None).cast("string")

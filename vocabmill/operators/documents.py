@@ -73,6 +73,13 @@ def updated(docs: DataFrame, changes: DataFrame, id_col: str = "document_id") ->
     return joined.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in changes.columns and c != id_col else F.col(c) for c in docs.columns])
 
 
+def created_batch(docs: DataFrame, batch_id: Column, at: Column) -> tuple[DataFrame, DataFrame]:
+    """DOC04: (batches, docs): a row for each new batch with its number of documents, and the documents marked with theirs, pending."""
+    marked = docs.withColumn("batch_id", batch_id).withColumn("status", F.lit("pending"))
+    batches = marked.groupBy("batch_id").agg(F.count("*").alias("total_documents")).select("batch_id", "total_documents", F.lit("pending").alias("status"), at.alias("created_at"))
+    return batches, marked
+
+
 def deleted(docs: DataFrame, ids: DataFrame, id_col: str = "document_id") -> DataFrame:
     """DOC05."""
     return docs.join(ids, id_col, "left_anti")

@@ -38,18 +38,29 @@ def _letters(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1))))
 
 
+def _single_tokens(text: Column) -> Column:
+    """Tokens of one letter, marked so that they meet each other only."""
+    return F.transform(F.filter(F.array_distinct(F.split(text, r"\s+")), lambda t: F.length(t) == 1), lambda t: F.concat(F.lit("\x02"), t))
+
+
 def candidates(queries: DataFrame, keys: DataFrame, least: float = 0.0) -> DataFrame:
-    """(q, key): distinct pairs that share two neighbouring letters, or a letter if the query is short.
+    """(q, key): distinct pairs that share two neighbouring letters, a letter if the query is short or the key is one, or a token of one letter.
 
     With ``least`` above 0, 2 * min(|q|, |key|) / (|q| + |key|), which bounds an
     indel or difflib ratio, must reach it.  No pair with such a ratio of 0.8 or
     more is missed: if no two neighbouring letters are shared, n matching
     letters need n - 1 others between them, so the ratio is at most
-    2n / (3n - 1), which reaches 0.8 for n up to 2 alone.  A key of one letter
-    meets short queries only.
+    2n / (3n - 1), which reaches 0.8 for n up to 2 alone.  Keys of one letter
+    are part of any query that holds it; tokens of one letter have no two
+    neighbouring letters to share.
     """
-    a = queries.select("q").where("q <> ''").distinct().withColumn("gram", F.explode(F.when(F.length("q") <= SHORT, F.array_union(_bigrams(F.col("q")), _letters(F.col("q")))).otherwise(_bigrams(F.col("q")))))
-    b = keys.select("key").where("key <> ''").distinct().withColumn("gram", F.explode(F.array_union(_bigrams(F.col("key")), _letters(F.col("key")))))
+    marked = lambda letters: F.transform(letters, lambda x: F.concat(F.lit("\x01"), x))
+    q, key = F.col("q"), F.col("key")
+    long_query = F.concat(_bigrams(q), marked(_letters(q)), _single_tokens(q))
+    grams = F.when(F.length("q") <= SHORT, F.array_union(F.array_union(_bigrams(q), _letters(q)), _single_tokens(q))).otherwise(long_query)
+    a = queries.select("q").where("q <> ''").distinct().withColumn("gram", F.explode(grams))
+    own = F.concat(F.array_union(_bigrams(key), _letters(key)), _single_tokens(key))
+    b = keys.select("key").where("key <> ''").distinct().withColumn("gram", F.explode(F.when(F.length("key") == 1, F.concat(own, marked(_letters(key)))).otherwise(own)))
     shorter, both = F.least(F.length("q"), F.length("key")), F.length("q") + F.length("key")
     return a.join(b, "gram").where(2 * shorter / both >= least).select("q", "key").distinct()
 

@@ -6,7 +6,7 @@ child to the parent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fixed_values import IS_A
 from ..functions.staging import staged
@@ -36,23 +36,27 @@ def hierarchy_info(concepts: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reach(starts: DataFrame, edges: DataFrame, max_depth: int = 10, up: bool = True) -> DataFrame:
-    """HIE02, HIE03: (code, reached, depth) along is-a edges, each node at its least depth.
+    """HIE02, HIE03: (code, reached, depth, distance) along is-a edges, each node at its least depth.
 
     A breadth-first walk of all starts at once: a round is one join and keeps
-    only nodes that are new for their start, so cycles end.  ``distance`` as a
-    count of expanded nodes is ``bfs_distance``.
+    only nodes that are new for their start, so cycles end.  distance: how many
+    nodes the walk of that start had expanded when it met the node; nodes of a
+    depth are expanded in the order of their own distance, then of codes.
     """
     near, far = ("source", "destination") if up else ("destination", "source")
     step = edges.where((F.col("kind") == IS_A) & (F.col("is_active") == 1)).select(F.col(near).alias("at"), F.col(far).alias("next")).distinct()
-    seen = starts.select("code", F.col("code").alias("reached"), F.lit(0).alias("depth"))
+    seen = starts.select("code", F.col("code").alias("reached"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("distance"), F.lit(1).cast("long").alias("turn"))
     frontier = seen
+    in_turn = Window.partitionBy("code").orderBy("distance", "reached")
     for depth in range(1, max_depth + 1):
-        fresh = frontier.join(step, F.col("reached") == F.col("at")).select("code", F.col("next").alias("reached")).distinct()
-        fresh = staged(fresh.join(seen, ["code", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
+        upto = frontier.groupBy("code").agg(F.max("turn").alias("upto"))
+        met = frontier.join(step, F.col("reached") == F.col("at")).groupBy("code", F.col("next").alias("reached")).agg(F.min("turn").alias("distance"))
+        new = met.join(seen, ["code", "reached"], "left_anti").join(upto, "code").withColumn("depth", F.lit(depth))
+        fresh = staged(new.withColumn("turn", F.col("upto") + F.row_number().over(in_turn)).select(seen.columns))
         if fresh.isEmpty():
             break
         seen, frontier = seen.unionByName(fresh), fresh
-    return seen.where("depth > 0")
+    return seen.where("depth > 0").drop("turn")
 
 
 def related(concepts: DataFrame, edges: DataFrame, kind: str | None = None) -> DataFrame:

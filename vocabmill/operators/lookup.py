@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv, normalize as nz
+from ..functions.staging import staged
 
 
 def first_by(concepts: DataFrame, key: Column) -> DataFrame:
@@ -43,16 +44,16 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def contains_pairs(queries: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(q, key, id): the distinct keys, with their lowest id, that contain each distinct query."""
-    keys = first_by(keyed, F.col("key"))
+def contains_pairs(queries: DataFrame, keyed: DataFrame, ids: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(q, key, *ids): the distinct keys, with their lowest ids, that contain each distinct query."""
+    keys = keyed.where("key IS NOT NULL AND key <> ''").groupBy("key").agg(*[F.min(c).alias(c) for c in ids])
     asked = queries.select("q").where("q IS NOT NULL AND q <> ''").distinct()
     n = F.least(F.length("q"), F.lit(3))
-    key_grams = keys.select("key", "id", F.explode(F.concat(*(_grams(F.col("key"), k) for k in (1, 2, 3)))).alias("gram"))
+    key_grams = keys.select("key", *ids, F.explode(F.concat(*(_grams(F.col("key"), k) for k in (1, 2, 3)))).alias("gram"))
     frequency = key_grams.groupBy("gram").agg(F.count("*").alias("n"))
     query_grams = asked.select("q", F.explode(F.when(n == 3, _grams(F.col("q"), 3)).otherwise(F.array("q"))).alias("gram"))
     rarest = query_grams.join(frequency, "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return rarest.join(key_grams, "gram").where(F.contains("key", "q")).select("q", "key", "id")
+    return rarest.join(key_grams, "gram").where(F.contains("key", "q")).select("q", "key", *ids)
 
 
 def _tagged(hits: DataFrame, tier: int, confidence: float, match_type: str) -> DataFrame:
@@ -80,14 +81,18 @@ def condition_tiers(terms: DataFrame, concepts: DataFrame, query: Column) -> lis
 def lab_tiers(terms: DataFrame, concepts: DataFrame, query: Column) -> list[DataFrame]:
     """LKP04-LKP08: labs by term, normalised term, component, consumer name, then parts of names."""
     key = lambda c: F.lower(F.col(c))
-    normal = nz.normalize_lab(query)
-    partial = concepts.select("id", F.explode(F.array(key("component"), key("display"))).alias("key"))
+    terms = staged(terms.select("term_id", query.alias("q"), nz.normalize_lab(query).alias("n")))  # the normaliser runs once a term
+    query, normal, none = F.col("q"), F.col("n"), F.lit(None).cast("long")
+    # names of both kinds have their trigrams in one index
+    names = concepts.select(F.explode(F.array(*[F.struct(key(c).alias("key"), F.when(F.lit(c == "consumer_name"), F.col("id")).otherwise(none).alias("consumer"), F.when(F.lit(c != "consumer_name"), F.col("id")).otherwise(none).alias("part")) for c in ("consumer_name", "component", "display")])).alias("x")).select("x.*")
+    held = staged(contains_pairs(terms.select(normal.alias("q")), names, ("consumer", "part")).groupBy("q").agg(F.min("consumer").alias("consumer"), F.min("part").alias("part")))
+    met = terms.select("term_id", normal.alias("q")).join(held, "q")
     return [
         equal(terms, concepts, query, key("term"), 4, 1.0, "exact"),
         equal(terms, concepts, F.when(normal != query, normal), key("term"), 5, 0.95, "normalized"),
         equal(terms, concepts, normal, key("component"), 6, 0.9, "component"),
-        containing(terms, concepts, normal, key("consumer_name"), 7, 0.85, "consumer_name"),
-        containing(terms, partial, normal, F.col("key"), 8, 0.7, "partial"),
+        _tagged(met.where("consumer IS NOT NULL").select("term_id", F.col("consumer").alias("id")), 7, 0.85, "consumer_name"),
+        _tagged(met.where("part IS NOT NULL").select("term_id", F.col("part").alias("id")), 8, 0.7, "partial"),
         *lab_pattern_tiers(terms, concepts, normal),
     ]
 
@@ -112,7 +117,8 @@ def drug_tiers(terms: DataFrame, concepts: DataFrame, query: Column) -> list[Dat
     """LKP11-LKP16: active drugs by term, normalised term, ingredient, brand, pattern, then parts of names."""
     active = concepts.where("is_active = 1")
     key = lambda c: F.lower(F.col(c))
-    normal = nz.normalize_drug(query)
+    terms = staged(terms.select("term_id", query.alias("q"), nz.normalize_drug(query).alias("n")))
+    query, normal = F.col("q"), F.col("n")
     partial = active.select("id", F.explode(F.array(key("term"), key("ingredient"), key("brand_name"))).alias("key"))
     return [
         equal(terms, active, query, key("term"), 11, 1.0, "exact"),

@@ -73,6 +73,28 @@ def latest(log: DataFrame) -> DataFrame:
     return log.groupBy("rule_id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", *[c for c in ("priority", "source_term") if c in rest])).alias("m")).select("rule_id", "m.*")
 
 
+def added(log: DataFrame, rules: DataFrame, at: Column) -> DataFrame:
+    """RUL04: the log with new rules, active and created at ``at``."""
+    new = rules.withColumns({"created_at": at, "updated_at": at, "is_active": F.lit(True)})
+    return log.unionByName(new.select(log.columns))
+
+
+def changed(log: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
+    """RUL04: the log with a version for each changed rule: its last one, with the changes' values that aren't null.
+
+    changes: rule_id and any of the log's columns.  Unknown rule_ids change nothing.
+    """
+    new = changes.select("rule_id", *[F.col(c).alias(f"__{c}") for c in changes.columns if c != "rule_id"])
+    both = latest(log).join(new, "rule_id")
+    kept = [F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in changes.columns and c != "rule_id" else F.col(c) for c in log.columns]
+    return log.unionByName(both.select(kept).withColumn("updated_at", at))
+
+
+def removed(log: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
+    """RUL04: the log with an inactive version of each of the rules; nothing is erased."""
+    return changed(log, ids.select("rule_id", F.lit(False).alias("is_active")), at)
+
+
 def all_rules(rules: DataFrame, include_inactive: bool = False) -> DataFrame:
     """RUL05."""
     return (rules if include_inactive else rules.where("is_active")).orderBy("priority", "created_at", "rule_id")

@@ -30,6 +30,18 @@ def concept_counts(concepts: DataFrame) -> DataFrame:
     return concepts.groupBy("system").agg(F.count("*").alias("n_concepts"), F.countDistinct("term").alias("n_terms"))
 
 
+def database_counts(concepts: DataFrame, custom: DataFrame) -> DataFrame:
+    """AGG01 with the number of custom mappings of each vocabulary."""
+    own = custom.groupBy("system").agg(F.count("*").alias("n_custom"))
+    return concept_counts(concepts).join(own, "system", "left").na.fill(0, ["n_custom"])
+
+
+def matcher_statistics(synonyms: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """AGG02: (name, value) of the synonyms' totals and of the match thresholds."""
+    totals = synonym_counts(synonyms).select(F.explode(F.create_map(F.lit("synonym_sets"), F.col("n_sets").cast("double"), F.lit("synonym_terms"), F.col("n_terms").cast("double"))).alias("name", "value"))
+    return totals.unionByName(thresholds.select(F.concat(F.lit("threshold_"), "name").alias("name"), "value"))
+
+
 def synonym_counts(synonyms: DataFrame) -> DataFrame:
     """AGG02."""
     return synonyms.agg(F.countDistinct("set_key").alias("n_sets"), F.count("synonym").alias("n_terms"))
@@ -59,6 +71,12 @@ def mapping_statistics(rows: DataFrame) -> DataFrame:
     )
 
 
+def mapping_histograms(rows: DataFrame) -> DataFrame:
+    """AGG04: (kind, value, n): terms by domain, and applied rules by type; of (domain, rule_types array) rows."""
+    domains = histogram(rows, "domain").withColumn("kind", F.lit("domain"))
+    return domains.unionByName(histogram(rows, "rule_types").withColumn("kind", F.lit("rule_type"))).select("kind", "value", "n")
+
+
 def batch_totals(rows: DataFrame) -> DataFrame:
     """AGG05, AGG06, AGG09: per job of (job_id, term_id, n_matches, started, ended) rows."""
     return rows.groupBy("job_id").agg(

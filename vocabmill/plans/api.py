@@ -55,9 +55,32 @@ class Engine:
         terms = readers.terms(self.spark, path, fmt, column)
         rows = terms.join(self.map_terms(terms, **options), "term_id", "left")
         writers.results(rows.select("term_id", "term", "system", "code", "display", "confidence"), out)
-        done = self.spark.read.schema("term_id long, term string, system string, code string, display string, confidence double").json(f"{out}.json")
-        per_term = done.groupBy("term_id").agg(F.count("code").alias("n"))
-        return per_term.agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("successful"), F.count_if(F.col("n") == 0).alias("failed"), F.sum("n").alias("total_matches"))
+        return self._totals(out)
+
+    def job_results(self, out: str, limit: int = 1000, offset: int = 0) -> DataFrame:
+        """A job's rows as ``run_job`` wrote them, a page of them if there are many."""
+        return stats.job_results(self._written(out).withColumn("job_id", F.lit(out)), ["term_id", "system", "code"], limit, offset)
+
+    def job_status(self, out: str) -> DataFrame:
+        """(job, status, total, successful, failed, total_matches) of a job by where it writes; pending before it has written."""
+        if not readers._exists(self.spark, f"{out}.json/_SUCCESS"):
+            return self.spark.createDataFrame([(out, "pending", 0, 0, 0, 0)], "job string, status string, total long, successful long, failed long, total_matches long")
+        return self._totals(out).select(F.lit(out).alias("job"), F.lit("completed").alias("status"), "*")
+
+    def _written(self, out: str) -> DataFrame:
+        return self.spark.read.schema("term_id long, term string, system string, code string, display string, confidence double").json(f"{out}.json")
+
+    def _totals(self, out: str) -> DataFrame:
+        per_term = self._written(out).groupBy("term_id").agg(F.count("code").alias("n"))
+        return per_term.agg(F.count("*").alias("total"), F.count_if(F.col("n") > 0).alias("successful"), F.count_if(F.col("n") == 0).alias("failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_matches"))
+
+    def fuzzy_algorithms(self) -> DataFrame:
+        """(algorithm, threshold) of the fuzzy tiers and of the scorers that stand alone."""
+        return readers.thresholds(self.spark).select(F.col("name").alias("algorithm"), F.col("value").alias("threshold")).unionByName(self.spark.createDataFrame([("levenshtein", None), ("jaro_winkler", 0.9), ("phonetic", None)], "algorithm string, threshold double"))
+
+    def test_files(self, folder: str) -> DataFrame:
+        """SRC15: (name, bytes) of the term files of a folder."""
+        return readers.file_catalogue(self.spark, folder)
 
     def add_custom_mapping(self, system: str, term: str, code: str, display: str) -> None:
         new = self.spark.createDataFrame([(system, term, code, display)], "system string, term string, code string, display string")

@@ -32,20 +32,30 @@ def with_context(terms: DataFrame, mappings: DataFrame) -> DataFrame:
         "semantic_score": cx.semantic_score(F.col("found"), F.coalesce("match_type", F.lit("")), features["has_dosage"], features["has_measurement"]),
         "domain_relevance": cx.domain_relevance(F.col("found"), F.coalesce("system", F.lit("")), F.col("domain")),
     }
-    alternatives = F.transform(F.slice("all", 2, 3), lambda m: F.struct(m.system.alias("system"), m.code.alias("code"), m.display.alias("display"), m.confidence.alias("confidence")))
-    return rows.select("term_id", "term", "context", "found", "system", F.col("b.code").alias("code"), F.col("b.display").alias("display"), "confidence", "match_type", "domain", "modifiers", "context_confidence", *[c.alias(n) for n, c in scores.items()], alternatives.alias("alternatives"))
+    alternatives = cx.alternatives(F.slice(F.col("all"), 2, F.greatest(F.size("all"), F.lit(1))), F.col("domain"))
+    return rows.select(
+        "term_id", "term", "context", "found", "system", F.col("b.code").alias("code"), F.col("b.display").alias("display"), "confidence", "match_type", "domain", "modifiers", "context_confidence",
+        *[c.alias(n) for n, c in scores.items()], F.struct(*[c.alias(n) for n, c in features.items()]).alias("features"), alternatives.alias("alternatives"),
+    )
 
 
 def enhanced(terms: DataFrame, mappings: DataFrame, rules: DataFrame, negation: bool = True, use_rules: bool = True) -> DataFrame:
-    """ENH01, ENH02: with_context, then rules and negation: (term_id, is_negated, negation_cue, mappings)."""
+    """ENH01, ENH02: with_context, then rules and negation: (term_id, is_negated, negation_cue, domain, context_score, mappings, metadata).
+
+    metadata: the scores, modifiers and features of the context, the other
+    mappings, and the type of the rule that was applied.
+    """
     read = with_context(terms, mappings)
     cue = cx.negation_cue(F.coalesce("context", F.lit("")), F.col("term")) if negation else F.lit(None).cast("string")
     base = F.when(F.col("found"), F.array(F.struct("code", "system", "display", "confidence", "match_type"))).otherwise(F.array().cast("array<struct<code:string,system:string,display:string,confidence:double,match_type:string>>"))
-    rows = read.select("term_id", base.alias("mappings"), cue.alias("negation_cue"), "domain", "context_score")
+    about = F.struct("context_confidence", "semantic_score", "domain_relevance", "modifiers", "features", "alternatives")
+    rows = read.select("term_id", base.alias("mappings"), cue.alias("negation_cue"), "domain", "context_score", about.alias("about"))
     listed = rows.select("term_id", "mappings")
     if use_rules:
         asked = read.select("term_id", "term", F.create_map(F.lit("domain"), F.col("domain")).alias("context"))
         listed = ru.apply(listed, ru.ranked(ru.matches(asked, rules), rules))
     joined = listed.join(rows.drop("mappings"), "term_id")
     lowered = F.transform("mappings", lambda m: m.withField("confidence", cx.negated_confidence(m.confidence, F.col("negation_cue"))))
-    return joined.select("term_id", F.col("negation_cue").isNotNull().alias("is_negated"), "negation_cue", "domain", "context_score", lowered.alias("mappings"))
+    first = F.get("mappings", F.lit(0)).match_type
+    rule = F.when(F.startswith(first, F.lit("rule_")), F.substring(first, 6, 100))
+    return joined.select("term_id", F.col("negation_cue").isNotNull().alias("is_negated"), "negation_cue", "domain", "context_score", lowered.alias("mappings"), F.struct("about.*", rule.alias("rule_type")).alias("metadata"))

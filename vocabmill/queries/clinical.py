@@ -123,6 +123,18 @@ def neg01_negation(spark, d):
     return b.notes(spark, d).select("note_id", cue.alias("cue"), F.round(cx.negated_confidence(F.lit(0.9), cue), 6).alias("confidence"))
 
 
+_DASHES = "- - - - - - - - - "
+NEGATED = f"""a AS (SELECT *, CASE WHEN term = '' THEN 1 ELSE instr(lower(context), lower(term)) END AS pos FROM notes),
+w AS (SELECT note_id, pos, regexp_split_to_array('{_DASHES}' || regexp_split_to_array(lower(substr(context, 1, greatest(pos - 1, 0))), '[.;]')[-1], '\\s+') AS ws FROM a),
+c AS (SELECT note_id, pos, regexp_extract(regexp_split_to_array(array_to_string(ws[-{cx.SCOPE_WORDS + 4}:], ' '), '\\b{cx._STOP}\\b')[-1], '\\b({cx._CUE})\\b(?:\\s+\\S+){{0,{cx.SCOPE_WORDS}}}\\s*$', 1) AS found_cue FROM w),
+negated AS (SELECT note_id, CASE WHEN pos > 0 AND found_cue <> '' THEN found_cue END AS cue FROM c)"""
+NEG01_SQL = f"WITH {b.NOTES}, {NEGATED} SELECT note_id, cue, round(CASE WHEN cue IS NOT NULL THEN 0.9 * 0.3 ELSE 0.9 END::DOUBLE, 6) AS confidence FROM negated"
+#: The fixture's own invalid pattern and context rule.
+VAL03_SQL = f"""SELECT rule_id, array_to_string(list_filter([CASE WHEN trim(coalesce(target_display, '')) = '' THEN 'missing target_display' END,
+CASE WHEN rule_type = 'pattern' AND coalesce(conditions::JSON ->> '$.pattern', source_term) = '((' THEN 'pattern doesn''t compile' END,
+CASE WHEN rule_type = 'context' AND NOT contains(conditions, 'required:') THEN 'no required context' END, CASE WHEN rule_type = 'domain' AND conditions::JSON ->> '$.domain' IS NULL THEN 'no domain' END], lambda e: e IS NOT NULL), '; ') AS errors FROM {b.values(RULES, RULE_COLUMNS)}"""
+
+
 def fuz06_context_adjust(spark, d):
     systems = list(fv.SUPPORTING_CONTEXT)
     rows = b.notes(spark, d).select("note_id", "term", "context", F.explode(F.array(*map(F.lit, systems))).alias("system"))
@@ -203,9 +215,60 @@ def enh01_enhanced(spark, d):
     return found.select("term_id", "is_negated", "negation_cue", "domain", F.round("context_score", 6).alias("context_score"), shown.alias("mappings"))
 
 
+def _base_mappings(spark, d):
+    """Up to three mappings of a note: snomed and loinc tie, rxnorm has more confidence."""
+    systems = F.array(*[F.struct(F.lit(s).alias("system"), F.expr(on).alias("on"), F.lit(c).alias("confidence")) for s, on, c in (("snomed", "note_id % 7 <> 0", 0.9), ("loinc", "note_id % 5 = 0", 0.9), ("rxnorm", "note_id % 4 = 0", 0.95))])
+    rows = b.notes(spark, d).select("note_id", F.explode(systems).alias("s")).where("s.on")
+    return rows.select(F.col("note_id").alias("term_id"), "s.system", F.lit(True).alias("found"), F.concat("s.system", F.col("note_id")).alias("code"), F.lit("d").alias("display"), "s.confidence", F.expr(MATCH).alias("match_type"))
+
+
+def _enhanced(spark, d, **options):
+    notes = b.notes(spark, d).select(F.col("note_id").alias("term_id"), "term", "context")
+    found = enhanced(notes, _base_mappings(spark, d), rules(spark), **options)
+    shown = F.array_join(F.transform("mappings", lambda m: F.concat(m.code, F.lit(":"), m.match_type, F.lit(":"), F.round(m.confidence, 4).cast("string"))), ",")
+    m = lambda c: F.col(f"metadata.{c}")
+    return found.select(
+        "term_id", "is_negated", "negation_cue", "domain", F.round("context_score", 6).alias("context_score"), shown.alias("mappings"), F.round(m("semantic_score"), 6).alias("semantic_score"), m("domain_relevance").alias("relevance"), F.array_join(m("modifiers"), ",").alias("modifiers"),
+        F.round(m("context_confidence"), 6).alias("context_confidence"), m("features.word_count").cast("long").alias("word_count"), F.array_join(F.transform(m("alternatives"), lambda x: x.system), ",").alias("alternatives"), m("rule_type").alias("rule_type"),
+    )
+
+
+def enh01_metadata(spark, d):
+    """ENH01, CTX12, CTX13: context, negation and rules over notes with up to three mappings, with all metadata."""
+    return _enhanced(spark, d)
+
+
+def enh02_basic(spark, d):
+    """ENH02: neither rules nor negation."""
+    return _enhanced(spark, d, negation=False, use_rules=False)
+
+
+def _enhanced_sql(negation: bool, use_rules: bool) -> str:
+    words = WORDS_SQL.format(x="text")
+    relevance = "CASE WHEN {s} IS NULL THEN 0.0 " + " ".join(f"WHEN domain = '{k}' AND {{s}} IN ({', '.join(map(b.quoted, s))}) THEN 0.9" for k, (s, _) in fv.DOMAIN_BOOSTS.items()) + " WHEN {s} = 'loinc' AND domain = 'laboratory' THEN 0.95 WHEN {s} = 'snomed' AND domain IN ('cardiology', 'endocrinology') THEN 0.85 WHEN {s} = 'rxnorm' AND domain = 'general' THEN 0.8 ELSE 0.5 END::DOUBLE"
+    times = "* CASE WHEN g.cue IS NOT NULL THEN 0.3::DOUBLE ELSE 1 END" if negation else ""
+    rule = f"r.target_code || ':rule_' || r.rule_type || ':' || round(r.confidence {times}, 4)::VARCHAR"
+    own = f"e.code || ':' || e.mt || ':' || round(e.conf {times}, 4)::VARCHAR"
+    lists = f"CASE WHEN r.rule_id IS NULL THEN CASE WHEN e.system IS NULL THEN '' ELSE {own} END WHEN e.system IS NULL OR r.rule_type = 'override' OR r.priority = 1 THEN {rule} ELSE {rule} || ',' || {own} END" if use_rules else f"CASE WHEN e.system IS NULL THEN '' ELSE {own} END"
+    return f"""WITH {RULE_MATCHES}, {NEGATED},
+based AS (SELECT *, CASE WHEN note_id % 4 = 0 THEN 'rxnorm' WHEN note_id % 7 <> 0 THEN 'snomed' WHEN note_id % 5 = 0 THEN 'loinc' END AS system, {DUCK_MATCH} AS match_type, CASE WHEN note_id % 4 = 0 THEN 0.95 ELSE 0.9 END::DOUBLE AS c FROM read),
+f AS (SELECT *, {FACTOR_SQL} AS factor, list_contains(modifiers, 'negation') AS neg, list_contains(modifiers, 'uncertainty') AS unc FROM based),
+e AS (SELECT *, system || note_id AS code, CASE WHEN factor IS NULL THEN c ELSE least(1.0::DOUBLE, c * factor) END * CASE WHEN neg THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN unc THEN 0.9::DOUBLE ELSE 1 END AS conf,
+  CASE WHEN unc THEN 'uncertain_' ELSE '' END || CASE WHEN neg THEN 'negated_' ELSE '' END || CASE WHEN factor IS NOT NULL THEN 'domain_enhanced_' ELSE '' END || match_type AS mt FROM f),
+others AS (SELECT note_id, domain, unnest(list_filter([CASE WHEN note_id % 7 <> 0 THEN 'snomed' END, CASE WHEN note_id % 5 = 0 THEN 'loinc' END], lambda s: s IS NOT NULL AND s <> coalesce(system, ''))) AS s FROM e),
+alt AS (SELECT note_id, string_agg(s, ',' ORDER BY {relevance.format(s='s')} DESC, s) AS alternatives FROM others GROUP BY 1)
+SELECT e.note_id AS term_id, {"g.cue IS NOT NULL" if negation else "FALSE"} AS is_negated, {"g.cue" if negation else "NULL::VARCHAR"} AS negation_cue, e.domain,
+  CASE WHEN e.system IS NULL THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN domain <> 'general' THEN 0.2::DOUBLE ELSE 0 END + conf * 0.2::DOUBLE - CASE WHEN neg THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN unc THEN 0.1::DOUBLE ELSE 0 END)), 6) END AS context_score,
+  {lists} AS mappings,
+  CASE WHEN e.system IS NULL THEN 0.0::DOUBLE WHEN match_type = 'exact' THEN 1.0::DOUBLE WHEN match_type IN ('fuzzy', 'partial') THEN 0.8::DOUBLE WHEN match_type = 'synonym' THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS semantic_score, {relevance.format(s='e.system')} AS relevance,
+  array_to_string(modifiers, ',') AS modifiers, round(least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN domain <> 'general' THEN 0.2::DOUBLE ELSE 0 END + least(0.2::DOUBLE, len(modifiers) * 0.1::DOUBLE) + least(1.0::DOUBLE, {words} / 20.0::DOUBLE) * 0.1::DOUBLE), 6) AS context_confidence,
+  {words}::BIGINT AS word_count, coalesce(alt.alternatives, CASE WHEN e.system IS NOT NULL THEN '' END) AS alternatives, {"r.rule_type" if use_rules else "NULL::VARCHAR"} AS rule_type
+FROM e LEFT JOIN negated g ON g.note_id = e.note_id LEFT JOIN ranked r ON r.term_id = e.note_id AND r.rank = 1 LEFT JOIN alt ON alt.note_id = e.note_id"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (ctx01_enhancers, ctx03_modifiers, ctx04_domain, ctx05_confidence, ctx06_semantic, ctx07_enhance, ctx09_11_scores, neg01_negation, fuz06_context_adjust, rul01_evaluate, rul02_rank, rul03_apply, rul04_latest, val03_validate, enh04_validate_mapping, enh01_enhanced)
+    for f in (ctx01_enhancers, ctx03_modifiers, ctx04_domain, ctx05_confidence, ctx06_semantic, ctx07_enhance, ctx09_11_scores, neg01_negation, fuz06_context_adjust, rul01_evaluate, rul02_rank, rul03_apply, rul04_latest, val03_validate, enh04_validate_mapping, enh01_enhanced, enh01_metadata, enh02_basic)
 }
 SQL = {
     "ctx01_enhancers": CTX01_SQL,
@@ -216,6 +279,10 @@ SQL = {
     "ctx07_enhance": CTX07_SQL,
     "ctx09_11_scores": CTX09_SQL,
     "fuz06_context_adjust": _fuz06(),
+    "neg01_negation": NEG01_SQL,
+    "enh01_metadata": _enhanced_sql(True, True),
+    "enh02_basic": _enhanced_sql(False, False),
+    "val03_validate": VAL03_SQL,
     "rul01_evaluate": f"WITH {RULE_MATCHES} SELECT * FROM matches",
     "rul02_rank": f"WITH {RULE_MATCHES} SELECT term_id, rule_id, rank FROM ranked",
     "rul03_apply": f"WITH {RULE_MATCHES} SELECT n.note_id AS term_id, CASE WHEN r.rule_id IS NULL THEN 'B:exact' WHEN r.rule_type = 'override' OR r.priority = 1 THEN r.target_code || ':rule_' || r.rule_type ELSE r.target_code || ':rule_' || r.rule_type || ',B:exact' END AS mappings FROM notes n LEFT JOIN ranked r ON r.term_id = n.note_id AND r.rank = 1",

@@ -401,8 +401,6 @@ def fuz10_jaro_winkler(spark, d):
     return fz.jaro_winkler_candidates(queries, keys).select("q", "key", F.round(sim.scorer("jaro_winkler")("q", "key"), 6).alias("similarity")).where("similarity >= 0.9")
 
 
-_bigrams = lambda c: f"list_transform(range(1, greatest(length({c}), 2)), lambda i: substr({c}, i, 2))"
-_letters = lambda c: f"list_transform(range(1, length({c}) + 1), lambda i: substr({c}, i, 1))"
 QUERIES = {
     f.__name__: f
     for f in (
@@ -437,5 +435,5 @@ SQL = {
     "fuz03_jaccard": FUZ03_SQL,
     "fuz05_tfidf_cosine": FUZ05_SQL,
     "fuz10_levenshtein": f"WITH {NAMES} SELECT q, key, levenshtein(q, key)::BIGINT AS distance FROM qs JOIN ks ON levenshtein(q, key) <= 2",
-    "fuz10_jaro_winkler": f"WITH {NAMES} SELECT q, key, round(jaro_winkler_similarity(q, key), 6) AS similarity FROM qs JOIN ks ON list_has_any(CASE WHEN length(q) <= 3 THEN list_concat({_bigrams('q')}, {_letters('q')}) ELSE {_bigrams('q')} END, list_concat({_bigrams('key')}, {_letters('key')})) AND 2.0 * least(length(q), length(key)) / (length(q) + length(key)) >= 0.4 WHERE round(jaro_winkler_similarity(q, key), 6) >= 0.9",
+    "fuz10_jaro_winkler": f"WITH {NAMES}, j AS (SELECT q, key, round(jaro_winkler_similarity(q, key), 6) AS similarity FROM qs CROSS JOIN ks) SELECT * FROM j WHERE similarity >= 0.9",
 }

@@ -100,7 +100,8 @@ def nrm14_bands(spark, d):
 
 
 def ext01_terms(spark, d):
-    return ex.extracted_terms(b.notes(spark, d).select("note_id", F.col("context").alias("text")), "note_id")
+    found = ex.extracted_terms(b.notes(spark, d).select("note_id", F.col("context").alias("text")), "note_id")
+    return found.select("note_id", "term", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "confidence")
 
 
 def ext02_entities(spark, d):
@@ -152,6 +153,19 @@ def fuz10_phonetic(spark, d):
     return b.terms(spark, d).select("term_id", F.soundex("term").alias("soundex"), sim.phonetic(F.col("term")).alias("phonetic"))
 
 
+def _spans_sql(patterns, confidence: str) -> str:
+    """Spans of each pattern: where a match starts follows from the pieces between matches and the matches before it."""
+    each = " UNION ALL ".join(f"SELECT note_id, {i} AS p, {b.quoted(kind)} AS kind, regexp_extract_all(context, {b.quoted('(?i)' + p)}) AS m, regexp_split_to_array(context, {b.quoted('(?i)' + p)}) AS gaps FROM notes" for i, (kind, p) in enumerate(patterns))
+    return f"""found AS (SELECT note_id, p, kind, m, gaps, unnest(range(1, len(m) + 1)) AS i FROM ({each}) WHERE len(m) > 0),
+spans AS (SELECT note_id, p, kind, m[i] AS text, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start, {confidence} AS confidence FROM found)"""
+
+
+EXT01_SQL = f"""WITH {b.NOTES}, {_spans_sql([('PATTERN_MATCH', p) for p in fv.TERM_PATTERNS], '0.7::DOUBLE')}
+SELECT note_id, text AS term, start, start + length(text) AS "end", confidence FROM (SELECT *, row_number() OVER (PARTITION BY note_id, text ORDER BY p, start) AS n FROM spans) WHERE n = 1"""
+EXT02_SPANS_SQL = f"""WITH {b.NOTES}, {_spans_sql([(k, p) for k, ps in fv.ENTITY_PATTERNS.items() for p in ps], '1.0::DOUBLE')}
+SELECT note_id, kind, text, start, start + length(text) AS "end" FROM spans"""
+
+
 QUERIES = {f.__name__: f for f in (nrm01_term, nrm02_lab, nrm03_drug, nrm04_clean, nrm05_tokens, nrm07_variations, nrm09_is_lab, nrm10_system_uri, nrm11_clean_text, nrm12_context_slice, nrm13_calibrate, nrm14_bands, ext01_terms, ext02_entities, ext02_entity_spans, ext03_merge, ext04_windows, fuz10_phonetic)}
 
 SQL = {
@@ -168,6 +182,8 @@ SQL = {
     "nrm13_calibrate": "SELECT event_id, round(1 / (1 + exp(-ln(s / (1 - s + 1e-8)) / 1.5)), 6) AS calibrated FROM (SELECT event_id, (value - floor(value)) * 0.9::DOUBLE + 0.05::DOUBLE AS s FROM events)",
     "nrm14_bands": "SELECT event_id, CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.6 THEN 'medium' WHEN s >= 0.4 THEN 'low' ELSE 'very_low' END AS band, round(s * 100)::BIGINT AS percentage FROM (SELECT event_id, value - floor(value) AS s FROM events)",
     "ext02_entities": f"WITH {b.NOTES} SELECT note_id, " + ", ".join(f"regexp_matches(context, {b.quoted('(?i)' + '|'.join(p))}) AS has_{k}" for k, p in fv.ENTITY_PATTERNS.items()) + " FROM notes",
+    "ext01_terms": EXT01_SQL,
+    "ext02_entity_spans": EXT02_SPANS_SQL,
     "ext03_merge": EXT03_SQL,
     "ext04_windows": EXT04_SQL,
 }

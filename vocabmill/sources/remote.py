@@ -6,7 +6,7 @@ response answers a request if its key is equal and it is young enough.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.fixed_values import COMMON_CONDITIONS
 
@@ -35,6 +35,8 @@ def lookup(terms: DataFrame, providers: list[DataFrame], systems: DataFrame) ->
     terms: (term_id, term).  providers: (system, term, code, display), terms
     lower-cased.  systems: one column, one row a vocabulary asked.
     """
+    if not providers:
+        return terms.sparkSession.createDataFrame([], "term_id long, system string, code string, display string, confidence double, source string")
     asked = terms.select("term_id", F.lower(F.trim("term")).alias("term")).join(F.broadcast(systems.select("system")))
     found = None
     for place, p in enumerate(providers):
@@ -42,3 +44,47 @@ def lookup(terms: DataFrame, providers: list[DataFrame], systems: DataFrame) ->
         found = hits if found is None else found.unionByName(hits)
     first = found.groupBy("term_id", "system").agg(F.min("m").alias("m"))
     return first.select("term_id", "system", "m.code", "m.display", F.lit(CONFIDENCE).alias("confidence"), F.concat(F.lit("provider_"), F.col("m.place").cast("string")).alias("source"))
+
+
+def table_search(responses: DataFrame, most: int = 10) -> DataFrame:
+    """CON02: (key, position, code, display) of bodies shaped [total, [code, ...], extra, [[display, ...], ...]]; other bodies give none."""
+    parts = F.from_json("body", "array<string>")
+    codes = F.from_json(F.get(parts, F.lit(1)), "array<string>")
+    shown = F.from_json(F.get(parts, F.lit(3)), "array<array<string>>")
+    rows = responses.select("key", F.posexplode(F.slice(F.arrays_zip(codes.alias("code"), shown.alias("names")), 1, most)).alias("position", "x"))
+    return rows.select("key", "position", "x.code", F.get("x.names", F.lit(0)).alias("display"))
+
+
+def parameter_lookup(responses: DataFrame) -> DataFrame:
+    """CON04: (key, display) of bodies that list named parameters, one of them the display; others give none."""
+    parameters = F.from_json(F.get_json_object("body", "$.parameter"), "array<struct<name:string,valueString:string>>")
+    shown = F.get(F.filter(parameters, lambda p: p["name"] == "display"), F.lit(0))["valueString"]
+    return responses.select("key", shown.alias("display")).where("display IS NOT NULL")
+
+
+def drug_search(terms: DataFrame, responses: DataFrame, suggestions: DataFrame, most: int = 10) -> DataFrame:
+    """CON01: (term_id, code, display, tty, spelled) of drug groups; terms without any are asked again as suggested.
+
+    responses: (term, body), bodies being drug groups by term type.
+    suggestions: (term, position, suggestion); the first that is answered counts.
+    """
+    groups = F.from_json(F.get_json_object("body", "$.drugGroup.conceptGroup"), "array<struct<tty:string,conceptProperties:array<struct<rxcui:string,name:string>>>>")
+    spread = responses.select("term", F.explode(groups).alias("g")).select("term", "g.tty", F.posexplode("g.conceptProperties").alias("position", "p"))
+    answers = spread.select("term", F.col("p.rxcui").alias("code"), F.col("p.name").alias("display"), "tty").distinct()
+    known = answers.select("term").distinct()
+    asked = terms.select("term_id", F.lower(F.trim("term")).alias("term"))
+    again = asked.join(known, "term", "left_anti").join(suggestions, "term").join(known.withColumnRenamed("term", "suggestion"), "suggestion")
+    respelled = again.groupBy("term_id").agg(F.min(F.struct("position", "suggestion")).alias("m")).select("term_id", F.col("m.suggestion").alias("term"), F.col("m.suggestion").alias("spelled"))
+    every = asked.withColumn("spelled", F.lit(None).cast("string")).unionByName(respelled)
+    found = every.join(answers, "term").select("term_id", "code", "display", "tty", "spelled")
+    order = Window.partitionBy("term_id").orderBy("code", "tty", "display")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+
+
+def concept_details(asked: DataFrame, concepts: dict[str, DataFrame]) -> DataFrame:
+    """CON06: (system, code, term, display) of asked (system, code), from the local vocabularies."""
+    every = None
+    for system, own in concepts.items():
+        part = own.select(F.lit(system).alias("system"), "code", "term", "display")
+        every = part if every is None else every.unionByName(part)
+    return asked.select("system", "code").distinct().join(every, ["system", "code"])

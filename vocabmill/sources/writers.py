@@ -21,8 +21,8 @@ def upserted(custom: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def synonyms_json(sets: DataFrame, path: str) -> None:
-    """SNK03: (set_key, synonyms) as JSON lines."""
-    sets.write.mode("overwrite").json(path)
+    """SNK03: (set_key, synonyms) as JSON objects of one set, one a line."""
+    sets.select(F.to_json(F.map_from_arrays(F.array("set_key"), F.array("synonyms")))).write.mode("overwrite").text(path)
 
 
 def results(flat: DataFrame, path: str) -> None:
