@@ -39,7 +39,7 @@ WINDOW, GRAM = 20, 6
 MAX_FILTER_BYTES = 64 << 20
 #: Anchors with about this many different contexts or more are worked on by window; they are found among one in CONTEXT_SHARE.
 HOT_CONTEXTS, CONTEXT_SHARE = 4000, 64
-IDS_A_SHARD = 1_000_000
+IDS_A_SHARD, WINDOWS_A_FILE = 1_000_000, 1_000_000
 _NULL_ID = -(2**63)
 #: Texts are worked on in slices of so many bytes.
 SLICE = 2 << 20
@@ -374,11 +374,11 @@ def _windows(window: int):
     return run
 
 
-def _located_by_window(contexts: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+def _located_by_window(contexts: DataFrame, window: int, scratch: Scratch, files: int) -> DataFrame:
     """_LOCATED of the contexts of hot anchors, whose windows meet by digest in any number of tasks."""
-    found = scratch.table(contexts.mapInArrow(_windows(window), "w1 long, w2 long, d1 long, d2 long, i int, n long, did long, t1 long, t2 long, start int"), "windows")
+    found = scratch.table(contexts.mapInArrow(_windows(window), "w1 long, w2 long, d1 long, d2 long, i int, n long, did long, t1 long, t2 long, start int"), "windows", files)
     firsts = found.groupBy("w1", "w2").agg(F.sum("n").alias("times"), F.min(F.struct(*ROW, "start")).alias("first")).where("times > 1")
-    firsts = scratch.table(firsts.select("w1", "w2", "first"), "firsts")
+    firsts = scratch.table(firsts.select("w1", "w2", "first"), "firsts", files)
     segment = F.struct("i", F.lit(1).alias("n"), "first.did", "first.t1", "first.t2", "first.start")
     return found.select("w1", "w2", "d1", "d2", "i").join(firsts, ["w1", "w2"]).groupBy("d1", "d2").agg(F.collect_list(segment).alias("segments")).select("d1", "d2", F.col("segments").cast(_SEGMENTS))
 
@@ -442,17 +442,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ma
         runs = named.join(marks, [*ROW]).select("doc_id", "text", "marks").mapInArrow(_marked_contexts(window, names), _CONTEXT)
     runs = scratch.table(runs, "runs")
     first = F.min(F.struct(*ROW, "start")).alias("at")
-    contexts = runs.groupBy("h", "d1", "d2").agg(first, F.count("*").alias("n"), F.max("context").alias("context")).select("h", "d1", "d2", "at.*", "n", "context")
+    contexts_of = lambda r: r.groupBy("h", "d1", "d2").agg(first, F.count("*").alias("n"), F.max("context").alias("context")).select("h", "d1", "d2", "at.*", "n", "context")
     share = min(CONTEXT_SHARE, hot_contexts + 1)
     some = runs.where(F.col("context").isNotNull() & (F.pmod("d1", F.lit(share)) == 0))
-    hot = scratch.table(some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts // share).select("h").repartition(1), "hot")  # few
-    if not hot.isEmpty():
-        contexts = scratch.table(contexts, "contexts")
-        by_window = _located_by_window(contexts.join(hot, "h", "left_semi"), window, scratch)
-        contexts = contexts.join(hot, "h", "left_anti")
-    located = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_locate(window), _LOCATED)
-    if not hot.isEmpty():
-        located = located.unionByName(by_window)
+    hot = scratch.table(some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts // share).repartition(1), "hot")  # few
+    n_hot = share * (hot.agg(F.sum("n")).first()[0] or 0)
+    rest = runs.join(hot, "h", "left_anti") if n_hot else runs
+    located = contexts_of(rest).repartition("h").sortWithinPartitions("h").mapInArrow(_locate(window), _LOCATED)
+    if n_hot:
+        own_hot = contexts_of(runs.join(hot.select("h"), "h", "left_semi"))
+        located = located.unionByName(_located_by_window(own_hot, window, scratch, 1 + n_hot * window // WINDOWS_A_FILE))
     here = F.filter("segments", lambda x: (x.did != F.col("did")) | (x.t1 != F.col("t1")) | (x.t2 != F.col("t2")) | (x["start"] != F.col("start") + x.i))
     spans = F.transform(here, lambda x: F.struct((F.col("start") + x.i).alias("at"), x.n.alias("n")))
     found = runs.select("d1", "d2", *ROW, "start").join(located, ["d1", "d2"]).select(*ROW, spans.alias("spans")).where(F.size("spans") > 0)
