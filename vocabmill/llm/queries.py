@@ -180,10 +180,109 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damage, digests, repair
+
+    rows = _table(spark, sf_dir, "conversations")
+    report, turns = repair(damage(rows))
+    # null ids meet as well: a join of equal keys loses them
+    key = lambda df: df.withColumn("k", F.struct("conv_id"))
+    found = key(rows.select("conv_id").distinct()).join(key(report).drop("conv_id"), "k", "left").join(key(digests(turns)).drop("conv_id"), "k", "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _repair_sql() -> str:
+    """The edit lattice as a recursion over rows; n, s, u, a are the best (c: cost, a: audit, o: output) of each last state."""
+
+    def step(state: str, op: str, cost: str, shown: str | None = None) -> str:
+        out = f"{state}.o" if shown is None else f"{state}.o || {shown} || chr(10)"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{op}', 'o': {out}}} END"
+
+    def insert(state: str, role: str) -> str:
+        return step(state, "I", "2", f"'{role}:'")
+
+    def stay(state: str, op: str, role: str) -> str:
+        cost, good = {"K": ("charge", f"goes AND initial = '{role[0]}'"), "R": ("charge + 2", "goes")}[op]
+        return f"CASE WHEN {good} THEN {step(state, op, cost, "role || ':' || text" if op == 'K' else f"'{role}:' || text")} END"
+
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    to_user = [stay(x, op, "user") for x in ("n", "s", "a") for op in "KR"]
+    return rf"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+                         lambda c, b: xor(c // 256, t[(xor(c % 256, b) + 1)::INT]::BIGINT)), 4294967295::BIGINT) % 20 AS f
+  FROM keyed, tab),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE f <> 0),
+numbered AS (
+  SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), md5(text), copy) AS i,
+         rtrim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS bare FROM hurt),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM numbered),
+rows AS (SELECT *, fault NOT IN ('b', 'd') AS goes, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS charge FROM judged),
+counted AS (
+  SELECT conv_id, max(i) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'o': ''}} AS n, NULL::STRUCT(c INTEGER, a VARCHAR, o VARCHAR) AS s,
+         NULL::STRUCT(c INTEGER, a VARCHAR, o VARCHAR) AS u, NULL::STRUCT(c INTEGER, a VARCHAR, o VARCHAR) AS a FROM counted
+  UNION ALL
+  SELECT conv_id, i, {step('n', 'D', '3')}, {least(step('s', 'D', '3'), stay('n', 'K', 'system'))},
+         {least(step('u', 'D', '3'), *to_user)}, {least(step('a', 'D', '3'), stay('u', 'K', 'assistant'), stay('u', 'R', 'assistant'))}
+  FROM (SELECT conv_id, i, n, s, u, {least('a', insert('u', 'assistant'))} AS a, role, text, initial, goes, charge
+        FROM (SELECT b.conv_id, r.i, n, s, {least('u', *(insert(x, 'user') for x in ('n', 's', 'a')))} AS u, a, role, text, initial, goes, charge
+              FROM best b JOIN rows r ON r.conv_id = b.conv_id AND r.i = b.i + 1))),
+closed AS (SELECT conv_id, i, n, {least('u', insert('s', 'user'))} AS u, a FROM best),
+last AS (SELECT x.conv_id, {least('n', 'a', insert('u', 'assistant'))} AS e FROM closed x JOIN counted c ON x.conv_id = c.conv_id AND x.i = c.n_rows)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit,
+       sha256(coalesce(left(e.o, length(e.o) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id = c.conv_id LEFT JOIN last l ON o.conv_id = l.conv_id
+"""
+
+
+OP11_SQL = _repair_sql()
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d),
+q AS (SELECT item_id, term, count(*) AS times
+      FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+      GROUP BY item_id, term),
+p AS (SELECT doc_id, term, n, count(*) AS tf
+      FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term, n),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS weight
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+s AS (SELECT p.doc_id, p.term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * n_docs) // n_terms)))) AS points FROM p JOIN w ON p.term = w.term, c),
+t AS (SELECT item_id, doc_id, sum(points * times)::BIGINT AS score FROM s JOIN q ON s.term = q.term GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM t WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
-    made = (op1_line_dedup, op2_decontamination, op3_toxicity, op4_token_output, op5_source_mix, op6_substring_dedup, op7_chat_format, op8_simhash, op9_language_id, op10_top_k)
+    made = (op1_line_dedup, op2_decontamination, op3_toxicity, op4_token_output, op5_source_mix, op6_substring_dedup, op7_chat_format, op8_simhash, op9_language_id, op10_top_k, op11_conversation_repair, op13_lexical_search)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_source_mix": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_top_k": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_source_mix": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_top_k": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op13_lexical_search": OP13_SQL}
