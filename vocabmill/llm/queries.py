@@ -256,6 +256,54 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.con
 OP11_SQL = _repair_sql()
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    found = judge(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, text IS NOT NULL AS there, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT r, i, array_to_string(ws[i : i + 4], ' ') AS phrase FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, phrase) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT i)::BIGINT AS n FROM (SELECT r, unnest(range(i, i + 5)) AS i FROM twice) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+          WHERE length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) > 0 GROUP BY r),
+base AS (
+  SELECT d.r, doc_id, lang, there, ws, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+         length(text) AS points, strlen(text) AS total, length(text) - length(regexp_replace(text, '[A-Z]+', '', 'g')) AS upper_case,
+         length(text) - length(regexp_replace(text, '[0-9]+', '', 'g')) AS digits, length(text) - length(regexp_replace(text, '[!-/:-@\[-`{-~]+', '', 'g')) AS signs
+  FROM d LEFT JOIN lines l ON d.r = l.r LEFT JOIN repeated p ON d.r = p.r),
+classed AS (SELECT *, [upper_case, digits, points - word_chars, n_symbols, signs - n_symbols, total - points, total - upper_case - digits - (points - word_chars) - signs - (total - points)] AS c FROM base),
+held AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(ws) AS word FROM d) WHERE NOT regexp_matches(word, '[\x00-@\[-`{-\x7F]') GROUP BY lang, word),
+sizes AS (SELECT lang, sum(n_words) AS total FROM classed WHERE there GROUP BY lang HAVING sum(n_words) >= 1000),
+common AS (
+  SELECT DISTINCT word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM held) WHERE place <= 30 AND lang IN (SELECT lang FROM sizes)),
+class_refs AS (
+  SELECT lang, k, sum(x)::DOUBLE / sum(sum(x)) OVER (PARTITION BY lang) AS q
+  FROM (SELECT lang, unnest(c) AS x, generate_subscripts(c, 1) AS k FROM classed WHERE there) WHERE lang IN (SELECT lang FROM sizes) GROUP BY lang, k),
+class_p AS (SELECT r, k, x::DOUBLE / total AS p FROM (SELECT r, total, unnest(c) AS x, generate_subscripts(c, 1) AS k FROM classed WHERE n_words >= 50) WHERE x > 0),
+class_d AS (
+  SELECT r, min(v) AS v FROM (
+    SELECT r, lang, sum(p / 2 * log2(p / ((p + q) / 2)) + CASE WHEN q > 0 THEN q / 2 * log2(q / ((p + q) / 2)) ELSE 0 END) + greatest(0, 1 - sum(q)) / 2 AS v
+    FROM class_p JOIN class_refs ON class_p.k = class_refs.k GROUP BY r, lang) GROUP BY r),
+word_refs AS (SELECT h.lang, word, n::DOUBLE / total AS q FROM held h JOIN sizes s ON h.lang = s.lang WHERE word IN (SELECT word FROM common)),
+full_refs AS (SELECT * FROM word_refs UNION ALL SELECT s.lang, '', 1 - coalesce(sum(q), 0) FROM sizes s LEFT JOIN word_refs w ON s.lang = w.lang GROUP BY s.lang),
+word_p AS (
+  SELECT r, word, count(*)::DOUBLE / any_value(n) AS p
+  FROM (SELECT r, n, CASE WHEN t IN (SELECT word FROM common) THEN t ELSE '' END AS word FROM (SELECT r, n_words AS n, unnest(ws) AS t FROM base WHERE n_words >= 100)) GROUP BY r, word),
+word_d AS (
+  SELECT r, min(v) AS v FROM (
+    SELECT p.r, s.lang, sum(p / 2 * log2(p / ((p + coalesce(q, 0)) / 2)) + CASE WHEN q > 0 THEN q / 2 * log2(q / ((p + q) / 2)) ELSE 0 END) + greatest(0, 1 - sum(coalesce(q, 0))) / 2 AS v
+    FROM word_p p CROSS JOIN sizes s LEFT JOIN full_refs f ON f.word = p.word AND f.lang = s.lang GROUP BY p.r, s.lang) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+       NOT failed AND coalesce(c.v, 0) <= 0.08 AND coalesce(w.v, 0) <= 0.115 AS kept
+FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed FROM base) b LEFT JOIN class_d c ON b.r = c.r LEFT JOIN word_d w ON b.r = w.r
+"""
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical_search import search
 
@@ -280,9 +328,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 
 
 def queries() -> dict:
-    made = (op1_line_dedup, op2_decontamination, op3_toxicity, op4_token_output, op5_source_mix, op6_substring_dedup, op7_chat_format, op8_simhash, op9_language_id, op10_top_k, op11_conversation_repair, op13_lexical_search)
+    made = (op1_line_dedup, op2_decontamination, op3_toxicity, op4_token_output, op5_source_mix, op6_substring_dedup, op7_chat_format, op8_simhash, op9_language_id, op10_top_k, op11_conversation_repair, op12_quality_rules, op13_lexical_search)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_source_mix": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_top_k": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_source_mix": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_top_k": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_lexical_search": OP13_SQL}
