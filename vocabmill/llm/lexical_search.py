@@ -32,7 +32,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -139,7 +138,6 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, block_bytes: int = BL
     best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "row")
     found = []
     for block in range(blocks):
-        # an item may fall into several blocks only if its terms did; items are dealt whole
         own = asked.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == block) if blocks > 1 else asked
         matched = (by_document.repartition("doc_id") if blocks > 1 else by_document).join(F.broadcast(own), "term")
         sums = matched.groupBy("doc_id", "row", "item_id").agg(F.sum(F.col("points") * F.col("times")).alias("score"))
