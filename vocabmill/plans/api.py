@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.fixed_values import MAX_BATCH_TERMS, SYSTEM_URIS
 from ..operators import stats
 from ..sources import readers, writers
+from . import requests
 from .cascade import map_terms
 from .enhanced import enhanced
 
@@ -45,6 +46,15 @@ class Engine:
             raise ValueError(f"a batch has 1 to {MAX_BATCH_TERMS} terms")
         return self.map_terms(self.spark.createDataFrame(list(enumerate(terms)), "term_id long, term string"), **options)
 
+    def map_requests(self, asked: DataFrame, include_fuzzy: bool = True) -> DataFrame:
+        """Requests (term_id, term, system[, threshold]), each with its own vocabularies; errors are rows."""
+        return requests.routed(asked, self.concepts, synonyms=self.synonyms, custom=self.custom, providers=self.providers, include_fuzzy=include_fuzzy)
+
+    def extract_and_map(self, docs: DataFrame, id_col: str = "doc_id", systems: list[str] | None = None, threshold: float = 0.0, include_fuzzy: bool = True) -> DataFrame:
+        """The known terms in free texts (id, text), each with its mappings."""
+        own = {s: c for s, c in self.concepts.items() if not systems or s in systems}
+        return requests.extracted_and_mapped(docs, own, id_col, threshold, synonyms=self.synonyms, custom=self.custom, providers=self.providers, include_fuzzy=include_fuzzy)
+
     def map_enhanced(self, terms: DataFrame, **options) -> DataFrame:
         """terms (term_id, term, context) with context, negation and rules."""
         rules = self.rules if self.rules is not None else self.spark.createDataFrame([], readers.RULES)

@@ -1,8 +1,8 @@
 """The registered queries: each operator bound to the driver's tables, with its SQL."""
 
-from . import clinical, extra, files, match, service, text
+from . import clinical, extra, files, match, requests, service, text
 
-MODULES = (text, match, clinical, service, files, extra)
+MODULES = (text, match, clinical, service, files, extra, requests)
 
 
 def queries() -> dict:

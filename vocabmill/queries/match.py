@@ -178,7 +178,8 @@ def lkp24_26_all_systems(spark, d):
     return map_terms(b.terms(spark, d), concepts, None, custom(spark), None, include_fuzzy=False)
 
 
-ALL_SQL = f"""WITH {ASKED}, {b.CONDITIONS}, {b.LABS}, {b.DRUGS}, {ABBREVIATIONS}, custom AS (SELECT * FROM {b.values(CUSTOM, 'system, term, code, display')}),
+#: The tables and tiers of all cascades over ``asked``; ``top`` has the best of each term and vocabulary.
+ALL_TIERS = f"""{b.CONDITIONS}, {b.LABS}, {b.DRUGS}, {ABBREVIATIONS}, custom AS (SELECT * FROM {b.values(CUSTOM, 'system, term, code, display')}),
 {CONDITION_HITS}, {LAB_HITS}, {DRUG_HITS},
 expanded AS (SELECT term_id, position, expanded_term AS e FROM asked JOIN abbr ON lower(trim(term)) = short WHERE q <> ''),
 expanded_tiers AS (SELECT term_id, position, id, 2 AS tier FROM expanded JOIN condition_keys ON e = k UNION ALL SELECT term_id, position, min(id), 3 FROM expanded JOIN condition_keys ON contains(k, e) GROUP BY 1, 2),
@@ -190,7 +191,8 @@ every AS (
   UNION ALL SELECT h.term_id, 'loinc', c.code, c.display, h.confidence, h.match_type, 'lookup', h.tier FROM lab_best h JOIN labs c ON c.id = h.id
   UNION ALL SELECT h.term_id, 'rxnorm', c.code, c.display, h.confidence, h.match_type, 'lookup', h.tier FROM drug_best h JOIN drugs c ON c.id = h.id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term_id, system ORDER BY tier) AS rn FROM every) WHERE rn = 1),
-systems AS (SELECT unnest(['snomed', 'loinc', 'rxnorm']) AS system)
+systems AS (SELECT unnest(['snomed', 'loinc', 'rxnorm']) AS system)"""
+ALL_SQL = f"""WITH {ASKED}, {ALL_TIERS}
 SELECT t.term_id, s.system, top.code IS NOT NULL AS found, top.code, top.display, top.confidence, top.match_type, top.via
 FROM terms t CROSS JOIN systems s LEFT JOIN top ON top.term_id = t.term_id AND top.system = s.system"""
 
