@@ -100,6 +100,25 @@ def batch_status(docs: DataFrame) -> DataFrame:
     )
 
 
+def batch_summary(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """AGG08: batch_status of docs with what was found in each batch's completed documents.
+
+    entities: (batch_id, document_id, kind, system, code), system and code of
+    the mapping, null without one.  total_entities, entities_by_type and
+    mappings_by_system (maps; empty without any).
+    """
+    completed = docs.where("status = 'completed'").select("batch_id", "document_id")
+    own = entities.join(completed, ["batch_id", "document_id"], "left_semi")
+    counts = lambda column, name: own.where(F.col(column).isNotNull()).groupBy("batch_id", column).agg(F.count("*").alias("n")).groupBy("batch_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias(name))
+    found = own.groupBy("batch_id").agg(F.count("*").alias("total_entities"))
+    mapped = own.where("code IS NOT NULL").groupBy("batch_id", "system").agg(F.count("*").alias("n")).groupBy("batch_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("system", "n")))).alias("mappings_by_system"))
+    whole = batch_status(docs)
+    for part in (found, counts("kind", "entities_by_type"), mapped):
+        whole = whole.join(part, "batch_id", "left")
+    none = F.create_map().cast("map<string,bigint>")
+    return whole.na.fill(0, ["total_entities"]).withColumns({c: F.coalesce(c, none) for c in ("entities_by_type", "mappings_by_system")})
+
+
 def exported(docs: DataFrame, include_failed: bool, raw_text: bool, max_chars: int = 1000) -> DataFrame:
     """SNK06: rows for CSV or JSON; texts are cut to max_chars unless raw_text."""
     kept = docs if include_failed else docs.where("status <> 'failed'")

@@ -85,6 +85,23 @@ def batch_totals(rows: DataFrame) -> DataFrame:
     )
 
 
+def job_summary(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """AGG06: the state of each job of jobs (job_id, total, created) from its log of finished chunks.
+
+    chunks: (job_id, at, successful, failed, error).  A job is pending without
+    chunks, failed once a chunk has an error (the first is its message),
+    completed when all terms are done, else processing.  seconds: from its
+    creation to its last chunk.
+    """
+    done = chunks.groupBy("job_id").agg(F.sum("successful").alias("successful"), F.sum("failed").alias("failed"), F.max("at").alias("updated"), F.min(F.when(F.col("error").isNotNull(), F.struct("at", "error")))["error"].alias("error"))
+    rows = jobs.join(done, "job_id", "left").na.fill(0, ["successful", "failed"])
+    processed = F.col("successful") + F.col("failed")
+    status = F.when(F.col("updated").isNull(), "pending").when(F.col("error").isNotNull(), "failed").when(processed >= F.col("total"), "completed").otherwise("processing")
+    seconds = (F.unix_micros(F.coalesce("updated", "created").cast("timestamp")) - F.unix_micros(F.col("created").cast("timestamp"))) / 1e6
+    progress = F.when(F.col("total") > 0, F.round(F.least(F.lit(100.0), 100.0 * processed / F.col("total")), 6)).otherwise(F.lit(100.0))
+    return rows.select("job_id", "total", "successful", "failed", status.alias("status"), progress.alias("progress"), seconds.alias("seconds"), "error")
+
+
 def term_status(n_matches: Column, error: Column) -> Column:
     """AGG09."""
     return F.when(error.isNotNull(), "failed").when(n_matches > 0, "success").otherwise("no_mappings")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import normalize as nz
+from ..functions.fixed_values import THRESHOLDS
 from ..functions.staging import staged
 from ..operators import fuzzy, lookup as lk
 
@@ -31,30 +32,45 @@ def _through(queries: DataFrame, tiers, concepts: DataFrame, system: str, via: s
     return _named(first.select("term_id", "m.id", F.lit(0).alias("tier"), F.lit(confidence).alias("confidence"), F.lit(via).alias("match_type")), concepts, system, via)
 
 
-def _fuzzy(left: DataFrame, concepts: DataFrame, system: str) -> DataFrame:
+def fuzzy_thresholds(changed: dict[str, float] | None = None) -> dict[str, float]:
+    """FUZ08: the thresholds of the fuzzy tiers (difflib, jaccard, cosine) with the changed ones.
+
+    The difflib tier can only be made stricter: below its own threshold its
+    candidates would miss pairs.
+    """
+    own = {k: THRESHOLDS[k] for k in ("difflib", "jaccard", "cosine")}
+    for name, value in (changed or {}).items():
+        if name not in own or not 0 < value <= 1 or (name == "difflib" and value < own[name]):
+            raise ValueError(f"threshold {name}={value} is not supported")
+    return own | (changed or {})
+
+
+def _fuzzy(left: DataFrame, concepts: DataFrame, system: str, least: dict[str, float]) -> DataFrame:
     """FUZ01 on the terms that nothing else found: variations, then difflib and tokens, then cosine."""
     indexed = staged(fuzzy.index(concepts))
     query = nz.clean(F.col("term"))
     exact = staged(fuzzy.by_variation(left, indexed).select("term_id", "code", "display", "score", F.lit("variation").alias("match_type")))
     rest = staged(left.join(exact, "term_id", "left_anti").withColumn("q", query))
     keys = indexed.select(F.col("variation").alias("key"))
-    string = fuzzy.scored(rest, keys, {"difflib_ratio": 0.8}, least=0.8).select("q", "key", (F.col("score") * 100).alias("score"), F.lit("levenshtein").alias("match_type"))
-    tokens = fuzzy.token_jaccard(rest, keys).select("q", "key", (F.col("jaccard") * 100).alias("score"), F.lit("token").alias("match_type"))
-    angle = fuzzy.cosine(rest, fuzzy.tfidf(concepts.select(F.lower("term").alias("key")))).select("q", "key", (F.col("cosine") * 100).alias("score"), F.lit("cosine").alias("match_type"))
+    string = fuzzy.scored(rest, keys, {"difflib_ratio": least["difflib"]}, least=least["difflib"]).select("q", "key", (F.col("score") * 100).alias("score"), F.lit("levenshtein").alias("match_type"))
+    tokens = fuzzy.token_jaccard(rest, keys, least["jaccard"]).select("q", "key", (F.col("jaccard") * 100).alias("score"), F.lit("token").alias("match_type"))
+    angle = fuzzy.cosine(rest, fuzzy.tfidf(concepts.select(F.lower("term").alias("key"))), least["cosine"]).select("q", "key", (F.col("cosine") * 100).alias("score"), F.lit("cosine").alias("match_type"))
     top = string.unionByName(tokens).unionByName(angle).groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), F.when(F.col("match_type") == "levenshtein", 0).when(F.col("match_type") == "token", 1).otherwise(2).alias("place"), "key", "match_type")).alias("m"))
     scored = rest.join(top, "q").select("term_id", F.col("m.key").alias("variation"), (-F.col("m.s")).alias("score"), "m.match_type").join(indexed, "variation").select("term_id", "code", "display", "score", "match_type")
     every = exact.unionByName(scored)
     return every.select("term_id", F.lit(system).alias("system"), F.lit(True).alias("found"), "code", "display", (F.col("score") / 100).alias("confidence"), "match_type", F.lit("fuzzy").alias("via"))
 
 
-def map_terms(terms: DataFrame, concepts: dict[str, DataFrame], synonyms: DataFrame | None = None, custom: DataFrame | None = None, providers: list[DataFrame] | None = None, include_fuzzy: bool = True) -> DataFrame:
+def map_terms(terms: DataFrame, concepts: dict[str, DataFrame], synonyms: DataFrame | None = None, custom: DataFrame | None = None, providers: list[DataFrame] | None = None, include_fuzzy: bool = True, thresholds: dict[str, float] | None = None) -> DataFrame:
     """The best mapping of each term in each vocabulary of ``concepts``; not-found rows included.
 
     terms: (term_id, term).  concepts: by system, with an id.  custom: (system,
     term, code, display).  providers answer drugs first and others last, as a
-    remote service would.  Blank terms are not found.  Confidence and match
+    remote service would.  thresholds: those of the fuzzy tiers that differ
+    from the defaults, see fuzzy_thresholds.  Blank terms are not found.  Confidence and match
     type are those of the tier that hit.
     """
+    least = fuzzy_thresholds(thresholds)
     tiers = {"snomed": lk.condition_tiers, "loinc": lk.lab_tiers, "rxnorm": lk.drug_tiers}
     asked = staged(terms.select("term_id", "term", nz.normalize_term(F.col("term")).alias("q")).where("q <> ''"))
     out = None
@@ -79,7 +95,7 @@ def map_terms(terms: DataFrame, concepts: dict[str, DataFrame], synonyms: DataFr
         hits = staged(lk.best([s.withColumn("id", F.lit(0)) for s in steps]).drop("tier", "id").select(*RESULT))
         if include_fuzzy:
             left = staged(asked.join(hits, "term_id", "left_anti"))
-            hits = hits.unionByName(_fuzzy(left, own, system).select(*RESULT))
+            hits = hits.unionByName(_fuzzy(left, own, system, least).select(*RESULT))
         missing = terms.select("term_id").withColumn("system", F.lit(system)).join(hits.select("term_id"), "term_id", "left_anti")
         none = missing.select("term_id", "system", F.lit(False).alias("found"), *[F.lit(None).cast(t).alias(c) for c, t in zip(RESULT[3:], ("string", "string", "double", "string", "string"))])
         whole = hits.unionByName(none)

@@ -24,6 +24,46 @@ def fresh(responses: DataFrame, now: Column | None = None) -> DataFrame:
     return responses.where(F.col("fetched_at") > (now if now is not None else F.current_timestamp()) - F.expr(TTL))
 
 
+def cached(requests: DataFrame, responses: DataFrame, now: Column | None = None) -> DataFrame:
+    """CON07: requests (key, ...) with body and fetched_at of the latest response that is young enough, null if none is."""
+    last = fresh(responses, now).groupBy("key").agg(F.max(F.struct("fetched_at", "body")).alias("m"))
+    return requests.join(last, "key", "left").select(*requests.columns, "m.body", "m.fetched_at")
+
+
+class ResponseCache:
+    """CON07: responses kept as Parquet by day, in a folder that all machines see.
+
+    Saving appends; a read takes the days that the time to live touches, and of
+    each key its latest response.  Days before can be deleted at any time.
+    """
+
+    SCHEMA = "key string, body string, fetched_at timestamp, day date"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def save(self, responses: DataFrame) -> None:
+        """Keeps responses (key, body, fetched_at)."""
+        rows = responses.select("key", "body", F.col("fetched_at").cast("timestamp").alias("fetched_at")).withColumn("day", F.to_date("fetched_at"))
+        rows.write.mode("append").partitionBy("day").parquet(self.path)
+
+    def _rows(self, now: Column) -> DataFrame:
+        from .readers import _exists
+
+        if not _exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("day") >= F.to_date(now.cast("timestamp") - F.expr(TTL)))
+
+    def answers(self, requests: DataFrame, now: Column | None = None) -> DataFrame:
+        """requests with body and fetched_at, see cached."""
+        at = now if now is not None else F.current_timestamp()
+        return cached(requests, self._rows(at), at)
+
+    def missing(self, requests: DataFrame, now: Column | None = None) -> DataFrame:
+        """The requests that have to be sent, each key once."""
+        return self.answers(requests, now).where("fetched_at IS NULL").drop("body", "fetched_at").dropDuplicates(["key"])
+
+
 def common_conditions(spark: SparkSession) -> DataFrame:
     """CON03: the built-in answers (term, code, display)."""
     return spark.createDataFrame([(t, c, d) for t, (c, d) in COMMON_CONDITIONS.items()], "term string, code string, display string")
