@@ -96,6 +96,103 @@ def jaro_winkler_candidates(queries: DataFrame, keys: DataFrame) -> DataFrame:
     return met.union(alike).distinct()
 
 
+def letter_candidates(queries: DataFrame, keys: DataFrame, least: Column) -> DataFrame:
+    """(q, key): the distinct pairs of non-empty texts that share at least ``least`` letters, counted with repeats; none is missed.
+
+    least: a Column of the lengths a (of q) and b (of key).  Two sets that
+    share t of a and b elements share one of the first a - t + 1 and b - t + 1
+    in a common order, so pairs meet on their lengths and a numbered letter of
+    both prefixes, rare letters first.
+    """
+    a = queries.select("q").where("q <> ''").distinct().select("q", F.length("q").alias("a"), _numbered_letters(F.col("q")).alias("x"))
+    b = keys.select("key").where("key <> ''").distinct().select("key", F.length("key").alias("b"), _numbered_letters(F.col("key")).alias("y"))
+    lengths = a.select("a").distinct().crossJoin(b.select("b").distinct())  # as many rows as pairs of lengths
+    near = lengths.withColumn("t", F.greatest(least.cast("int"), F.lit(1))).where("t <= least(a, b)")
+    one = a.join(near, "a").select("q", "a", "b", "t", "x", F.explode(F.expr("slice(x, 1, a - t + 1)")).alias("letter"))
+    two = b.join(near, "b").select("key", "a", "b", "y", F.explode(F.expr("slice(y, 1, b - t + 1)")).alias("letter"))
+    both = F.array_intersect("x", "y")
+    # a pair is kept where it meets first
+    met = one.join(two, ["a", "b", "letter"]).where((F.size(both) >= F.col("t")) & (F.element_at(both, 1) == F.col("letter")))
+    return met.select("q", "key")
+
+
+#: The algorithms that a request may name, in the order that settles ties.
+ALGORITHMS = ("levenshtein", "jaro_winkler", "token_sort_ratio", "token_set_ratio", "phonetic")
+#: Scores of texts that sound alike by the consonant key, and by Soundex only.
+SOUNDS_ALIKE, SOUNDEX_ALIKE = 0.9, 0.8
+_ROUNDING = 1e-6
+
+
+def _token_text(text: Column, distinct: bool) -> Column:
+    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.array_join(F.array_sort(F.array_distinct(tokens) if distinct else tokens), " ")
+
+
+def _token_pairs(queries: DataFrame, keys: DataFrame, threshold: float, distinct: bool) -> DataFrame:
+    """(q, key) whose sorted tokens, as texts, may have a ratio of the threshold or more: 2 m >= t (a + b) letters are shared."""
+    q = queries.select("q", _token_text(F.col("q"), distinct).alias("s")).distinct()
+    k = keys.select("key", _token_text(F.col("key"), distinct).alias("s")).distinct()
+    least = F.ceil((threshold - _ROUNDING) * (F.col("a") + F.col("b")) / 2)
+    met = letter_candidates(q.select(F.col("s").alias("q")), k.select(F.col("s").alias("key")), least).select(F.col("q").alias("s"), F.col("key").alias("s2"))
+    return q.join(met, "s").join(k.withColumnRenamed("s", "s2"), "s2").select("q", "key")
+
+
+def _similar(queries: DataFrame, keys: DataFrame, name: str, threshold: float) -> DataFrame:
+    """(q, key, score): all pairs whose score, from 0 to 1, reaches the threshold, for one algorithm."""
+    a, b = F.col("a"), F.col("b")
+    if name == "phonetic":
+        sounds = lambda c: F.array(F.concat(F.lit("1"), sim.phonetic(c)), F.concat(F.lit("2"), F.soundex(c)))
+        spread = lambda df, c: df.select(c).distinct().select(c, F.explode(sounds(F.col(c))).alias("sound")).where("length(sound) > 1")
+        score = F.when(F.startswith("sound", F.lit("1")), SOUNDS_ALIKE).otherwise(SOUNDEX_ALIKE)
+        # Soundex gives texts back that begin with no letter; those are alike only if equal
+        met = spread(queries, "q").join(spread(keys, "key"), "sound").groupBy("q", "key").agg(F.max(score).alias("score"))
+        return met.where(F.col("score") >= threshold)
+    if name == "levenshtein":
+        longer = F.greatest(a, b)
+        pairs = letter_candidates(queries, keys, longer - F.floor((1 - threshold) * longer + _ROUNDING))
+        score = 1 - F.levenshtein("q", "key") / F.greatest(F.length("q"), F.length("key"))
+    elif name == "jaro_winkler":
+        # a prefix of p equal letters, up to 4, adds p / 10 of what Jaro lacks to 1
+        jaro = lambda p: (threshold - p / 10) / (1 - p / 10)
+        shares = lambda j: F.ceil((3 * j - 1 - _ROUNDING) * a * b / (a + b))
+        start = lambda c: F.substring(c, 1, 4)
+        pairs = letter_candidates(queries, keys, shares(jaro(3)))
+        long = queries.where("length(q) >= 4").select("q").distinct().join(keys.where("length(key) >= 4").select("key").distinct(), start("q") == start("key"))
+        pairs = pairs.union(long).distinct()
+        score = sim.scorer("jaro_winkler")("q", "key")
+    elif name == "token_sort_ratio":
+        pairs, score = _token_pairs(queries, keys, threshold, False), sim.scorer(name)("q", "key") / 100
+    else:
+        tokens = lambda df, c: df.select(c).distinct().select(c, F.explode(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: t != ""))).alias("token"))
+        shared = tokens(queries, "q").join(tokens(keys, "key"), "token").select("q", "key")
+        pairs, score = shared.union(_token_pairs(queries, keys, threshold, True)).distinct(), sim.scorer(name)("q", "key") / 100
+    return pairs.select("q", "key", F.round(score, 6).alias("score")).where(F.col("score") >= threshold)
+
+
+def by_algorithms(queries: DataFrame, keys: DataFrame, algorithms: tuple[str, ...] = ("all",), threshold: float = 0.7, most: int = 10) -> DataFrame:
+    """FUZ10: (q, key, algorithm, score, rank): each query's best keys by the algorithms asked for, from the threshold on.
+
+    Of a key that several algorithms find, the best score counts, ties by the
+    order of ALGORITHMS; of keys with equal scores the first by letters ranks
+    higher.  Candidates miss no pair at any threshold; lower ones only meet
+    more of them.  Phonetic pairs sound alike and have fixed scores.
+    """
+    names = ALGORITHMS if "all" in algorithms else tuple(algorithms)
+    wrong = set(names) - set(ALGORITHMS)
+    if wrong or not names:
+        raise ValueError(f"unsupported algorithms: {sorted(wrong)}")
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is above 0 and at most 1")
+    found = None
+    for place, name in enumerate(ALGORITHMS):
+        if name in names:
+            one = _similar(queries, keys, name, threshold).select("q", "key", F.struct((-F.col("score")).alias("s"), F.lit(place).alias("place"), F.lit(name).alias("algorithm")).alias("m"))
+            found = one if found is None else found.unionByName(one)
+    top = found.groupBy("q", "key").agg(F.min("m").alias("m")).select("q", "key", "m.algorithm", (-F.col("m.s")).alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "key")
+    return top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def scored(queries: DataFrame, keys: DataFrame, scorers: dict[str, float], least: float = 0.0) -> DataFrame:
     """(q, key, method, score): pairs that reach their method's threshold, scores from 0 to 100."""
     pairs = candidates(queries, keys, least)

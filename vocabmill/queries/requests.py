@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..operators import documents as do, stats as st
+from ..operators import documents as do, fuzzy as fz, stats as st
 from ..plans import enhanced as en, requests as rq
 from ..sources import remote
 from . import base as b
 from .clinical import READ, _read
-from .match import ALL_TIERS, ASKED, custom
+from .match import ALL_TIERS, ASKED, NAMES, _names, custom
 from .text import EXT01_SQL, term_sql
 
 
@@ -169,7 +169,39 @@ CON07_SQL = """WITH n AS (SELECT max(ts) + INTERVAL 10 MINUTE AS now FROM events
 r AS (SELECT user_id, event_type, props || event_id AS body, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, props || event_id DESC) AS k FROM events, n WHERE ts > now - INTERVAL 1 HOUR)
 SELECT a.user_id, a.event_type, r.body FROM a LEFT JOIN r ON r.user_id = a.user_id AND r.event_type = a.event_type AND k = 1"""
 
-QUERIES = {f.__name__: f for f in (lkp27_routed, ext01_mapped, ctx02_scored, ctx08_fallback, ctx13_with_fallback, agg06_jobs, agg08_batch_summary, con07_cached)}
+def _best_keys(spark, d, names):
+    found = fz.by_algorithms(*_names(spark, d), names, 0.7, 5)
+    return found.select("q", "key", "algorithm", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def fuz10_edits(spark, d):
+    """The five best condition names of each term by Levenshtein and Jaro-Winkler similarity of 0.7 or more."""
+    return _best_keys(spark, d, ("levenshtein", "jaro_winkler"))
+
+
+FUZ10_EDITS_SQL = f"""WITH {NAMES}, p AS (SELECT q, key, round(1 - levenshtein(q, key) / greatest(length(q), length(key))::DOUBLE, 6) AS l, round(jaro_winkler_similarity(q, key), 6) AS j FROM qs CROSS JOIN ks),
+r AS (SELECT q, key, CASE WHEN l >= j THEN 'levenshtein' ELSE 'jaro_winkler' END AS algorithm, greatest(l, j) AS score FROM p WHERE greatest(l, j) >= 0.7)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS rank FROM r) WHERE rank <= 5"""
+
+
+def lcs_sql(x: str, y: str) -> str:
+    """The length of the longest common subsequence: a row of the table for each letter of x, each cell the largest so far."""
+    step = f"list_transform(range(1, length({y}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i + 1], row[i] + CASE WHEN substr({y}, i, 1) = chr(c[1]) THEN 1 ELSE 0 END))))"
+    return f"list_reduce(list_prepend(list_transform(range(0, length({y}) + 1), lambda i: 0), list_transform(range(1, length({x}) + 1), lambda i: [unicode(substr({x}, i, 1))])), lambda row, c: list_prepend(0, {step}))[-1]"
+
+
+def fuz10_tokens(spark, d):
+    """The five best condition names of each term by the ratio of their sorted tokens."""
+    return _best_keys(spark, d, ("token_sort_ratio",))
+
+
+_BAG = "list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(length(x) - length(replace(x, c, '')), length(y) - length(replace(y, c, '')))))"
+FUZ10_TOKENS_SQL = f"""WITH {NAMES}, p AS (SELECT q, key, array_to_string(list_sort(list_filter(string_split(q, ' '), lambda t: t <> '')), ' ') AS x, array_to_string(list_sort(list_filter(string_split(key, ' '), lambda t: t <> '')), ' ') AS y FROM qs CROSS JOIN ks),
+n AS (SELECT * FROM p WHERE 2 * {_BAG} >= 0.7 * (length(x) + length(y))),
+r AS (SELECT q, key, 'token_sort_ratio' AS algorithm, round(2 * {lcs_sql('x', 'y')} / (length(x) + length(y))::DOUBLE, 6) AS score FROM n)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS rank FROM r WHERE score >= 0.7) WHERE rank <= 5"""
+
+QUERIES = {f.__name__: f for f in (lkp27_routed, ext01_mapped, ctx02_scored, ctx08_fallback, ctx13_with_fallback, agg06_jobs, agg08_batch_summary, con07_cached, fuz10_edits, fuz10_tokens)}
 SQL = {
     "lkp27_routed": LKP27_SQL,
     "ext01_mapped": EXT01_MAPPED_SQL,
@@ -179,4 +211,6 @@ SQL = {
     "agg06_jobs": AGG06_SQL,
     "agg08_batch_summary": AGG08_SQL,
     "con07_cached": CON07_SQL,
+    "fuz10_edits": FUZ10_EDITS_SQL,
+    "fuz10_tokens": FUZ10_TOKENS_SQL,
 }
