@@ -347,16 +347,70 @@ def _names(spark, d):
 NAMES = f"{b.TERMS}, {b.CONDITIONS}, qs AS (SELECT DISTINCT {b.collapse_sql('lower(term)')} AS q FROM terms WHERE trim(term) <> ''), ks AS (SELECT DISTINCT lower(term) AS key FROM conditions)"
 
 
+def lcs_sql(x: str, y: str) -> str:
+    """The length of the longest common subsequence: a row of the table for each letter of x, each cell the largest so far."""
+    step = f"list_transform(range(1, length({y}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i + 1], row[i] + CASE WHEN substr({y}, i, 1) = chr(c[1]) THEN 1 ELSE 0 END))))"
+    return f"list_reduce(list_prepend(list_transform(range(0, length({y}) + 1), lambda i: 0), list_transform(range(1, length({x}) + 1), lambda i: [unicode(substr({x}, i, 1))])), lambda row, c: list_prepend(0, {step}))[-1]"
+
+
+def bag_sql(x: str, y: str) -> str:
+    """How many letters, counted with repeats, two texts share: no fewer than any common subsequence has."""
+    return f"list_sum(list_transform(list_distinct(string_split({x}, '')), lambda c: least(length({x}) - length(replace({x}, c, '')), length({y}) - length(replace({y}, c, '')))))"
+
+
+def tokens_of_sql(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
+
+
+def sorted_sql(x: str) -> str:
+    return f"array_to_string(list_sort({tokens_of_sql(x)}), ' ')"
+
+
 def fuz02_library_scorers(spark, d):
     queries, keys = _names(spark, d)
     return fz.best_of(fz.scored(queries, keys, fz.library_scorers()))
 
 
+_RATIO = "100.0::DOUBLE * 2 * {m} / (length({x}) + length({y}))"
+_ONE = "trim(c || ' ' || array_to_string(list_sort(list_filter({own}, lambda t: NOT list_contains({other}, t))), ' '))"
+FUZ02_SQL = f"""WITH {NAMES},
+p AS (SELECT q, key, CASE WHEN length(q) > length(key) THEN key ELSE q END AS s, CASE WHEN length(q) > length(key) THEN q ELSE key END AS l, {sorted_sql('q')} AS x, {sorted_sql('key')} AS y,
+        list_distinct({tokens_of_sql('q')}) AS tq, list_distinct({tokens_of_sql('key')}) AS tk FROM qs CROSS JOIN ks WHERE key <> ''),
+t AS (SELECT *, array_to_string(list_sort(list_filter(tq, lambda t: list_contains(tk, t))), ' ') AS c, len(list_filter(tq, lambda t: list_contains(tk, t))) AS n FROM p),
+o AS (SELECT *, {_ONE.format(own='tq', other='tk')} AS one, {_ONE.format(own='tk', other='tq')} AS two FROM t),
+e AS (
+  SELECT q, key, 0 AS place, 'ratio' AS method, {_RATIO.format(m=lcs_sql('q', 'key'), x='q', y='key')} AS score, 90 AS least FROM p WHERE 2 * {bag_sql('q', 'key')} >= 0.9 * (length(q) + length(key))
+  UNION ALL SELECT q, key, 1, 'partial_ratio', 100.0::DOUBLE * list_max(list_transform(range(0, length(l) - length(s) + 1), lambda w: {lcs_sql('s', 'substr(l, w + 1, length(s))')})) / length(s), 95 FROM p WHERE {bag_sql('s', 'l')} >= 0.95 * length(s)
+  UNION ALL SELECT q, key, 2, 'token_sort_ratio', {_RATIO.format(m=lcs_sql('x', 'y'), x='x', y='y')}, 85 FROM p WHERE 2 * {bag_sql('x', 'y')} >= 0.85 * (length(x) + length(y))
+  UNION ALL SELECT q, key, 3, 'token_set_ratio', CASE WHEN n > 0 AND n IN (len(tq), len(tk)) THEN 100.0::DOUBLE
+      ELSE greatest(CASE WHEN n > 0 THEN {_RATIO.format(m='length(c)', x='c', y='one')} ELSE 0 END, CASE WHEN n > 0 THEN {_RATIO.format(m='length(c)', x='c', y='two')} ELSE 0 END,
+                    CASE WHEN 2 * {bag_sql('one', 'two')} >= 0.85 * (length(one) + length(two)) THEN {_RATIO.format(m=lcs_sql('one', 'two'), x='one', y='two')} ELSE 0 END) END, 85 FROM o)
+SELECT q, key, method, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, place, key) AS rn FROM e WHERE score >= least) WHERE rn = 1"""
+
+
+def matched_sql(pairs: str) -> str:
+    """Letters in matching blocks of pairs (q, key): the longest block, the first in q, then in key, and so on to its left and right."""
+    run = "list_min(list_transform(range(1, least(ahi - i, bhi - j) + 2), lambda k: CASE WHEN k <= least(ahi - i, bhi - j) AND substr(q, i + k, 1) = substr(key, j + k, 1) THEN 1000 ELSE k - 1 END))"
+    best = f"list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: [{run}, -i, -j]))))"
+    return f"""blocks AS (
+  SELECT q, key, 0::BIGINT AS alo, length(q)::BIGINT AS ahi, 0::BIGINT AS blo, length(key)::BIGINT AS bhi, 0::BIGINT AS size FROM {pairs}
+  UNION ALL
+  SELECT q, key, CASE side WHEN 1 THEN alo WHEN 2 THEN m[1] - m[2] ELSE 0 END, CASE side WHEN 1 THEN -m[2] WHEN 2 THEN ahi ELSE 0 END, CASE side WHEN 1 THEN blo WHEN 2 THEN m[1] - m[3] ELSE 0 END, CASE side WHEN 1 THEN -m[3] WHEN 2 THEN bhi ELSE 0 END, CASE WHEN side = 0 THEN m[1] ELSE 0 END
+  FROM (SELECT *, unnest([0, 1, 2]) AS side FROM (SELECT q, key, alo, ahi, blo, bhi, {best} AS m FROM blocks WHERE ahi > alo AND bhi > blo) WHERE m[1] > 0)),
+matched AS (SELECT q, key, sum(size)::BIGINT AS n FROM blocks GROUP BY q, key)"""
+
+
 def fuz03_difflib(spark, d):
     queries, keys = _names(spark, d)
     return fz.best_of(fz.scored(queries, keys, {"difflib_ratio": fv.THRESHOLDS["difflib"]}, least=0.8))
 
 
+_NEAR = "{pairs} WHERE 2 * " + bag_sql("q", "key") + " >= 0.8 * (length(q) + length(key))"
+FUZ03_DIFFLIB_SQL = f"""WITH RECURSIVE {NAMES}, near AS (SELECT q, key FROM {_NEAR.format(pairs='qs CROSS JOIN ks')}), {matched_sql('near')},
+r AS (SELECT q, key, 2.0::DOUBLE * n / (length(q) + length(key)) AS ratio FROM matched)
+SELECT q, key, 'difflib_ratio' AS method, ratio * 1 AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ratio DESC, key) AS rn FROM r WHERE ratio >= 0.8) WHERE rn = 1"""
+
+
 def fuz03_jaccard(spark, d):
     queries, keys = _names(spark, d)
     return fz.token_jaccard(queries, keys).select("q", "key", F.round("jaccard", 6).alias("jaccard"))
@@ -387,6 +441,14 @@ def fuz07_search(spark, d):
     return fz.search(b.terms(spark, d), b.conditions(spark, d))
 
 
+FUZ07_SQL = f"""WITH RECURSIVE {b.TERMS}, {b.CONDITIONS}, a AS (SELECT term_id, {b.collapse_sql('lower(term)')} AS q FROM terms),
+v AS (SELECT term_id, q, unnest({variations_sql('q')}) AS v FROM a), k AS (SELECT lower(term) AS key, min(id) AS id FROM conditions GROUP BY 1),
+h AS (SELECT v, key, row_number() OVER (PARTITION BY v ORDER BY id) AS n FROM (SELECT DISTINCT v FROM v WHERE length(v) >= 3) JOIN k ON contains(key, v)),
+pairs AS (SELECT DISTINCT term_id, q, key FROM v JOIN h ON h.v = v.v AND n <= 20), near AS (SELECT DISTINCT q, key FROM {_NEAR.format(pairs='pairs')}), {matched_sql('near')},
+r AS (SELECT term_id, code, max(round(2.0::DOUBLE * n / (length(m.q) + length(m.key)), 6)) AS score FROM matched m JOIN pairs p ON p.q = m.q AND p.key = m.key JOIN conditions c ON lower(c.term) = m.key WHERE round(2.0::DOUBLE * n / (length(m.q) + length(m.key)), 6) >= 0.8 GROUP BY 1, 2)
+SELECT term_id, code, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY score DESC, code) AS rank FROM r) WHERE rank <= 10"""
+
+
 def fuz09_add_synonyms(spark, d):
     sets = synonyms(spark).groupBy("set_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "synonym"))), lambda x: x.synonym).alias("synonyms"))
     added = b.literal(spark, [("aspirin", ["acetylsalicylic acid", "asa"]), ("new term", ["fresh term"])], "term string, synonyms array<string>")
@@ -434,6 +496,9 @@ SQL = {
     "hie06_panel": HIE06_SQL,
     "hie07_drug_details": HIE07_SQL,
     "fuz01_variation": FUZ01_SQL,
+    "fuz02_library_scorers": FUZ02_SQL,
+    "fuz03_difflib": FUZ03_DIFFLIB_SQL,
+    "fuz07_search": FUZ07_SQL,
     "fuz03_jaccard": FUZ03_SQL,
     "fuz05_tfidf_cosine": FUZ05_SQL,
     "fuz10_levenshtein": f"WITH {NAMES} SELECT q, key, levenshtein(q, key)::BIGINT AS distance FROM qs JOIN ks ON levenshtein(q, key) <= 2",

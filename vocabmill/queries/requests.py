@@ -10,7 +10,7 @@ from ..plans import enhanced as en, requests as rq
 from ..sources import remote
 from . import base as b
 from .clinical import READ, _read
-from .match import ALL_TIERS, ASKED, NAMES, _names, custom
+from .match import ALL_TIERS, ASKED, NAMES, _names, bag_sql, custom, lcs_sql, sorted_sql
 from .text import EXT01_SQL, term_sql
 
 
@@ -184,20 +184,13 @@ r AS (SELECT q, key, CASE WHEN l >= j THEN 'levenshtein' ELSE 'jaro_winkler' END
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS rank FROM r) WHERE rank <= 5"""
 
 
-def lcs_sql(x: str, y: str) -> str:
-    """The length of the longest common subsequence: a row of the table for each letter of x, each cell the largest so far."""
-    step = f"list_transform(range(1, length({y}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i + 1], row[i] + CASE WHEN substr({y}, i, 1) = chr(c[1]) THEN 1 ELSE 0 END))))"
-    return f"list_reduce(list_prepend(list_transform(range(0, length({y}) + 1), lambda i: 0), list_transform(range(1, length({x}) + 1), lambda i: [unicode(substr({x}, i, 1))])), lambda row, c: list_prepend(0, {step}))[-1]"
-
-
 def fuz10_tokens(spark, d):
     """The five best condition names of each term by the ratio of their sorted tokens."""
     return _best_keys(spark, d, ("token_sort_ratio",))
 
 
-_BAG = "list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: least(length(x) - length(replace(x, c, '')), length(y) - length(replace(y, c, '')))))"
-FUZ10_TOKENS_SQL = f"""WITH {NAMES}, p AS (SELECT q, key, array_to_string(list_sort(list_filter(string_split(q, ' '), lambda t: t <> '')), ' ') AS x, array_to_string(list_sort(list_filter(string_split(key, ' '), lambda t: t <> '')), ' ') AS y FROM qs CROSS JOIN ks),
-n AS (SELECT * FROM p WHERE 2 * {_BAG} >= 0.7 * (length(x) + length(y))),
+FUZ10_TOKENS_SQL = f"""WITH {NAMES}, p AS (SELECT q, key, {sorted_sql('q')} AS x, {sorted_sql('key')} AS y FROM qs CROSS JOIN ks),
+n AS (SELECT * FROM p WHERE 2 * {bag_sql('x', 'y')} >= 0.7 * (length(x) + length(y))),
 r AS (SELECT q, key, 'token_sort_ratio' AS algorithm, round(2 * {lcs_sql('x', 'y')} / (length(x) + length(y))::DOUBLE, 6) AS score FROM n)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS rank FROM r WHERE score >= 0.7) WHERE rank <= 5"""
 
