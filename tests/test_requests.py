@@ -138,3 +138,9 @@ def test_unknown_algorithms(spark):
     for names, threshold in ((("soundly",), 0.7), ((), 0.7), (("all",), 0.0)):
         with pytest.raises(ValueError):
             fz.by_algorithms(rows, rows.withColumnRenamed("q", "key"), names, threshold)
+
+
+def test_engine_by_algorithms(spark, engine):
+    terms = spark.createDataFrame([(0, "Asthmaa"), (1, "mellitus diabetes"), (2, " "), (3, "nothing like it")], "term_id long, term string")
+    got = {(r.term_id, r["rank"]): (r.code, r.algorithm) for r in engine.fuzzy_matches(terms, "snomed", ("levenshtein", "token_sort_ratio")).collect()}
+    assert got[0, 1] == ("195967001", "token_sort_ratio") and got[1, 1] == ("73211009", "token_sort_ratio") and not {2, 3} & {k[0] for k in got}

@@ -6,8 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import normalize as nz
 from ..functions.fixed_values import MAX_BATCH_TERMS, SYSTEM_URIS
-from ..operators import stats
+from ..operators import fuzzy, stats
 from ..sources import readers, writers
 from . import requests
 from .cascade import map_terms
@@ -25,13 +26,13 @@ class Engine:
     rules: DataFrame | None = None
     providers: list[DataFrame] = field(default_factory=list)
 
-    def map_terms(self, terms: DataFrame, systems: list[str] | None = None, threshold: float = 0.0, max_results: int = 100, include_fuzzy: bool = True) -> DataFrame:
-        """Mappings of terms (term_id, term) from threshold on."""
+    def map_terms(self, terms: DataFrame, systems: list[str] | None = None, threshold: float = 0.0, max_results: int = 100, include_fuzzy: bool = True, thresholds: dict[str, float] | None = None) -> DataFrame:
+        """Mappings of terms (term_id, term) from threshold on; thresholds: those of the fuzzy tiers that differ from the defaults."""
         wrong = set(systems or ()) - set(SYSTEM_URIS)
         if wrong:
             raise ValueError(f"unsupported systems: {sorted(wrong)}")
         own = {s: c for s, c in self.concepts.items() if not systems or s in systems}
-        found = map_terms(terms, own, self.synonyms, self.custom, self.providers, include_fuzzy)
+        found = map_terms(terms, own, self.synonyms, self.custom, self.providers, include_fuzzy, thresholds)
         return stats.legacy_filter(stats.valid(found.where("found")), None, threshold, max_results)
 
     def map_term(self, term: str, **options) -> list[dict]:
@@ -46,6 +47,17 @@ class Engine:
             raise ValueError(f"a batch has 1 to {MAX_BATCH_TERMS} terms")
         return self.map_terms(self.spark.createDataFrame(list(enumerate(terms)), "term_id long, term string"), **options)
 
+    def fuzzy_matches(self, terms: DataFrame, system: str, algorithms: tuple[str, ...] = ("all",), threshold: float = 0.7, max_results: int = 10) -> DataFrame:
+        """(term_id, code, display, algorithm, score, rank): the concepts nearest to each term by the algorithms asked for.
+
+        A term of which no concept is near enough has no row.  Concepts with
+        the same name are given by the last one, as in the fuzzy index.
+        """
+        asked = terms.select("term_id", nz.clean(F.col("term")).alias("q")).where("q <> ''")
+        named = self.concepts[system].groupBy(F.lower("term").alias("key")).agg(F.max(F.struct("id", "code", "display")).alias("m")).select("key", "m.code", "m.display")
+        near = fuzzy.by_algorithms(asked.select("q"), named.select("key"), algorithms, threshold, max_results)
+        return asked.join(near, "q").join(named, "key").select("term_id", "code", "display", "algorithm", "score", "rank")
+
     def map_requests(self, asked: DataFrame, include_fuzzy: bool = True) -> DataFrame:
         """Requests (term_id, term, system[, threshold]), each with its own vocabularies; errors are rows."""
         return requests.routed(asked, self.concepts, synonyms=self.synonyms, custom=self.custom, providers=self.providers, include_fuzzy=include_fuzzy)

@@ -202,6 +202,55 @@ def lkp24_26_with_fuzzy(spark, d):
     return map_terms(b.terms(spark, d), concepts, synonyms(spark), custom(spark))
 
 
+def _synonym_tiers() -> str:
+    """Terms that are synonyms of a set, looked up as its first member, in each vocabulary."""
+    relevant = lambda system: f"SELECT * FROM synonyms WHERE len(list_filter({b.lst(fv.SYNONYM_KEYS[system])}, lambda p: contains(lower(set_key), p))) > 0 OR ends_with(set_key, '_syn')"
+    prims = " UNION ALL ".join(f"SELECT a.term_id, '{system}' AS system, p.synonym AS q, row_number() OVER (PARTITION BY a.term_id ORDER BY s.set_position, s.set_key) AS rn FROM cased a JOIN ({relevant(system)}) s ON s.synonym = a.q JOIN synonyms p ON p.set_key = s.set_key AND p.position = 0" for system in ("snomed", "loinc", "rxnorm"))
+    return f"primaries AS (SELECT * FROM ({prims}) WHERE rn = 1)"
+
+
+def _with_fuzzy_sql() -> str:
+    """All cascades, synonyms first looked up as terms of their own with negative ids, and the fuzzy tiers for what is left."""
+    systems = ("snomed", "loinc", "rxnorm")
+    tables = dict(zip(systems, ("conditions", "labs", "drugs")))
+    names = " UNION ALL ".join(f"SELECT '{s}' AS system, lower(term) AS t, max(id) AS id FROM {t} GROUP BY 2" for s, t in tables.items())
+    shown = " UNION ALL ".join(f"SELECT '{s}' AS system, id, code, display FROM {t}" for s, t in tables.items())
+    grams = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
+    tiers = ALL_TIERS.replace("asked", "looked").replace("lab_looked", "lab_asked").replace("drug_looked", "drug_asked")
+    return f"""WITH RECURSIVE {b.TERMS}, cased AS (SELECT term_id, term, {term_sql('term')} AS q FROM terms), {SYN}, {_synonym_tiers()},
+words AS (SELECT DISTINCT q FROM primaries), numbered AS (SELECT q, -row_number() OVER (ORDER BY q) AS n FROM words),
+looked AS (SELECT * FROM cased UNION ALL SELECT n, NULL, q FROM numbered), {tiers},
+custom_hits AS (SELECT * FROM top WHERE via IN ('custom', 'abbreviation')),
+synonym_hits AS (SELECT p.term_id, p.system, x.code, x.display FROM primaries p JOIN numbered n ON n.q = p.q JOIN top x ON x.term_id = n.n AND x.system = p.system AND x.via = 'lookup'),
+found AS (SELECT term_id, system, code, display, confidence, match_type, via FROM custom_hits WHERE term_id >= 0
+  UNION ALL SELECT term_id, system, code, display, 0.95::DOUBLE, 'synonym', 'synonym' FROM synonym_hits s WHERE NOT EXISTS (SELECT 1 FROM custom_hits c WHERE c.term_id = s.term_id AND c.system = s.system)
+  UNION ALL SELECT term_id, system, code, display, confidence, match_type, via FROM top t WHERE via = 'lookup' AND term_id >= 0 AND NOT EXISTS (SELECT 1 FROM synonym_hits s WHERE s.term_id = t.term_id AND s.system = t.system)),
+names AS ({names}), shown AS ({shown}),
+idx AS (SELECT system, v AS key, max(id) AS id FROM (SELECT system, id, unnest({variations_sql('t')}) AS v FROM names) GROUP BY 1, 2),
+rest AS (SELECT term_id, s.system, {b.collapse_sql('lower(term)')} AS t FROM cased c CROSS JOIN systems s WHERE c.q <> '' AND NOT EXISTS (SELECT 1 FROM found f WHERE f.term_id = c.term_id AND f.system = s.system)),
+spread AS (SELECT term_id, system, t, unnest({variations_sql('t')}) AS v FROM rest),
+varied AS (SELECT * FROM (SELECT s.term_id, s.system, i.id, row_number() OVER (PARTITION BY s.term_id, s.system ORDER BY s.v <> s.t, s.v) AS rn FROM spread s JOIN idx i ON i.system = s.system AND i.key = s.v) WHERE rn = 1),
+hard AS (SELECT DISTINCT r.system, r.t AS q FROM rest r WHERE NOT EXISTS (SELECT 1 FROM varied v WHERE v.term_id = r.term_id AND v.system = r.system)),
+near AS (SELECT DISTINCT q, key FROM hard h JOIN idx i ON i.system = h.system WHERE 2 * least(length(q), length(key)) >= 0.8 * (length(q) + length(key)) AND 2 * {bag_sql('q', 'key')} >= 0.8 * (length(q) + length(key))), {matched_sql('near')},
+kt AS (SELECT system, t AS key, {tokens_sql('t')} AS t FROM (SELECT system, t FROM names)), kg AS (SELECT system, key, g, count(*) AS tf FROM (SELECT system, key, unnest({grams}) AS g FROM kt) GROUP BY 1, 2, 3),
+sizes AS (SELECT system, count(*) AS n FROM names GROUP BY 1), idf AS (SELECT g.system, g, ln((1 + any_value(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM kg g JOIN sizes z ON z.system = g.system GROUP BY 1, 2),
+kw AS (SELECT k.system, key, k.g, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k.system, key)) AS n FROM kg k JOIN idf i ON i.system = k.system AND i.g = k.g),
+qg AS (SELECT system, q, g, count(*) AS tf FROM (SELECT system, q, unnest({grams}) AS g FROM (SELECT system, q, {tokens_sql('q')} AS t FROM hard)) GROUP BY 1, 2, 3),
+qw AS (SELECT k.system, q, k.g, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k.system, q)) AS n FROM qg k JOIN idf i ON i.system = k.system AND i.g = k.g),
+angles AS (SELECT a.system, q, key, round(sum(a.w / a.n * k.w / k.n), 6) AS c FROM qw a JOIN kw k ON k.system = a.system AND k.g = a.g GROUP BY 1, 2, 3),
+split AS (SELECT system, q, list_distinct({tokens_of_sql('q')}) AS x FROM hard), cut AS (SELECT system, key, list_distinct({tokens_of_sql('key')}) AS y FROM idx),
+tokens AS (SELECT s.system, q, key, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE AS j FROM split s JOIN cut c ON c.system = s.system AND list_has_any(x, y)),
+rated AS (SELECT h.system, h.q, m.key, 2.0::DOUBLE * m.n / (length(m.q) + length(m.key)) * 100 AS score, 0 AS place, 'levenshtein' AS match_type FROM hard h JOIN matched m ON m.q = h.q JOIN idx i ON i.system = h.system AND i.key = m.key WHERE 2.0::DOUBLE * m.n / (length(m.q) + length(m.key)) >= 0.8
+  UNION ALL SELECT system, q, key, j * 100, 1, 'token' FROM tokens WHERE j >= 0.7 UNION ALL SELECT system, q, key, c * 100, 2, 'cosine' FROM angles WHERE c >= 0.7),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY system, q ORDER BY score DESC, place, key) AS rn FROM rated) WHERE rn = 1),
+every_one AS (SELECT * FROM found
+  UNION ALL SELECT v.term_id, v.system, s.code, s.display, 1.0::DOUBLE, 'variation', 'fuzzy' FROM varied v JOIN shown s ON s.system = v.system AND s.id = v.id
+  UNION ALL SELECT r.term_id, r.system, s.code, s.display, b.score / 100, b.match_type, 'fuzzy' FROM rest r JOIN best b ON b.system = r.system AND b.q = r.t JOIN idx i ON i.system = b.system AND i.key = b.key JOIN shown s ON s.system = i.system AND s.id = i.id
+    WHERE NOT EXISTS (SELECT 1 FROM varied v WHERE v.term_id = r.term_id AND v.system = r.system))
+SELECT t.term_id, s.system, e.code IS NOT NULL AS found, e.code, e.display, e.confidence, e.match_type, e.via
+FROM terms t CROSS JOIN systems s LEFT JOIN every_one e ON e.term_id = t.term_id AND e.system = s.system"""
+
+
 def con03_common_conditions(spark, d):
     terms = b.terms(spark, d)
     known = remote.common_conditions(spark).withColumn("system", F.lit("snomed"))
@@ -486,6 +535,7 @@ SQL = {
     "lkp21_abbreviation": f"WITH {b.TERMS}, {ABBREVIATIONS} SELECT term_id, position::BIGINT AS position, expanded_term FROM terms JOIN abbr ON lower(trim(term)) = short",
     "lkp22_similar_labs": LKP22_SQL,
     "lkp24_26_all_systems": ALL_SQL,
+    "lkp24_26_with_fuzzy": _with_fuzzy_sql(),
     "con03_common_conditions": CON03_SQL,
     "con07_request_key": "SELECT event_id, md5(event_type || '_search_{\"term\":\"' || user_id || '\"}') AS key FROM events",
     "hie01_hierarchy_info": HIE01_SQL,
