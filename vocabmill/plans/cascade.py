@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import normalize as nz
@@ -70,12 +73,14 @@ def map_terms(terms: DataFrame, concepts: dict[str, DataFrame], synonyms: DataFr
     from the defaults, see fuzzy_thresholds.  Blank terms are not found.  Confidence and match
     type are those of the tier that hit.
     """
+    if not concepts:
+        raise ValueError("no vocabulary is given")
     least = fuzzy_thresholds(thresholds)
     tiers = {"snomed": lk.condition_tiers, "loinc": lk.lab_tiers, "rxnorm": lk.drug_tiers}
     asked = staged(terms.select("term_id", "term", nz.normalize_term(F.col("term")).alias("q")).where("q <> ''"))
-    out = None
-    for system, own in concepts.items():
-        steps = []
+
+    def one(system: str) -> DataFrame:
+        own, steps = concepts[system], []
         if custom is not None:
             hits = lk.custom_tier(asked, custom.where(F.col("system") == system))
             steps.append(hits.select("term_id", F.lit(system).alias("system"), F.lit(True).alias("found"), "code", "display", F.lit(1.0).alias("confidence"), F.lit("custom").alias("match_type"), F.lit("custom").alias("via"), F.lit(-3).alias("tier")))
@@ -98,6 +103,9 @@ def map_terms(terms: DataFrame, concepts: dict[str, DataFrame], synonyms: DataFr
             hits = hits.unionByName(_fuzzy(left, own, system, least).select(*RESULT))
         missing = terms.select("term_id").withColumn("system", F.lit(system)).join(hits.select("term_id"), "term_id", "left_anti")
         none = missing.select("term_id", "system", F.lit(False).alias("found"), *[F.lit(None).cast(t).alias(c) for c, t in zip(RESULT[3:], ("string", "string", "double", "string", "string"))])
-        whole = hits.unionByName(none)
-        out = whole if out is None else out.unionByName(whole)
-    return out
+        return hits.unionByName(none)
+
+    # the vocabularies don't wait for each other: their steps are many small jobs
+    with ThreadPoolExecutor(max(1, len(concepts))) as pool:
+        found = list(pool.map(one, concepts))
+    return reduce(DataFrame.unionByName, found)

@@ -6,6 +6,9 @@ is asked for it, and the answers are joined back.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed_values import SYSTEM_URIS
@@ -27,12 +30,13 @@ def system_name(system: Column) -> Column:
 def _answers(asked: DataFrame, concepts: dict[str, DataFrame], **options) -> DataFrame:
     """(system, term, *ANSWER) of the distinct (system, term) rows of asked; each vocabulary's cascade sees its own terms only."""
     distinct = staged(asked.select("system", "term").distinct())
-    out = None
-    for system, own in concepts.items():
+
+    def one(system: str) -> DataFrame:
         terms = distinct.where(F.col("system") == system).select(F.col("term").alias("term_id"), "term")
-        found = map_terms(terms, {system: own}, **options).select("system", F.col("term_id").alias("term"), *ANSWER)
-        out = found if out is None else out.unionByName(found)
-    return out
+        return map_terms(terms, {system: concepts[system]}, **options).select("system", F.col("term_id").alias("term"), *ANSWER)
+
+    with ThreadPoolExecutor(max(1, len(concepts))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, concepts))
 
 
 def routed(requests: DataFrame, concepts: dict[str, DataFrame], **options) -> DataFrame:
