@@ -293,7 +293,7 @@ word_refs AS (SELECT h.lang, word, n::DOUBLE / total AS q FROM held h JOIN sizes
 full_refs AS (SELECT * FROM word_refs UNION ALL SELECT s.lang, '', 1 - coalesce(sum(q), 0) FROM sizes s LEFT JOIN word_refs w ON s.lang = w.lang GROUP BY s.lang),
 word_p AS (
   SELECT r, word, count(*)::DOUBLE / any_value(n) AS p
-  FROM (SELECT r, n, CASE WHEN t IN (SELECT word FROM common) THEN t ELSE '' END AS word FROM (SELECT r, n_words AS n, unnest(ws) AS t FROM base WHERE n_words >= 100)) GROUP BY r, word),
+  FROM (SELECT r, n, CASE WHEN t IN (SELECT word FROM common) THEN t ELSE '' END AS word FROM (SELECT r, n_words AS n, unnest(ws) AS t FROM base WHERE n_words >= 150)) GROUP BY r, word),
 word_d AS (
   SELECT r, min(v) AS v FROM (
     SELECT p.r, s.lang, sum(p / 2 * log2(p / ((p + coalesce(q, 0)) / 2)) + CASE WHEN q > 0 THEN q / 2 * log2(q / ((p + q) / 2)) ELSE 0 END) + greatest(0, 1 - sum(coalesce(q, 0))) / 2 AS v
