@@ -50,6 +50,8 @@ def test_context(spark):
     rows = spark.createDataFrame([("patient denies any history of chest pain",), ("patient is feeling well today",), ("possible copd, lung and asthma",)], "x string")
     got = rows.select(cx.modifiers(F.col("x")).alias("m"), cx.domain(F.col("x")).alias("d")).collect()
     assert got[0].m == ["negation", "past_history"] and got[1].d == "general" and (got[2].m, got[2].d) == (["uncertainty"], "pulmonology")
+    ties = spark.createDataFrame([(0, "lung and heart"), (1, "heart, lung and asthma"), (2, ""), (3, None)], "i int, x string")
+    assert [r.d for r in ties.orderBy("i").select(cx.domain(F.col("x")).alias("d")).collect()] == ["cardiology", "pulmonology", "general", None]
 
 
 @pytest.mark.parametrize("context, term, cue", [("patient denies chest pain", "chest pain", "denies"), ("no fever but chest pain", "chest pain", None), ("denies fever. chest pain", "chest pain", None), ("no evidence of acute asthma", "asthma", "no evidence of"), ("has asthma", "asthma", None), ("asthma", "gout", None), ("not one two three four five six asthma", "asthma", None)])

@@ -43,12 +43,9 @@ def domain_counts(text: Column) -> dict[str, Column]:
 
 def domain(text: Column) -> Column:
     """CTX04: the domain with most pattern matches, the first of equals; else general."""
-    counts = domain_counts(text)
-    most = F.greatest(*counts.values())
-    out = F.when(most == 0, "general")
-    for name, n in counts.items():
-        out = out.when(n == most, name)
-    return out
+    seen = [F.struct(n.alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, n) in enumerate(domain_counts(text).items())]
+    none = F.struct(F.lit(0).alias("n"), F.lit(1).alias("place"), F.lit("general").alias("name"))  # above other zeros
+    return F.when(text.isNotNull(), F.greatest(none, *seen)["name"])  # names each count once, however often the domain is asked for
 
 
 def word_count(text: Column) -> Column:
