@@ -1,6 +1,9 @@
 """Operators on small literal tables."""
 
 import json
+import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -301,3 +304,52 @@ def test_xlsx_drops_no_row(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(writers, "SHEET_ROWS", 10, raising=False)
     with pytest.raises(ValueError, match="rows"):
         writers.documents(spark.range(11), str(tmp_path / "x.xlsx"), "xlsx")
+
+
+def _bags(spark, seed, n, column):
+    """Random short names over few tokens, of which the first is in most names."""
+    draw = random.Random(seed)
+    made = {" ".join(["acute"] * (draw.random() < 0.8) + draw.choices("abc def ghi jkl mno pqr stu vwx yza bcd".split(), k=draw.randint(0, 5))) for _ in range(n)} | {"", "acute"}
+    return sorted(made), spark.createDataFrame([(x,) for x in sorted(made)] + [(None,)], f"{column} string")
+
+
+@pytest.mark.parametrize("least", [0.4, 0.7, 1.0])
+def test_token_pairs_against_all_pairs(spark, least):
+    qs, queries = _bags(spark, 1, 40, "q")
+    ks, keys = _bags(spark, 2, 80, "key")
+    want = set()
+    for x in qs:
+        for y in ks:
+            a, b = set(x.split()), set(y.split())
+            if a and b and len(a & b) / len(a | b) >= least:
+                want.add((x, y, round(len(a & b) / len(a | b), 9)))
+    assert want and {(r.q, r.key, round(r.jaccard, 9)) for r in fz.token_jaccard(queries, keys, least).collect()} == want
+
+
+@pytest.mark.parametrize("least", [0.3, 0.7, 0.95])
+def test_cosine_against_all_pairs(spark, least):
+    qs, queries = _bags(spark, 3, 40, "q")
+    ks, keys = _bags(spark, 4, 80, "key")
+
+    def grams(x):
+        t = x.split()
+        return t + [f"{a} {b}" for a, b in zip(t, t[1:])]
+
+    n, df = len(ks), {}
+    for y in ks:
+        for g in set(grams(y)):
+            df[g] = df.get(g, 0) + 1
+
+    def unit(x):
+        raw = {g: c * (math.log((1 + n) / (1 + df[g])) + 1) for g, c in Counter(grams(x)).items() if g in df}
+        size = math.sqrt(sum(w * w for w in raw.values()))
+        return {g: w / size for g, w in raw.items()}
+
+    want, vectors = {}, {y: unit(y) for y in ks}
+    for x in qs:
+        own = unit(x)
+        best = min(((-round(sum(w * v.get(g, 0) for g, w in own.items()), 6), y) for y, v in vectors.items()), default=(0, ""))
+        if -best[0] >= least:
+            want[x] = (best[1], -best[0])
+    found = {r.q: (r.key, r.cosine) for r in fz.cosine(queries, fz.tfidf(keys.where("key IS NOT NULL")), least).collect()}
+    assert want and found == want

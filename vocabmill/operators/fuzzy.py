@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv, normalize as nz, similarity as sim
 
+#: Room for rounding where candidates are bounded.
+EPSILON = 1e-5
+
 
 def index(concepts: DataFrame) -> DataFrame:
     """SRC03: (variation, id, code, display); of equal variations the last concept's.
@@ -211,12 +214,24 @@ def library_scorers() -> dict[str, float]:
 
 
 def token_jaccard(queries: DataFrame, keys: DataFrame, least: float = fv.THRESHOLDS["jaccard"]) -> DataFrame:
-    """FUZ03: (q, key, jaccard) of token sets; pairs meet on a shared token."""
+    """FUZ03: (q, key, jaccard) of token sets of at least that Jaccard similarity.
+
+    With tokens in one order, the keys' rarest first, two such sets share one
+    of their first ``n - ceil(least * n) + 1`` tokens.  Pairs meet on those, so
+    a token that many keys hold brings few of them together.
+    """
     tokens = lambda c: F.array_distinct(F.filter(F.split(nz.collapse(F.lower(c)), " "), lambda t: t != ""))
-    a = queries.select("q").distinct().withColumn("qt", tokens("q"))
-    b = keys.select("key").distinct().withColumn("kt", tokens("key"))
-    pairs = a.withColumn("t", F.explode("qt")).join(b.withColumn("t", F.explode("kt")), "t").select("q", "key", "qt", "kt").distinct()
-    return pairs.select("q", "key", sim.jaccard(F.col("qt"), F.col("kt")).alias("jaccard")).where(F.col("jaccard") >= least)
+    a = queries.select("q").distinct().withColumn("t", F.explode(tokens("q")))
+    b = keys.select("key").distinct().withColumn("t", F.explode(tokens("key")))
+    often = b.groupBy("t").agg(F.count("*").alias("df"))
+
+    def ordered(rows: DataFrame, key: str, name: str) -> DataFrame:
+        known = rows.join(often, "t", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
+        first = F.size("o") - F.ceil(F.size("o") * least - EPSILON) + 1
+        return known.select(key, F.transform("o", lambda x: x.t).alias(name), F.explode(F.transform(F.slice("o", 1, F.greatest(first, F.lit(1)).cast("int")), lambda x: x.t)).alias("t"))
+
+    pairs = ordered(a, "q", "qt").join(ordered(b, "key", "kt"), "t").where(F.least(F.size("qt"), F.size("kt")) >= F.greatest(F.size("qt"), F.size("kt")) * least - EPSILON)
+    return pairs.select("q", "key", "qt", "kt").distinct().select("q", "key", sim.jaccard(F.col("qt"), F.col("kt")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def _weights(texts: DataFrame, key: str, idf: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -236,11 +251,34 @@ def tfidf(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _weights(keys, "key", None)
 
 
+def _vectors(weights: DataFrame, key: str, idf: DataFrame, least: float) -> DataFrame:
+    """(key, v, n): a text's (idf, gram, w), the commonest grams first, of which the first n are shorter than ``least`` together."""
+    v = weights.join(idf, "gram").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idf", "gram", "w"))).alias("v"))
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    add = lambda acc, x: F.struct((acc.s + x.w * x.w).alias("s"), (acc.n + (acc.s + x.w * x.w < max(least, 0.0) ** 2).cast("int")).alias("n"))
+    return v.withColumn("n", F.aggregate("v", none, add, lambda acc: acc.n))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    weights = F.map_from_entries(F.transform(b, lambda x: F.struct(x.gram, x.w)))
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.w * F.coalesce(F.try_element_at(weights, x.gram), F.lit(0.0)))
+
+
 def cosine(queries: DataFrame, fitted: tuple[DataFrame, DataFrame], least: float = fv.THRESHOLDS["cosine"]) -> DataFrame:
-    """FUZ05: (q, key, cosine): each query's nearest key, ties by letters, from ``least`` on."""
+    """FUZ05: (q, key, cosine): each query's nearest key, ties by letters, from ``least`` on.
+
+    Vectors have length 1, so what two of them share among grams that are
+    shorter than ``least`` together can't suffice.  Both leave out their
+    commonest grams up to that length and meet on the others; the whole
+    vectors decide.
+    """
     weights, idf = fitted
     mine, _ = _weights(queries, "q", idf)
-    sums = mine.withColumnRenamed("w", "wq").join(weights, "gram").groupBy("q", "key").agg(F.round(F.sum(F.col("wq") * F.col("w")), 6).alias("cosine"))
+    a, b = _vectors(mine, "q", idf, least - EPSILON), _vectors(weights, "key", idf, least - EPSILON)
+    rare = lambda df, key: df.select(key, F.explode(F.transform(F.slice("v", F.col("n") + 1, F.size("v")), lambda x: x.gram)).alias("gram"))
+    pairs = rare(a, "q").join(rare(b, "key"), "gram").select("q", "key").distinct()
+    met = pairs.join(a.select("q", F.col("v").alias("va")), "q").join(b.select("key", F.col("v").alias("vb")), "key")
+    sums = met.select("q", "key", F.round(_dot(F.col("va"), F.col("vb")), 6).alias("cosine"))
     return sums.where(F.col("cosine") >= least).groupBy("q").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "key")).alias("m")).select("q", "m.key", (-F.col("m.c")).alias("cosine"))
 
 
