@@ -197,8 +197,15 @@ def by_algorithms(queries: DataFrame, keys: DataFrame, algorithms: tuple[str, ..
 
 
 def scored(queries: DataFrame, keys: DataFrame, scorers: dict[str, float], least: float = 0.0) -> DataFrame:
-    """(q, key, method, score): pairs that reach their method's threshold, scores from 0 to 100."""
-    pairs = candidates(queries, keys, least)
+    """(q, key, method, score): pairs that reach their method's threshold, scores from 0 to 100.
+
+    The difflib ratio counts letters that both texts have, so if nothing else
+    is asked for, pairs meet on rare letters.
+    """
+    if set(scorers) == {"difflib_ratio"}:
+        pairs = letter_candidates(queries, keys, F.ceil((max(least, scorers["difflib_ratio"]) - _ROUNDING) * (F.col("a") + F.col("b")) / 2))
+    else:
+        pairs = candidates(queries, keys, least)
     columns = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("method"), sim.scorer(n)("q", "key").alias("score"), F.lit(t).alias("least")) for i, (n, t) in enumerate(scorers.items())]
     return pairs.select("q", "key", F.explode(F.array(*columns)).alias("x")).select("q", "key", "x.*").where("score >= least")
 
