@@ -77,10 +77,10 @@ def lookup(terms: DataFrame, providers: list[DataFrame], systems: DataFrame) ->
     """
     if not providers:
         return terms.sparkSession.createDataFrame([], "term_id long, system string, code string, display string, confidence double, source string")
-    asked = terms.select("term_id", F.lower(F.trim("term")).alias("term")).join(F.broadcast(systems.select("system")))
+    asked = terms.select("term_id", F.lower(F.trim("term")).alias("term"))
     found = None
     for place, p in enumerate(providers):
-        hits = asked.join(p, ["system", "term"]).select("term_id", "system", F.struct(F.lit(place).alias("place"), "code", "display").alias("m"))
+        hits = asked.join(p.join(systems.select("system"), "system", "left_semi"), "term").select("term_id", "system", F.struct(F.lit(place).alias("place"), "code", "display").alias("m"))
         found = hits if found is None else found.unionByName(hits)
     first = found.groupBy("term_id", "system").agg(F.min("m").alias("m"))
     return first.select("term_id", "system", "m.code", "m.display", F.lit(CONFIDENCE).alias("confidence"), F.concat(F.lit("provider_"), F.col("m.place").cast("string")).alias("source"))
