@@ -116,7 +116,9 @@ def drug_search(terms: DataFrame, responses: DataFrame, suggestions: DataFrame,
     again = asked.join(known, "term", "left_anti").join(suggestions, "term").join(known.withColumnRenamed("term", "suggestion"), "suggestion")
     respelled = again.groupBy("term_id").agg(F.min(F.struct("position", "suggestion")).alias("m")).select("term_id", F.col("m.suggestion").alias("term"), F.col("m.suggestion").alias("spelled"))
     every = asked.withColumn("spelled", F.lit(None).cast("string")).unionByName(respelled)
-    found = every.join(answers, "term").select("term_id", "code", "display", "tty", "spelled")
+    by_term = Window.partitionBy("term").orderBy("code", "tty", "display")
+    first = answers.withColumn("n", F.row_number().over(by_term)).where(F.col("n") <= most).drop("n")  # a term's further answers are no request's
+    found = every.join(first, "term").select("term_id", "code", "display", "tty", "spelled")
     order = Window.partitionBy("term_id").orderBy("code", "tty", "display")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
 
