@@ -15,17 +15,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RULE_TYPES = ("exact", "pattern", "context", "domain", "override")
 CONFIDENCES = {"exact": 1.0, "pattern": 0.8, "context": 0.9, "domain": 0.85, "override": 1.0}
 CRITICAL = 1
-#: At most so many rules are broadcast to be matched by pattern or context.
-MAX_SCANNED_RULES = 10_000
+#: Up to so many pattern rules are broadcast; more meet the terms as a Cartesian product.
+MAX_BROADCAST_RULES = 10_000
 
 
 def matches(terms: DataFrame, rules: DataFrame) -> DataFrame:
     """RUL01: (term_id, rule_id, confidence) of every active rule that fits.
 
     terms: (term_id, term, context), context being a map of strings.  Exact and
-    override rules meet terms by equi-join.  Pattern, context and domain rules
-    have no key; they are few, and their number is checked before they are
-    sent to all tasks.  Context and domain rules ignore the term.
+    override rules meet terms by the term, domain rules by the context's domain
+    and context rules by their first requirement, all by equi-join.  Pattern
+    rules, and context rules that only require absence, have no key: each meets
+    each term.  Context and domain rules ignore the term.
     """
     active = rules.where("is_active")
     need = F.coalesce(F.col("conditions")["min_confidence"].cast("double"), F.lit(0.0))
@@ -33,20 +34,24 @@ def matches(terms: DataFrame, rules: DataFrame) -> DataFrame:
     asked = terms.select("term_id", "term", "context")
     keyed = rated.where("rule_type IN ('exact', 'override')").withColumn("k", F.lower("source_term"))
     by_key = asked.withColumn("k", F.lower("term")).join(keyed, "k").select("term_id", "rule_id", "confidence")
-    scanned = rated.where("rule_type IN ('pattern', 'context', 'domain')").withColumn("pattern", F.concat(F.lit("(?i)"), F.coalesce(F.col("conditions")["pattern"], F.col("source_term"))))
-    required = F.map_filter("conditions", lambda k, v: F.startswith(k, F.lit("required:")))
-    scanned = scanned.select("rule_id", "rule_type", "confidence", "pattern", F.col("conditions")["domain"].alias("domain"), F.transform_keys(required, lambda k, v: F.substr(k, F.lit(10))).alias("required"))
-    if scanned.limit(MAX_SCANNED_RULES + 1).count() > MAX_SCANNED_RULES:
-        raise ValueError(f"more than {MAX_SCANNED_RULES} pattern, context and domain rules")
     ctx = F.coalesce("context", F.create_map().cast("map<string,string>"))
+    domains = rated.where("rule_type = 'domain'").select("rule_id", "confidence", F.col("conditions")["domain"].alias("k"))
+    by_domain = asked.withColumn("k", ctx["domain"]).join(domains, "k").select("term_id", "rule_id", "confidence")
+    named = F.map_filter("conditions", lambda k, v: F.startswith(k, F.lit("required:")))
+    rest = rated.where("rule_type IN ('pattern', 'context')").withColumn("required", F.transform_keys(named, lambda k, v: F.substr(k, F.lit(10))))
+    rest = rest.withColumn("first", F.get(F.array_sort(F.filter(F.map_entries("required"), lambda e: e.value.isNotNull())), F.lit(0)))
+    rest = rest.withColumn("pattern", F.concat(F.lit("(?i)"), F.coalesce(F.col("conditions")["pattern"], F.col("source_term")))).select("rule_id", "rule_type", "confidence", "pattern", "required", "first")
+    keyed_context = (F.col("rule_type") == "context") & F.col("first").isNotNull()
     has_required = (F.size("required") > 0) & F.forall(F.map_entries("required"), lambda e: ctx[e.key].eqNullSafe(e.value))
-    fits = (
-        ((F.col("rule_type") == "pattern") & F.regexp_like("term", F.col("pattern")))
-        | ((F.col("rule_type") == "context") & has_required)
-        | ((F.col("rule_type") == "domain") & F.col("domain").isNotNull() & (ctx["domain"] == F.col("domain")))
-    )
-    by_scan = asked.join(F.broadcast(scanned), fits).select("term_id", "rule_id", "confidence")
-    return by_key.unionByName(by_scan)
+    entries = asked.select("term_id", "context", F.explode("context").alias("k", "v"))
+    contexts = rest.where(keyed_context).select("rule_id", "confidence", "required", F.col("first.key").alias("k"), F.col("first.value").alias("v"))
+    by_context = entries.join(contexts, ["k", "v"]).where(has_required).select("term_id", "rule_id", "confidence")
+    scanned = rest.where(~keyed_context)
+    if scanned.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
+        scanned = F.broadcast(scanned)
+    fits = ((F.col("rule_type") == "pattern") & F.regexp_like("term", F.col("pattern"))) | ((F.col("rule_type") == "context") & has_required)
+    by_scan = asked.join(scanned, fits).select("term_id", "rule_id", "confidence")
+    return by_key.unionByName(by_domain).unionByName(by_context).unionByName(by_scan)
 
 
 def ranked(found: DataFrame, rules: DataFrame) -> DataFrame:
