@@ -17,13 +17,17 @@ Cleaning", 2006).
 
 A shingle in up to ``SMALL`` prefixes yields its pairs; a pair goes on if it
 isn't linked yet and shares so many prefix shingles as the similarity needs.
-The members of a more common one go on in chunks by size.  Either way whole
-sets are compared before two nodes are linked, and a group yields a spanning
-forest, not its links.
+The members of a more common one are first compared with one of them, the
+pivot, so a group of near copies is linked by one comparison a member.  Members
+that are in another component than most of their group are then compared with
+all of it, in chunks by size.  Either way whole sets are compared before two
+nodes are linked, and a group yields a spanning forest, not its links.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,6 +45,8 @@ RADIUS = 4
 SAMPLE, FREQUENT, MAX_FREQUENT = 40_000, 3, 200_000
 SMALL = 32
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: Up to so many nodes are broadcast to find their texts; for more, texts are shuffled.
+BROADCAST_NODES = 500_000
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -116,51 +122,27 @@ def _prefixes(frequent):
 
 
 def _groups(batches):
-    """From rows sorted by key: (u, v, nu, nv) of small groups' pairs, (members) of chunk pairs of others."""
+    """From rows sorted by key: (u, v, nu, nv) of small groups' pairs, (pivot, member, their sizes, key) of others."""
 
-    def emit(nodes, sizes):
-        _, first = np.unique(nodes, return_index=True)
-        order = first[np.lexsort((nodes[first], sizes[first]))]
-        nodes, sizes = nodes[order], sizes[order].astype(np.int64)
+    def emit(key, nodes, sizes):
+        nodes, first = np.unique(nodes, return_index=True)
+        sizes = sizes[first].astype(np.int64)
         m = len(nodes)
-        if m < 2:
-            return
-        if m <= SMALL:
+        if m > SMALL:
+            rows.append((np.full(m, nodes[0]), nodes, np.full(m, sizes[0]), sizes, np.full(m, key), np.zeros(m, bool)))
+        elif m > 1:
             i, j = np.triu_indices(m, 1)
-            near = sizes[i] * 5 >= sizes[j] * 4
+            near = np.minimum(sizes[i], sizes[j]) * 5 >= np.maximum(sizes[i], sizes[j]) * 4
             i, j = i[near], j[near]
-            swap = nodes[i] > nodes[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            pairs.append((nodes[i], nodes[j], sizes[i], sizes[j]))
-            return
-        chunks, start, total = [], 0, 0
-        for x in range(m):
-            if x > start and (x - start == CHUNK or total + sizes[x] > CHUNK_SHINGLES):
-                chunks.append((start, x))
-                start, total = x, 0
-            total += sizes[x]
-        chunks.append((start, m))
-        for a, (s, e) in enumerate(chunks):
-            large = False
-            for b, (s2, e2) in enumerate(chunks[a + 1 :]):
-                if sizes[e - 1] * 5 >= sizes[s2] * 4:
-                    large = True
-                    members.append(np.concatenate([nodes[s:e], nodes[s2:e2]]))
-            if not large and e - s > 1:
-                members.append(nodes[s:e])
+            rows.append((nodes[i], nodes[j], sizes[i], sizes[j], np.zeros(len(i), np.int64), np.ones(len(i), bool)))
 
     def flush():
-        if pairs:
-            u, v, nu, nv = (np.concatenate(x) for x in zip(*pairs))
-            yield pa.record_batch([pa.array(u), pa.array(v), pa.array(nu.astype(np.int32)), pa.array(nv.astype(np.int32)), pa.nulls(len(u), pa.list_(pa.int64()))], names)
-            pairs.clear()
-        if members:
-            n, none = len(members), [pa.nulls(len(members), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-            yield pa.record_batch([*none, pa.array([x.tolist() for x in members], pa.list_(pa.int64()))], names)
-            members.clear()
-
-    names = ["u", "v", "nu", "nv", "members"]
-    pairs, members, key, held = [], [], None, []
+        if rows:
+            u, v, nu, nv, keys, none = (np.concatenate(x) for x in zip(*rows))
+            yield pa.record_batch([pa.array(u), pa.array(v), pa.array(nu.astype(np.int32)), pa.array(nv.astype(np.int32)), pa.array(keys, pa.int64(), mask=none)], ["u", "v", "nu", "nv", "key"])
+            rows.clear()
+
+    rows, key, held = [], None, []
     for batch in batches:
         keys, nodes, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(keys):
@@ -168,7 +150,7 @@ def _groups(batches):
         cuts = np.flatnonzero(np.diff(keys)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
         if held and keys[0] != key:
-            emit(*(np.concatenate(x) for x in zip(*held)))
+            emit(key, *(np.concatenate(x) for x in zip(*held)))
             held = []
         many = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(keys)))
         for a, b in zip(starts[many].tolist(), ends[many].tolist()):
@@ -176,16 +158,64 @@ def _groups(batches):
                 held.append((nodes[a:b], sizes[a:b]))
                 key = keys[a]
             elif a == 0 and held:
-                emit(*(np.concatenate(x) for x in zip(*held, (nodes[a:b], sizes[a:b]))))
+                emit(keys[a], *(np.concatenate(x) for x in zip(*held, (nodes[a:b], sizes[a:b]))))
                 held = []
             else:
-                emit(nodes[a:b], sizes[a:b])
+                emit(keys[a], nodes[a:b], sizes[a:b])
         yield from flush()
     if held:
-        emit(*(np.concatenate(x) for x in zip(*held)))
+        emit(key, *(np.concatenate(x) for x in zip(*held)))
     yield from flush()
 
 
+def _chunks(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of chunks of nodes sorted by size."""
+    chunks, start, total = [], 0, 0
+    for x, size in enumerate(sizes.tolist()):
+        if x > start and (x - start == CHUNK or total + size > CHUNK_SHINGLES):
+            chunks.append((start, x))
+            start, total = x, 0
+        total += size
+    return [*chunks, (start, len(sizes))] if len(sizes) else []
+
+
+def crossings(nodes: np.ndarray, sizes: np.ndarray, roots: np.ndarray) -> list[np.ndarray]:
+    """Sets of a group's nodes in which each two nodes of unlike roots and alike sizes meet."""
+    order = np.lexsort((nodes, sizes))
+    nodes, sizes, roots = nodes[order], sizes[order], roots[order]
+    found, number = np.unique(roots, return_inverse=True)
+    if len(found) < 2:
+        return []
+    most = number == np.bincount(number).argmax()
+    parts = [[(nodes[w][s:e], sizes[w][s], sizes[w][e - 1], set(number[w][s:e].tolist())) for s, e in _chunks(sizes[w])] for w in (~most, most)]
+    pairs = [*itertools.combinations(parts[0], 2), *itertools.product(*parts)]
+    out = [a[0] for a in parts[0] if len(a[3]) > 1]
+    return out + [np.concatenate([a[0], b[0]]) for a, b in pairs if a[2] * 5 >= b[1] * 4 and b[2] * 5 >= a[1] * 4 and len(a[3] | b[3]) > 1]
+
+
+def _crossed(batches):
+    """(members) of the groups' crossings, from rows (key, node, size, root) sorted by key."""
+
+    def made():
+        for members in crossings(*(np.concatenate(x) for x in zip(*held))):
+            yield pa.record_batch([pa.array([members.tolist()], pa.list_(pa.int64()))], ["members"])
+
+    key, held = None, []
+    for batch in batches:
+        keys, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(keys):
+            continue
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and keys[a] != key:
+                yield from made()
+                held = []
+            key = keys[a]
+            held.append([x[a:b] for x in rest])
+    if held:
+        yield from made()
+
+
 def _sets(batches):
     for batch in batches:
         for part in slices(batch):
@@ -245,7 +275,10 @@ def _frequent(texts: DataFrame) -> np.ndarray:
 def _links(sets: DataFrame, texts: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(u, v): spanning forests of the links among each row's members (array of nodes)."""
     members = scratch.table(sets.select(F.xxhash64("members").alias("gid"), F.explode("members").alias("node")), f"{label}-members")
-    needed = texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    nodes = scratch.table(members.select("node").distinct(), f"{label}-nodes")
+    if nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
+    needed = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     with arrow_rows(texts.sparkSession, 128):
         found = members.join(needed.mapInArrow(_sets, "node long, own binary"), "node").select("gid", "node", "own")
         return scratch.table(found.repartition("gid").sortWithinPartitions("gid").mapInArrow(_verified, "u long, v long"), f"{label}-links")
@@ -265,16 +298,25 @@ def roots(docs: DataFrame, scratch: Scratch) -> DataFrame:
     linked_yet = scratch.table(components(near, Scratch(spark, "near-copies-similar")), "similar-roots")
     frequent = spark.sparkContext.broadcast(_frequent(texts))
     keys = texts.mapInArrow(_prefixes(frequent), "key long, node long, size int")
-    groups = scratch.table(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "u long, v long, nu int, nv int, members array<long>"), "groups")
+    groups = scratch.table(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "u long, v long, nu int, nv int, key long"), "groups")
     # of the prefixes' shingles a pair shares n; behind them it can share what is left of either set
     behind = F.greatest(*(F.floor(F.col(c) * 4 / 5 + 0.9).cast("long") - 1 for c in ("nu", "nv")))
-    pairs = groups.where("members IS NULL").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("n")).where(9 * (F.col("n") + behind) >= 4 * (F.col("nu") + F.col("nv")))
+    pairs = groups.where("key IS NULL").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("n")).where(9 * (F.col("n") + behind) >= 4 * (F.col("nu") + F.col("nv")))
+    large = groups.where("key IS NOT NULL")
+    to_pivot = large.where("u <> v AND least(nu, nv) * 5 >= greatest(nu, nv) * 4").select("u", "v").distinct()
+    pairs = pairs.select("u", "v").union(to_pivot)
     for end in ("u", "v"):
         pairs = pairs.join(linked_yet.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     pairs = pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    sets = pairs.select(F.array("u", "v").alias("members")).union(groups.where("members IS NOT NULL").select("members").distinct())
-    rest = _links(sets, texts, scratch, "prefix")
-    return components(near.union(rest), scratch)
+    near = near.union(_links(pairs.select(F.array("u", "v").alias("members")), texts, scratch, "prefix"))
+    if large.isEmpty():
+        return components(near, scratch)
+    linked_yet = scratch.table(components(near, Scratch(spark, "near-copies-prefix")), "prefix-roots")
+    placed = large.select("key", F.col("v").alias("node"), F.col("nv").alias("size")).join(linked_yet, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    rest = scratch.table(placed.repartition("key").sortWithinPartitions("key").mapInArrow(_crossed, "members array<long>").distinct(), "crossings")
+    if rest.isEmpty():
+        return linked_yet
+    return components(near.union(_links(rest, texts, scratch, "large")), scratch)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
