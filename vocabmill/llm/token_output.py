@@ -40,7 +40,7 @@ END_ID = 2
 #: The dictionary is trained on at most so many documents of up to so many characters, chosen by hash.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, 1 << 15, 64 << 10, 3
 #: A generation of the memo ends when it holds so many chunks or characters.
-MEMO_ENTRIES, MEMO_CHARS = 700_000, 32 << 20
+MEMO_ENTRIES, MEMO_CHARS = 350_000, 16 << 20
 #: So many new chunks are encoded as one text.
 TOGETHER = 100
 #: What no regular expression engine's white space goes beyond.
