@@ -225,6 +225,21 @@ def test_quality_rules_without_references(spark):
     assert {(r.doc_id, r.kept, r.class_divergence) for r in got} == {(1, True, None), (2, False, None)}
 
 
+def test_quality_references_count_all_rows(spark):
+    from vocabmill.llm.quality_rules import references
+
+    rng = random.Random(8)
+    texts = [clean_text(rng, "a", 12) + (f" Zz{i % 7} É;" if i % 3 else "") for i in range(4500)]
+    (found,) = references(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], DOCS).repartition(6))
+    words = Counter(w for t in texts for w in t.split())
+    common = sorted(((w, n) for w, n in words.items() if re.fullmatch(r"[A-Za-z\x80-\U0010ffff]+", w)), key=lambda x: (-x[1], x[0]))[:30]
+    assert found["words"] == {w: n / words.total() for w, n in common}
+    whole = "".join(texts)
+    counts = [len(re.findall(p, whole)) for p in ("[A-Z]", "[0-9]", r"\s", "[#*$%&|<>]", "[!-/:-@\\[-`{-~]")] + [len(whole.encode()) - len(whole)]
+    counts[4] -= counts[3]
+    assert found["classes"] == [n / len(whole.encode()) for n in [*counts, len(whole.encode()) - sum(counts)]]
+
+
 def test_quality_rules_use_no_python(spark, tmp_path):
     from vocabmill.llm.queries import op12_quality_rules
 

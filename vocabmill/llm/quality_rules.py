@@ -7,16 +7,15 @@ words are compared with those of each language by Jensen-Shannon divergence
 is far.  Short texts are not compared: below a number of words the divergence
 of a clean text is mostly noise.
 
-The references are a model fitted on at most about 2,000 labelled rows of each
-language (REFERENCE_ROWS, drawn by hash of the text; a null lang is a language
-of its own); every document is measured and judged whole.  Common words are
-the most frequent words of each language without ASCII signs and digits.  Only
-the finished references, some hundred numbers a language, go through the
-driver; more than 1,000 languages raise an error.
+The references are counted over all rows of each language (a null lang is a
+language of its own); every document is measured and judged whole.  Common
+words are the most frequent words of each language without ASCII signs and
+digits.  Only the finished references, some hundred numbers a language, go
+through the driver; more than 1,000 languages raise an error.
 
 Defined results: null texts are empty.  Rows are judged one by one, so rows
 that repeat a doc_id or a text each get their result.  Languages of fewer than
-1,000 words in the sample give no reference; without any, only the base rules
+1,000 words give no reference; without any, only the base rules
 count.  Repeated windows are found by 64-bit hashes within a text.
 """
 
@@ -40,8 +39,6 @@ MEASURED = "_quality_measures"
 REPEAT = 5
 COMMON = 30
 LANGUAGES = 1000
-#: Rows of a language that its reference is fitted on, about.
-REFERENCE_ROWS = 2000
 LEAST_REFERENCE = 1000
 #: The least number of words and the largest divergence for character classes and for common words.
 CLASS_WORDS, CLASS_LIMIT = 50, 0.08
@@ -95,50 +92,61 @@ def _dup_lines(text: Column) -> Column:
     return _let(F.split(text, "\n"), lambda x: F.when(F.size(x) == F.size(F.array_distinct(x)), F.lit(0).cast("long")).otherwise(_let(worded(x), fewer)))
 
 
+def _n_words(words: Column) -> Column:
+    return F.when(F.get(words, 0) == "", 0).otherwise(F.size(words)).cast("long")
+
+
+def _word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("long")
+
+
+def _signs(text: Column) -> Column:
+    """Counts of the few characters that are neither a-z, space, newline nor beyond ASCII."""
+
+    def counts(rare: Column) -> Column:
+        count = lambda pattern: F.length(rare).cast("long") - _without(rare, pattern)
+        return F.struct(*(count(p).alias(k) for k, p in (("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", SYMBOLS), ("sign", SIGNS))))
+
+    return _let(F.regexp_replace(text, r"[a-z \n\u0080-\uFFFF]+", ""), counts)
+
+
+def _classes(text: Column, word_chars: Column, s: Column) -> Column:
+    """Octets of upper-case letters, digits, white space, symbols, other ASCII signs, of characters beyond ASCII after their first, and the rest."""
+    white, beyond, total = F.length(text).cast("long") - word_chars, (F.octet_length(text) - F.length(text)).cast("long"), F.octet_length(text).cast("long")
+    return F.array(s.upper, s.digit, white, s.symbol, s.sign - s.symbol, beyond, total - s.upper - s.digit - white - s.sign - beyond)
+
+
 def measures(text: Column, common: list[str] = ()) -> Column:
     """A struct of a text's counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes and hits.
 
-    classes: octets of upper-case letters, digits, white space, symbols, other
-    ASCII signs, of characters beyond ASCII after their first, and the rest.
     hits: the words that are in ``common``, sorted, of texts long enough.
     """
     text = F.coalesce(text, F.lit(""))
 
     def of(words: Column) -> Column:
-        n = F.when(F.get(words, 0) == "", 0).otherwise(F.size(words)).cast("long")
         hits = F.when(F.size(words) >= COMMON_WORDS, F.sort_array(F.filter(words, lambda w: w.isin(list(common))))) if common else F.lit(None).cast("array<string>")
-        return F.struct(n.alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), _repeated_words(words).alias("n_repeat_words"), hits.alias("hits"))
-
-    def signs(rare: Column) -> Column:
-        """From the few characters that are neither a-z, space, newline nor beyond ASCII."""
-        count = lambda pattern: F.length(rare).cast("long") - _without(rare, pattern)
-        return F.struct(*(count(p).alias(k) for k, p in (("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", SYMBOLS), ("sign", SIGNS))))
+        return F.struct(_n_words(words).alias("n_words"), _word_chars(words).alias("word_chars"), _repeated_words(words).alias("n_repeat_words"), hits.alias("hits"))
 
     def joined(w: Column, s: Column) -> Column:
-        white, beyond, total = F.length(text).cast("long") - w.word_chars, (F.octet_length(text) - F.length(text)).cast("long"), F.octet_length(text).cast("long")
-        classes = F.array(s.upper, s.digit, white, s.symbol, s.sign - s.symbol, beyond, total - s.upper - s.digit - white - s.sign - beyond)
-        return F.struct(w.n_words, w.word_chars, s.symbol.alias("n_symbols"), _dup_lines(text).alias("n_dup_lines"), w.n_repeat_words, classes.alias("classes"), w.hits)
+        return F.struct(w.n_words, w.word_chars, s.symbol.alias("n_symbols"), _dup_lines(text).alias("n_dup_lines"), w.n_repeat_words, _classes(text, w.word_chars, s).alias("classes"), w.hits)
 
-    rare = F.regexp_replace(text, r"[a-z \n\u0080-\uFFFF]+", "")
-    return _let(_let(words_of(text), of), lambda w: _let(_let(rare, signs), lambda s: joined(w, s)))
+    return _let(_let(words_of(text), of), lambda w: _let(_signs(text), lambda s: joined(w, s)))
 
 
 def references(docs: DataFrame) -> list[dict]:
     """For each language its shares of the classes, of the common words of all languages, and of other words.
 
-    They are fitted on about REFERENCE_ROWS rows of each language, drawn by
-    hash, or on all if it has fewer.
+    All rows are counted.
     """
-    place = F.xxhash64(F.lit("reference"), "text").bitwiseAND(F.lit((1 << 30) - 1))
-    own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("place", place)
-    limits = own.groupBy("lang").agg((F.least(F.lit(1.0), REFERENCE_ROWS / F.count("*")) * (1 << 30)).alias("most"))
-    if len(limits.limit(LANGUAGES + 1).collect()) > LANGUAGES:
+    own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    text = F.col("text")
+    counted = _let(words_of(text), lambda words: _let(_signs(text), lambda s: F.struct(_n_words(words).alias("n_words"), _classes(text, _word_chars(words), s).alias("classes"))))
+    sums = own.select("lang", counted.alias("m")).groupBy("lang").agg(F.sum("m.n_words").alias("n"), *(F.sum(F.col("m.classes")[i]).alias(f"c{i}") for i in range(7))).limit(LANGUAGES + 1).collect()
+    if len(sums) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    chosen = own.join(F.broadcast(limits), "lang").where("place < most").select("lang", "text")
-    sums = chosen.select("lang", measures(F.col("text")).alias("m")).groupBy("lang").agg(F.sum("m.n_words").alias("n"), *(F.sum(F.col("m.classes")[i]).alias(f"c{i}") for i in range(7)))
-    found = {r.lang: {"total": r.n, "classes": [r[f"c{i}"] / (sum(r[f"c{i}"] for i in range(7)) or 1) for i in range(7)], "words": {}} for r in sums.collect() if r.n >= LEAST_REFERENCE}
+    found = {r.lang: {"total": r.n, "classes": [r[f"c{i}"] / (sum(r[f"c{i}"] for i in range(7)) or 1) for i in range(7)], "words": {}} for r in sums if r.n >= LEAST_REFERENCE}
     held = Scratch(docs.sparkSession, "quality").table(
-        chosen.select("lang", F.explode(words_of(F.col("text"))).alias("word")).where(~F.col("word").rlike(UNWORDED) & (F.col("word") != "")).groupBy("lang", "word").agg(F.count("*").alias("n")).where(F.col("lang").isin(list(found))), "words"
+        own.select("lang", F.explode(words_of(text)).alias("word")).where(~F.col("word").rlike(UNWORDED) & (F.col("word") != "")).groupBy("lang", "word").agg(F.count("*").alias("n")).where(F.col("lang").isin(list(found))), "words"
     )
     first = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
     common = held.withColumn("place", F.row_number().over(first)).where(f"place <= {COMMON}").select("word").distinct()
