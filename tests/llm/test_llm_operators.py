@@ -261,6 +261,30 @@ def test_token_output(spark):
     assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode([(t or "").encode() for _, t in texts])] == [tok.encode(t or "", add_special_tokens=False).ids for _, t in texts]
 
 
+def test_encoder_looks_up_distinct_chunks_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from vocabmill.llm import token_output
+    from vocabmill.llm.queries import tokenizer_path
+
+    tok, rng = Tokenizer.from_file(tokenizer_path()), random.Random(3)
+    whole = lambda texts: [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    enc = token_output.Encoder(tokenizer_path())
+    encode = lambda texts: [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode([t.encode() for t in texts])]
+    asked, one = [], enc._remembered
+    enc._remembered = lambda chunks: asked.append(len(chunks)) or one(chunks)
+    texts = ["the cat and the dog " * 500 + "end", "the end"]
+    assert encode(texts) == whole(texts) and asked == [6]  # the first "the", and five words behind a space
+    assert encode([]) == [] and encode([""]) == [[]]
+    monkeypatch.setattr(token_output, "MEMO_ENTRIES", 40)
+    monkeypatch.setattr(token_output, "MEMO_CHUNK", 60)
+    pieces = [" ", " ", " ", "  ", "\n", "\t ", "a", "The", "don't", "'ll", "12", "é", "日本", "\u200b", "\xa0", "\u3000", "\x1c", "\x00", "%%", "<|endoftext|>", "w" * 90]
+    for _ in range(60):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(rng.randint(0, 8))]
+        assert encode(texts) == whole(texts)
+        assert len(enc.memo) == len(enc.ids) == len(enc.used) <= 40 and len(set(enc.memo.to_pylist())) == len(enc.memo)
+
+
 def waterfill(sizes, share=1.5, cap=2.0):
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}

@@ -28,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,8 +40,8 @@ FOOTER, FOOTER_BYTES = "<8sqq32s", 56
 END_ID = 2
 #: The dictionary is trained on at most so many documents of up to so many characters, chosen by hash.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, 1 << 15, 64 << 10, 3
-#: A generation of the memo ends when it holds so many chunks or characters.
-MEMO_ENTRIES, MEMO_CHARS = 350_000, 16 << 20
+#: A memo of more chunks or bytes keeps half of that, of chunks of up to MEMO_CHUNK bytes with their ids.
+MEMO_ENTRIES, MEMO_BYTES, MEMO_CHUNK = 400_000, 16 << 20, 1 << 10
 #: So many new chunks are encoded as one text.
 TOGETHER = 100
 #: What no regular expression engine's white space goes beyond.
@@ -49,30 +50,17 @@ _UNSAFE_SPACE = re.compile(f" (?:[{_SPACE_LIKE}]|\\Z)")
 _SAFE_SPACE = re.compile(f" (?![{_SPACE_LIKE}]|\\Z)")
 
 
-class Memo(dict):
-    """Ids by chunk.  An unknown chunk gets an empty array, to be filled before it is used."""
-
-    def __init__(self, older: dict) -> None:
-        self.older, self.fresh = older, {}
-
-    def __missing__(self, chunk: str):
-        found = self.older.get(chunk)
-        if found is None:
-            found = self.fresh[chunk] = bytearray()
-        self[chunk] = found
-        return found
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembering chunks.
 
     The byte-level pre-tokenizer always parts a text before a space that no
     white space follows, and BPE works on each of its pieces by itself.  So a
     text's ids are those of its chunks, cut at such spaces; the ids of a chunk
-    that came before are looked up, others come from the library.  The memo has
-    two generations: what a new one needs of the older moves over, and the rest
-    is dropped.  Texts with a special token's string, and all texts of
-    tokenizers of another kind, are encoded as a whole.
+    that came before are looked up, others come from the library.  Arrow splits
+    the texts, looks each distinct chunk of a call up once, and joins the ids; the
+    memo is an array of chunks and one of their ids.  A full memo keeps what was
+    used last.  Texts with a special token's string, and all texts of tokenizers
+    of another kind, are encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -90,54 +78,76 @@ class Encoder:
         self.first = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.first[i] = token[:1] == "\u0120"
-        self.memo, self.chars = Memo({}), 0
+        self.memo, self.ids, self.used, self.calls = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64), 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids_of_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+    def _ids_of_chunks(self, chunks: list[str]) -> list[bytes]:
         """Those without a space are encoded together, and parted again at the tokens that begin with one."""
-        plain = [c for c in chunks if " " not in c]
-        other = [c for c in chunks if " " in c]
-        out = dict(zip(other, self._ids([c[1:] if c[0] == " " else f" {c}" for c in other])))
+        other = [i for i, c in enumerate(chunks) if " " in c]
+        found = dict(zip(other, self._ids([chunks[i][1:] if chunks[i][0] == " " else f" {chunks[i]}" for i in other])))
+        plain, out = [c for c in chunks if " " not in c] if other else chunks, []
         for a in range(0, len(plain), TOGETHER):
             group = plain[a : a + TOGETHER]
             ids = np.frombuffer(self._ids([" " + " ".join(group)])[0], self.dtype)
             starts = (np.flatnonzero(self.first[ids]) * self.width).tolist()
             if len(starts) == len(group) and not starts[0]:
                 raw = ids.tobytes()
-                out.update(zip(group, [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)])]))
+                out += [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)])]
             else:
-                out.update(zip(group, self._ids([f" {c}" for c in group])))
+                out += self._ids([f" {c}" for c in group])
+        rest = iter(out)
+        return [found[i] if i in found else next(rest) for i in range(len(chunks))] if other else out
+
+    def _remembered(self, chunks: pa.Array) -> pa.Array:
+        """The ids of distinct chunks, from the memo or else from the library."""
+        found = pc.index_in(chunks, self.memo)
+        new = found.is_null()
+        fresh, new = chunks.filter(new), new.to_numpy(zero_copy_only=False)
+        made = pa.array(self._ids_of_chunks(fresh.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        place = found.fill_null(0).to_numpy().astype(np.int64)
+        self.calls += 1
+        self.used[place[~new]] = self.calls
+        place[new] = len(self.memo) + np.arange(len(fresh))
+        memo, ids, used = pa.concat_arrays([self.memo, fresh]), pa.concat_arrays([self.ids, made]), np.concatenate([self.used, np.full(len(fresh), self.calls)])
+        out = ids.take(pa.array(place))
+        if len(memo) > MEMO_ENTRIES or memo.nbytes + ids.nbytes > MEMO_BYTES:
+            sizes = pc.binary_length(memo).to_numpy() + pc.binary_length(ids).to_numpy() + 16  # and two offsets
+            last = np.argsort(-used, kind="stable")
+            last = last[sizes[last] <= MEMO_CHUNK][: MEMO_ENTRIES // 2]
+            kept = np.sort(last[np.cumsum(sizes[last]) <= MEMO_BYTES // 2])
+            memo, ids, used = memo.take(pa.array(kept)), ids.take(pa.array(kept)), used[kept]
+        self.memo, self.ids, self.used = memo, ids, used
         return out
 
-    def _chunks(self, text: str) -> list[str]:
-        """Keys of the memo: the first chunk behind a space, the others without the space before them."""
-        out = _SAFE_SPACE.split(text) if _UNSAFE_SPACE.search(text) else text.split(" ")
-        out[0] = f" {out[0]}"
-        return out
+    def _joined(self, lists: pa.ListArray) -> list[bytes]:
+        """The ids of each list of chunks.  The first chunk has no space before it, so its key has one more."""
+        bounds, values = lists.offsets.to_numpy(), lists.values
+        first = np.zeros(len(values), bool)
+        first[bounds[:-1]] = True
+        begin = pa.array([f" {c}" for c in values.filter(pa.array(first)).to_pylist()], pa.large_string()).dictionary_encode()
+        later = pc.if_else(pa.array(first), pa.scalar(None, values.type), values).dictionary_encode()
+        at = later.indices.fill_null(0).to_numpy().astype(np.int64)
+        at[bounds[:-1]] = len(later.dictionary) + begin.indices.to_numpy()
+        ids = self._remembered(pa.concat_arrays([later.dictionary.cast(pa.large_string()), begin.dictionary])).take(pa.array(at))
+        ends, data = np.frombuffer(ids.buffers()[1], np.int64, len(at) + 1)[bounds].tolist(), memoryview(ids.buffers()[2] or b"")
+        return [data[i:j].tobytes() for i, j in zip(ends, ends[1:])]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES or self.chars > MEMO_CHARS:
-            memo.older = {}
-            memo, self.chars = Memo(memo), 0
-        self.memo = Memo({})  # what stays if this fails: no chunk without its ids
-        out, parts, ids_of = [b""] * len(texts), {}, memo.__getitem__
+        out, plain, spaced = [b""] * len(texts), {}, {}
         for i, raw in enumerate(texts):
             text = raw.decode("utf-8")
-            if self.by_chunk and not any(s in text for s in self.special):
-                parts[i] = list(map(ids_of, self._chunks(text)))
-            else:
+            if not self.by_chunk or any(s in text for s in self.special):
                 out[i] = self._ids([text])[0]
-        fresh, memo.fresh = memo.fresh, {}
-        for chunk, ids in self._ids_of_chunks(list(fresh)).items():
-            fresh[chunk].extend(ids)
-            memo[chunk] = ids
-            self.chars += len(chunk)
-        for i, own in parts.items():
-            out[i] = b"".join(own)
-        self.memo = memo
+            elif _UNSAFE_SPACE.search(text):
+                spaced[i] = _SAFE_SPACE.split(text)
+            else:
+                plain[i] = text
+        if plain or spaced:
+            split = pc.split_pattern(pa.array(plain.values(), pa.string()), " ")
+            for i, ids in zip([*plain, *spaced], self._joined(pa.concat_arrays([split, pa.array(spaced.values(), split.type)]))):
+                out[i] = ids
         return out
 
 
