@@ -17,6 +17,32 @@ CONFIDENCES = {"exact": 1.0, "pattern": 0.8, "context": 0.9, "domain": 0.85, "ov
 CRITICAL = 1
 #: Up to so many pattern rules are broadcast; more meet the terms as a Cartesian product.
 MAX_BROADCAST_RULES = 10_000
+#: A key of more than BLOCK rules meets its terms in blocks of so many rules by slices of about SLICE terms.
+BLOCK, SLICE = 1_000, 10_000
+
+
+def _meet(terms: DataFrame, rules: DataFrame, on: list[str]) -> DataFrame:
+    """The pairs of terms and rules with equal keys.
+
+    The pairs of a key grow with the product of its terms and rules, while its
+    rows may be too few for Spark to share them out; so keys of many rules are
+    cut on both sides, and each block of rules and slice of terms is on its own.
+    """
+    counted = rules.groupBy(*on).agg(F.count("*").alias("n_rules")).where(F.col("n_rules") > BLOCK).dropna(subset=on)
+    if counted.isEmpty():
+        return terms.join(rules, on)
+    asked = terms.join(F.broadcast(counted), on).groupBy(*on, "n_rules").agg(F.count("*").alias("n_terms"))
+    cuts = F.broadcast(asked.select(*on, F.ceil(F.col("n_rules") / BLOCK).alias("blocks"), F.ceil(F.col("n_terms") / SLICE).alias("slices")))
+    parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = lambda by, n: F.pmod(F.xxhash64(F.lit("cut"), by), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = terms.join(cuts, on).select(*terms.columns, own("term_id", "slices").alias("slice"), every("blocks").alias("block"))
+    right = rules.join(cuts, on).select(*rules.columns, own("rule_id", "blocks").alias("block"), every("slices").alias("slice"))
+    cut = [*on, "block", "slice"]
+    # a given number of partitions is not put together again, however few bytes they have
+    many = left.repartition(parts, *cut).join(right.repartition(parts, *cut), cut).drop("block", "slice")
+    few = terms.join(rules.join(F.broadcast(counted.select(*on)), on, "left_anti"), on)
+    return few.unionByName(many)
 
 
 def matches(terms: DataFrame, rules: DataFrame) -> DataFrame:
@@ -32,11 +58,11 @@ def matches(terms: DataFrame, rules: DataFrame) -> DataFrame:
     need = F.coalesce(F.col("conditions")["min_confidence"].cast("double"), F.lit(0.0))
     rated = active.withColumn("confidence", F.create_map(*[x for k, v in CONFIDENCES.items() for x in (F.lit(k), F.lit(v))])[F.col("rule_type")]).where(F.col("confidence") >= need)
     asked = terms.select("term_id", "term", "context")
-    keyed = rated.where("rule_type IN ('exact', 'override')").withColumn("k", F.lower("source_term"))
-    by_key = asked.withColumn("k", F.lower("term")).join(keyed, "k").select("term_id", "rule_id", "confidence")
+    keyed = rated.where("rule_type IN ('exact', 'override')").select("rule_id", "confidence", F.lower("source_term").alias("k"))
+    by_key = _meet(asked.select("term_id", F.lower("term").alias("k")), keyed, ["k"]).select("term_id", "rule_id", "confidence")
     ctx = F.coalesce("context", F.create_map().cast("map<string,string>"))
     domains = rated.where("rule_type = 'domain'").select("rule_id", "confidence", F.col("conditions")["domain"].alias("k"))
-    by_domain = asked.withColumn("k", ctx["domain"]).join(domains, "k").select("term_id", "rule_id", "confidence")
+    by_domain = _meet(asked.select("term_id", ctx["domain"].alias("k")), domains, ["k"]).select("term_id", "rule_id", "confidence")
     named = F.map_filter("conditions", lambda k, v: F.startswith(k, F.lit("required:")))
     rest = rated.where("rule_type IN ('pattern', 'context')").withColumn("required", F.transform_keys(named, lambda k, v: F.substr(k, F.lit(10))))
     rest = rest.withColumn("first", F.get(F.array_sort(F.filter(F.map_entries("required"), lambda e: e.value.isNotNull())), F.lit(0)))
@@ -45,7 +71,7 @@ def matches(terms: DataFrame, rules: DataFrame) -> DataFrame:
     has_required = (F.size("required") > 0) & F.forall(F.map_entries("required"), lambda e: ctx[e.key].eqNullSafe(e.value))
     entries = asked.select("term_id", "context", F.explode("context").alias("k", "v"))
     contexts = rest.where(keyed_context).select("rule_id", "confidence", "required", F.col("first.key").alias("k"), F.col("first.value").alias("v"))
-    by_context = entries.join(contexts, ["k", "v"]).where(has_required).select("term_id", "rule_id", "confidence")
+    by_context = _meet(entries, contexts, ["k", "v"]).where(has_required).select("term_id", "rule_id", "confidence")
     scanned = rest.where(~keyed_context)
     if scanned.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
         scanned = F.broadcast(scanned)
