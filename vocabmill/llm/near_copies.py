@@ -22,6 +22,13 @@ pivot, so a group of near copies is linked by one comparison a member.  Members
 that are in another component than most of their group are then compared with
 all of it, in chunks by size.  Either way whole sets are compared before two
 nodes are linked, and a group yields a spanning forest, not its links.
+
+Before sets are shuffled, members are compared by bitmaps, a bit for each
+residue of the hashes that an odd number of them have.  Bitmaps differ in no
+more bits than sets differ in shingles, so a pair that differs in too many
+can't reach 4/5 (Sandes et al., "Bitmap Filter: Speeding up Exact Set Similarity
+Joins with Bitwise Operations", 2020).  Members of a common shingle's group first
+meet the one that is nearest by bitmaps, so that few are left to meet the rest.
 """
 
 from __future__ import annotations
@@ -41,10 +48,13 @@ from .simhash import near_duplicates
 SHINGLE, SEED = 5, 42
 #: Bits in which fingerprints may differ for SimHash to propose a pair.
 RADIUS = 4
-#: Shingles of at least FREQUENT of about SAMPLE rows come last; only work depends on it.
-SAMPLE, FREQUENT, MAX_FREQUENT = 40_000, 3, 200_000
+#: Shingles of at least FREQUENT sampled rows come last; only work depends on it.  About SAMPLE
+#: rows are sampled, one of SHARE if these are more: a share that shrinks as rows grow sees less.
+SAMPLE, SHARE, FREQUENT, MAX_FREQUENT = 40_000, 6, 3, 1 << 20
 SMALL = 32
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: Bits of a bitmap: at least the number of shingles, within these limits.
+MIN_BITS, MAX_BITS = 64, 1 << 16
 #: Up to so many nodes are broadcast to find their texts; for more, texts are shuffled.
 BROADCAST_NODES = 500_000
 
@@ -89,34 +99,80 @@ def _sampled(batches):
 
 
 def _counted(batches):
-    """(key, n) of the keys that FREQUENT or more different nodes hold; all rows of a key are in this task.
+    """(key, n) of the keys that FREQUENT or more different nodes hold, from rows (key, node) sorted by key."""
 
-    The rows are a sample's, so a task's share of them is bounded.
-    """
-    held = [batch.to_struct_array() for batch in batches if batch.num_rows]
-    if held:
-        keys, nodes = (np.concatenate([h.field(i).to_numpy(zero_copy_only=False) for h in held]) for i in (0, 1))
+    def made(keys, nodes):
         order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
         keys, n = np.unique(keys[fresh], return_counts=True)
-        yield pa.record_batch([pa.array(keys[n >= FREQUENT]), pa.array(n[n >= FREQUENT])], ["key", "n"])
+        return pa.record_batch([pa.array(keys[n >= FREQUENT]), pa.array(n[n >= FREQUENT])], ["key", "n"])
+
+    key, held = None, []
+    for batch in batches:
+        keys, nodes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(keys):
+            continue
+        start = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+        if held and keys[-1] != key:
+            first = int(np.searchsorted(keys, key, "right"))
+            yield made(np.full(sum(map(len, held)) + first, key), np.concatenate([*held, nodes[:first]]))
+            if first < start:
+                yield made(keys[first:start], nodes[first:start])
+            held = []
+        elif start:
+            yield made(keys[:start], nodes[:start])
+        key = keys[-1]
+        held.append(np.unique(nodes[start:]))
+    if held:
+        yield made(np.full(sum(map(len, held)), key), np.concatenate(held))
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, 1 if an odd number of them have it."""
+    size = min(MAX_BITS, max(MIN_BITS, 1 << (len(own) - 1).bit_length()))
+    return np.packbits(np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def nearest(sizes: np.ndarray, roots: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Of each set the place of the nearest one by bitmaps that may be linked with it and has another root, or -1."""
+    found, least, width = np.full(len(sizes), -1), np.full(len(sizes), np.inf), np.array([len(x) for x in bits])
+    for w in np.unique(width):
+        # sets of alike sizes have bitmaps of one width, or of two of which one is folded in halves
+        own, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        a = np.frombuffer(b"".join([bits[x] for x in own]), np.uint64).reshape(len(own), -1)
+        halves = np.frombuffer(b"".join([bits[x] for x in wide]), np.uint64).reshape(len(wide), 2, a.shape[1])
+        b, others = np.concatenate([a, halves[:, 0] ^ halves[:, 1]]), np.concatenate([own, wide])
+        step = max(1, (1 << 20) // b.size)
+        for start in range(0, len(own), step):
+            some = own[start : start + step]
+            differ = np.bitwise_count(a[start : start + step, None] ^ b[None]).sum(axis=2, dtype=np.int64)
+            n, m = sizes[some][:, None], sizes[others][None]
+            near = (9 * differ <= n + m) & (np.minimum(n, m) * 5 >= np.maximum(n, m) * 4) & (roots[some][:, None] != roots[others][None])
+            far = np.where(near, differ / (n + m), np.inf)
+            for x, y, at, low in ((some, others, far.argmin(axis=1), far.min(axis=1)), (others, some, far.argmin(axis=0), far.min(axis=0))):
+                nearer = low < least[x]
+                found[x[nearer]], least[x[nearer]] = y[at[nearer]], low[nearer]
+    return found
 
 
 def _prefixes(frequent):
     def run(batches):
-        """(key, node, size) of each prefix's shingles."""
+        """(key, node, size) of each prefix's shingles, and a row with the bitmap of each text."""
         for batch in batches:
             for part in slices(batch):
-                sizes, found = [], []
+                sizes, found, bits = [], [], []
                 for x in texts_as_bytes(part):
                     own = shingles(x)
                     sizes.append(len(own))
+                    bits.append(bitmap(own))
                     found.append(prefix(own, frequent.value) if len(own) else own)
                 times = [len(x) for x in found]
                 nodes = part.column("node").to_numpy(zero_copy_only=False)
-                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(nodes, times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], ["key", "node", "size"])
+                sizes, n = np.array(sizes, np.int32), sum(times)
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(nodes, times)), pa.array(np.repeat(sizes, times)), pa.nulls(n, pa.binary())], ["key", "node", "size", "bits"])
+                yield pa.record_batch([pa.array(nodes), pa.array(nodes), pa.array(sizes), pa.array(bits, pa.binary())], ["key", "node", "size", "bits"])
 
     return run
 
@@ -168,6 +224,27 @@ def _groups(batches):
     yield from flush()
 
 
+def _grouped(batches):
+    """The rows of _groups, and those with a bitmap as (node, null, size, null, null, bitmap)."""
+    columns, aside = ["u", "v", "nu", "nv", "key", "bits"], []
+
+    def rest():
+        for batch in batches:
+            aside.append(batch.filter(batch.column("bits").is_valid()))
+            yield batch.filter(batch.column("bits").is_null()).select(["key", "node", "size"])
+
+    def passed():
+        for own in aside:
+            n = own.num_rows
+            yield pa.record_batch([own.column("node"), pa.nulls(n, pa.int64()), own.column("size"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), own.column("bits")], columns)
+        aside.clear()
+
+    for found in _groups(rest()):
+        yield from passed()
+        yield pa.record_batch([*found.columns, pa.nulls(found.num_rows, pa.binary())], columns)
+    yield from passed()
+
+
 def _chunks(sizes: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) of chunks of nodes sorted by size."""
     chunks, start, total = [], 0, 0
@@ -247,6 +324,47 @@ def linked(sets: list[np.ndarray]) -> Labels:
     return labels
 
 
+def _by_bitmaps(names: list[str]):
+    """Pairs of longs from rows (gid, node, root, size, bits) sorted by gid.
+
+    ("gid", "node"): the members that may be linked with one of another root;
+    ("u", "v"): each of those and the nearest.
+    """
+
+    def run(batches):
+        def made():
+            nodes, roots, sizes, bits = (list(itertools.chain(*x)) for x in zip(*held))
+            nodes = np.array(nodes, np.int64)
+            to = nearest(np.array(sizes, np.int64), np.array(roots, np.int64), bits)
+            u, v = nodes[to >= 0], nodes[to[to >= 0]]
+            out.append((np.full(len(u), gid), u) if names[0] == "gid" else (np.minimum(u, v), np.maximum(u, v)))
+
+        def flush():
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], names)
+                out.clear()
+
+        gid, held, out = None, [], []
+        for batch in batches:
+            gids = batch.column("gid").to_numpy(zero_copy_only=False)
+            if not len(gids):
+                continue
+            rest = [batch.column(c).to_pylist() for c in ("node", "root", "size", "bits")]
+            cuts = [0, *(np.flatnonzero(np.diff(gids)) + 1).tolist(), len(gids)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and gids[a] != gid:
+                    made()
+                    held = []
+                gid = gids[a]
+                held.append([x[a:b] for x in rest])
+            yield from flush()
+        if held:
+            made()
+        yield from flush()
+
+    return run
+
+
 def _verified(batches):
     """(u, v) from rows (gid, node, own) sorted by gid: spanning forests of each group's links."""
 
@@ -265,21 +383,47 @@ def _verified(batches):
     yield forest(group)
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
-    share = min(1.0, SAMPLE / max(1, texts.count()))
+def _frequent(texts: DataFrame, scratch: Scratch) -> np.ndarray:
+    share = min(1.0, max(1 / SHARE, SAMPLE / max(1, texts.count())))
     chosen = texts.where(F.xxhash64(F.lit("sample"), "node").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)) + 1)
-    counted = chosen.mapInArrow(_sampled, "key long, node long").repartition("key").mapInArrow(_counted, "key long, n long")
-    return np.sort(np.array([r.key for r in counted.orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).collect()], np.int64).view(np.uint64))
+    sampled = chosen.mapInArrow(_sampled, "key long, node long").repartition("key").sortWithinPartitions("key")
+    counted = scratch.table(sampled.mapInArrow(_counted, "key long, n long"), "frequent")
+    least, total = FREQUENT, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).collect():
+        total += r.keys
+        if total > MAX_FREQUENT:
+            least = r.n + 1
+            break
+    return np.sort(counted.where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy().view(np.uint64))
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    return sets.select(F.xxhash64("members").alias("gid"), F.explode("members").alias("node"))
 
 
-def _links(sets: DataFrame, texts: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """(u, v): spanning forests of the links among each row's members (array of nodes)."""
-    members = scratch.table(sets.select(F.xxhash64("members").alias("gid"), F.explode("members").alias("node")), f"{label}-members")
+def _with_bitmaps(members: DataFrame, bits: DataFrame, linked_yet: DataFrame) -> DataFrame:
+    placed = members.join(bits, "node").join(linked_yet, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"), "size", "bits")
+    return placed.repartition("gid").sortWithinPartitions("gid", "node")
+
+
+def _links(sets: DataFrame, texts: DataFrame, scratch: Scratch, label: str, bits: DataFrame | None = None, linked_yet: DataFrame | None = None) -> DataFrame:
+    """(u, v): spanning forests of the links among each row's members (array of nodes).
+
+    With bits (node, size, bits) and linked_yet (node, root), only members that
+    may be linked with one of another root are compared whole.
+    """
+    spark = texts.sparkSession
+    members = _members(sets)
+    if bits is not None:
+        with arrow_rows(spark, 1024):
+            members = scratch.table(_with_bitmaps(members, bits, linked_yet).mapInArrow(_by_bitmaps(["gid", "node"]), "gid long, node long"), f"{label}-members")
+    else:
+        members = scratch.table(members, f"{label}-members")
     nodes = scratch.table(members.select("node").distinct(), f"{label}-nodes")
     if nodes.count() <= BROADCAST_NODES:
         nodes = F.broadcast(nodes)
     needed = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    with arrow_rows(texts.sparkSession, 128):
+    with arrow_rows(spark, 128):
         found = members.join(needed.mapInArrow(_sets, "node long, own binary"), "node").select("gid", "node", "own")
         return scratch.table(found.repartition("gid").sortWithinPartitions("gid").mapInArrow(_verified, "u long, v long"), f"{label}-links")
 
@@ -296,27 +440,33 @@ def roots(docs: DataFrame, scratch: Scratch) -> DataFrame:
     stars = similar.where("doc_id <> component_id").select(F.array("component_id", "doc_id").alias("members")).distinct()
     near = _links(stars, texts, scratch, "similar")
     linked_yet = scratch.table(components(near, Scratch(spark, "near-copies-similar")), "similar-roots")
-    frequent = spark.sparkContext.broadcast(_frequent(texts))
-    keys = texts.mapInArrow(_prefixes(frequent), "key long, node long, size int")
-    groups = scratch.table(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_groups, "u long, v long, nu int, nv int, key long"), "groups")
+    frequent = spark.sparkContext.broadcast(_frequent(texts, scratch))
+    keys = texts.mapInArrow(_prefixes(frequent), "key long, node long, size int, bits binary")
+    groups = scratch.table(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped, "u long, v long, nu int, nv int, key long, bits binary"), "groups")
+    bits = scratch.table(groups.where("bits IS NOT NULL").select(F.col("u").alias("node"), F.col("nu").alias("size"), "bits").dropDuplicates(["node"]), "bits")
     # of the prefixes' shingles a pair shares n; behind them it can share what is left of either set
     behind = F.greatest(*(F.floor(F.col(c) * 4 / 5 + 0.9).cast("long") - 1 for c in ("nu", "nv")))
-    pairs = groups.where("key IS NULL").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("n")).where(9 * (F.col("n") + behind) >= 4 * (F.col("nu") + F.col("nv")))
+    pairs = groups.where("key IS NULL AND bits IS NULL").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("n")).where(9 * (F.col("n") + behind) >= 4 * (F.col("nu") + F.col("nv")))
     large = groups.where("key IS NOT NULL")
     to_pivot = large.where("u <> v AND least(nu, nv) * 5 >= greatest(nu, nv) * 4").select("u", "v").distinct()
     pairs = pairs.select("u", "v").union(to_pivot)
     for end in ("u", "v"):
         pairs = pairs.join(linked_yet.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     pairs = pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    near = near.union(_links(pairs.select(F.array("u", "v").alias("members")), texts, scratch, "prefix"))
+    near = near.union(_links(pairs.select(F.array("u", "v").alias("members")), texts, scratch, "prefix", bits, linked_yet))
     if large.isEmpty():
         return components(near, scratch)
     linked_yet = scratch.table(components(near, Scratch(spark, "near-copies-prefix")), "prefix-roots")
     placed = large.select("key", F.col("v").alias("node"), F.col("nv").alias("size")).join(linked_yet, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     rest = scratch.table(placed.repartition("key").sortWithinPartitions("key").mapInArrow(_crossed, "members array<long>").distinct(), "crossings")
+    scratch.drop("groups")
     if rest.isEmpty():
         return linked_yet
-    return components(near.union(_links(rest, texts, scratch, "large")), scratch)
+    with arrow_rows(spark, 1024):
+        closest = scratch.table(_with_bitmaps(_members(rest), bits, linked_yet).mapInArrow(_by_bitmaps(["u", "v"]), "u long, v long").distinct(), "nearest")
+    near = near.union(_links(closest.select(F.array("u", "v").alias("members")), texts, scratch, "nearest"))
+    linked_yet = scratch.table(components(near, Scratch(spark, "near-copies-nearest")), "nearest-roots")
+    return components(near.union(_links(rest, texts, scratch, "large", bits, linked_yet)), scratch)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
