@@ -401,6 +401,13 @@ def _members(sets: DataFrame) -> DataFrame:
     return sets.select(F.xxhash64("members").alias("gid"), F.explode("members").alias("node"))
 
 
+def _of_several_roots(sized: DataFrame, linked_yet: DataFrame) -> DataFrame:
+    """(key, node, size, root) of the keys whose nodes don't have one root."""
+    placed = sized.join(linked_yet, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    return placed.join(several, "key", "left_semi")
+
+
 def _with_bitmaps(members: DataFrame, bits: DataFrame, linked_yet: DataFrame) -> DataFrame:
     placed = members.join(bits, "node").join(linked_yet, "node", "left").select("gid", "node", F.coalesce("root", "node").alias("root"), "size", "bits")
     return placed.repartition("gid").sortWithinPartitions("gid", "node")
@@ -457,15 +464,18 @@ def roots(docs: DataFrame, scratch: Scratch) -> DataFrame:
     if large.isEmpty():
         return components(near, scratch)
     linked_yet = scratch.table(components(near, Scratch(spark, "near-copies-prefix")), "prefix-roots")
-    placed = large.select("key", F.col("v").alias("node"), F.col("nv").alias("size")).join(linked_yet, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    rest = scratch.table(placed.repartition("key").sortWithinPartitions("key").mapInArrow(_crossed, "members array<long>").distinct(), "crossings")
-    scratch.drop("groups")
-    if rest.isEmpty():
-        return linked_yet
+    sized = large.select("key", F.col("v").alias("node"), F.col("nv").alias("size"))
+    placed = _of_several_roots(sized, linked_yet)
     with arrow_rows(spark, 1024):
-        closest = scratch.table(_with_bitmaps(_members(rest), bits, linked_yet).mapInArrow(_by_bitmaps(["u", "v"]), "u long, v long").distinct(), "nearest")
+        asked = _with_bitmaps(placed.select(F.col("key").alias("gid"), "node"), bits, linked_yet)
+        closest = scratch.table(asked.mapInArrow(_by_bitmaps(["u", "v"]), "u long, v long").distinct(), "nearest")
     near = near.union(_links(closest.select(F.array("u", "v").alias("members")), texts, scratch, "nearest"))
     linked_yet = scratch.table(components(near, Scratch(spark, "near-copies-nearest")), "nearest-roots")
+    placed = _of_several_roots(sized, linked_yet).repartition("key").sortWithinPartitions("key")
+    rest = scratch.table(placed.mapInArrow(_crossed, "members array<long>").distinct(), "crossings")
+    scratch.drop("groups")
+    if rest.isEmpty():
+        return linked_yet
     return components(near.union(_links(rest, texts, scratch, "large", bits, linked_yet)), scratch)
 
 
